@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import langid, sharding, url_filter
+from sievelake.llm import langid, sharding, simhash, url_filter
 from sievelake.llm._session import is_held_out, table
 
 
@@ -16,6 +16,10 @@ def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "row_number")
 
 
+def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``labels`` names rows by id; the page of that id takes the label, and quality 0 is bad."""
     pages = table(spark, sf_dir, "pages")
@@ -31,5 +35,5 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_feistel_sharding, op6_url_association_rules, op10_string_kernel_language]
+    found = [op2_feistel_sharding, op4_simhash_trie, op6_url_association_rules, op10_string_kernel_language]
     return {f.__name__: f for f in found}
