@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +16,35 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (local tests)."""
+    if named := spark.conf.get("spark.checkpoint.dir", ""):
+        return named
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sievelake-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+@contextlib.contextmanager
+def scratch_table(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a Parquet table in the shared folder, for as long as the block runs."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sievelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the folder in ``spark.checkpoint.dir``.
 
-    All executors share that folder, so a lost executor costs no recomputation. A temporary folder is
-    taken only where the session names none (local tests).
+    All executors share that folder, so a lost executor costs no recomputation.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="sievelake-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import langid, sharding, simhash, url_filter
+from sievelake.llm import langid, sharding, simhash, substring, url_filter
 from sievelake.llm._session import is_held_out, table
 
 
@@ -28,6 +28,10 @@ def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, mined)
 
 
+def op8_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", is_held_out())
     model = langid.fit(docs.where(~F.col("held_out")))
@@ -35,5 +39,5 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_feistel_sharding, op4_simhash_trie, op6_url_association_rules, op10_string_kernel_language]
+    found = [op2_feistel_sharding, op4_simhash_trie, op6_url_association_rules, op8_bwt_repeats, op10_string_kernel_language]
     return {f.__name__: f for f in found}
