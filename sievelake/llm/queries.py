@@ -7,19 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import langid, sharding, simhash, substring, url_filter
+from sievelake.llm import chat, decontam, langid, line_crf, packing, sharding, simhash, substring, toxicity, url_filter
 from sievelake.llm._session import is_held_out, table
 
 
+def op1_viterbi_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~is_held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "row_number")
 
 
+def op3_preference_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_rows(*chat.swapped_answers(table(spark, sf_dir, "conversations")))
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``labels`` names rows by id; the page of that id takes the label, and quality 0 is bad."""
     pages = table(spark, sf_dir, "pages")
@@ -28,10 +43,19 @@ def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, mined)
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", is_held_out())
     model = langid.fit(docs.where(~F.col("held_out")))
@@ -39,5 +63,16 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_feistel_sharding, op4_simhash_trie, op6_url_association_rules, op8_bwt_repeats, op10_string_kernel_language]
+    found = [
+        op1_viterbi_toxicity,
+        op2_feistel_sharding,
+        op3_preference_prefix,
+        op4_simhash_trie,
+        op5_best_fit_packing,
+        op6_url_association_rules,
+        op7_line_crf,
+        op8_bwt_repeats,
+        op9_simhash_decontamination,
+        op10_string_kernel_language,
+    ]
     return {f.__name__: f for f in found}

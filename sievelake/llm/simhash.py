@@ -291,3 +291,12 @@ def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 48, k: int
     rows = rows.join(named, "id")
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
     return rows.select("doc_id", "text_hash", F.col("root").alias("component"), is_head.alias("representative"), "copies")
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all columns; of repeated rows one stays."""
+    heads = checkpoint(near_duplicates(docs, **options).where("representative").select(F.col("doc_id").alias("_head"), F.col("text_hash").alias("_hash"), "copies"))
+    own = lambda few: docs.join(few, docs["doc_id"].eqNullSafe(few["_head"]) & (F.xxhash64(docs["text"]) == few["_hash"]), "left_semi")
+    if heads.where("copies > 1").isEmpty():
+        return own(heads)
+    return own(heads.where("copies = 1")).unionByName(own(heads.where("copies > 1")).dropDuplicates(["doc_id", "text"]))

@@ -274,7 +274,7 @@ def _dealt(cut: DataFrame, length: int, span_schema: str) -> DataFrame | None:
     return cut.groupBy("anchor", "part").cogroup(common.groupBy("anchor", "part")).applyInPandas(mark, span_schema)
 
 
-def _union(spans, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _union(spans) -> tuple[np.ndarray, np.ndarray]:
     """Maximal disjoint ranges of some spans."""
     if not spans:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -284,42 +284,55 @@ def _union(spans, n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[new, 0], reach[np.concatenate([new[1:] - 1, [len(both) - 1]])]
 
 
-def remove_repeated(docs: DataFrame, length: int = 400, with_text: bool = False, **options) -> DataFrame:
-    """Every row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; with ``with_text`` also
-    text_hash and kept_text.
+def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
+    """(kept bytes, starts and ends of the removed ranges, bytes in all) of each row with ``text`` and ``_spans``."""
+    data, offsets = flat(batch.column("text"))
+    view = memoryview(data)
+    for k, spans in enumerate(batch.column("_spans").to_pylist()):
+        lo, n = int(offsets[k]), int(offsets[k + 1] - offsets[k])
+        a, b = _union(spans)
+        yield b"".join(view[lo + x : lo + y] for x, y in zip([0, *b.tolist()], [*a.tolist(), n], strict=True)), a, b, n
+
+
+def _with_spans(docs: DataFrame, length: int, options: dict) -> DataFrame:
+    found = repeated_spans(docs, length, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left").drop("_id", "_hash")
+
+
+def remove_repeated(docs: DataFrame, length: int = 400, **options) -> DataFrame:
+    """Every row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     Removes each byte that a string of ``length`` bytes covers which also starts anywhere else in the corpus, the same text
     included; strings are judged on the input. A null text is empty. Repeated rows are copies of each other; shorter texts
-    stay as they are. ``kept_text`` holds the kept bytes as text, without the rest of a character that a
-    removal has cut. Other columns are not carried; an empty table gives no rows.
+    stay as they are. Other columns are not carried; an empty table gives no rows.
     """
     python_stage(docs.sparkSession)
-    found = repeated_spans(docs, length, **options)
-    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    met = named.join(found, named["doc_id"].eqNullSafe(found["doc_id"]) & (named["text_hash"] == found["text_hash"]), "left")
-    met = met.select(named["doc_id"], named["text_hash"], "text", "spans")
+    met = _with_spans(docs.select("doc_id", "text"), length, options)
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            view, out = memoryview(data), {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")}
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                lo, n = int(offsets[k]), int(offsets[k + 1] - offsets[k])
-                a, b = _union(spans, n)
-                kept = b"".join(view[lo + x : lo + y] for x, y in zip([0, *b.tolist()], [*a.tolist(), n], strict=True))
-                out["n_bytes"].append(n)
-                out["n_removed"].append(n - len(kept))
-                out["n_spans"].append(len(a))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["spans"].append([{"a": int(x), "b": int(y)} for x, y in zip(a, b, strict=True)])
-                if with_text:
-                    out["kept_text"].append(kept.decode("utf-8", "ignore"))
-            columns = [batch.column("doc_id"), batch.column("text_hash")] + [pa.array(out[k], t) for k, t in kinds.items()]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *kinds])
+            rows = [(n, n - len(kept), len(a), hashlib.sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]) for kept, a, b, n in _kept(batch)]
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)] if rows else [pa.array([], t) for t in kinds.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
 
-    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))}
-    schema = f"doc_id {kind}, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
-    if with_text:
-        kinds["kept_text"], schema = pa.string(), schema + ", kept_text string"
-    return met.mapInArrow(cut, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return met.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
+
+
+def without_repeated(docs: DataFrame, length: int = 400, **options) -> DataFrame:
+    """Every row of ``docs``, all columns, its text without the bytes that ``remove_repeated`` removes, nor the rest of a
+    character that a removal has cut. A null text stays null; a text that is all repeated becomes empty."""
+    python_stage(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            valid = batch.column("text").is_valid().to_pylist()
+            text = pa.array([kept.decode("utf-8", "ignore") if v else None for v, (kept, *_) in zip(valid, _kept(batch), strict=True)], pa.string())
+            columns = [batch.column(c) for c in docs_columns]
+            columns[at] = text
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+
+    docs_columns = docs.columns
+    return _with_spans(docs, length, options).mapInArrow(cut, docs.schema)
