@@ -37,10 +37,8 @@ def prefixes_of(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarra
     found = np.full(n + 1, least, dtype=np.int32)
     if not n:
         return found[:0]
-    # row 0 is the sentinel, which shares nothing with row 1
-    ends = [0, min(1, n), n]
     known = np.zeros(n + 1, dtype=bool)
-    found[ends], known[ends] = 0, True
+    found[[0, n]], known[[0, n]] = 0, True
     # a row's predecessor: its symbol, and where the longer suffix stands
     before = np.where(order > 0, symbols[order - 1], -1)
     place = np.empty(n, dtype=np.int64)
@@ -62,6 +60,8 @@ def prefixes_of(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarra
         to, owner, symbol = to[by], owner[by], before[rows][by]
         new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])]))
         start, end = to[new], np.concatenate([to[new[1:] - 1], to[-1:]]) + 1
+        if not length:  # the sentinel comes before the first symbol, which has no row of its own above
+            start, end = np.append(start, 0), np.append(end, 1)
         fresh = ~known[end]
         # the interval's end is the first row of another string: the prefix before it is shorter than length + 1
         known[end[fresh]] = True

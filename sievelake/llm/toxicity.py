@@ -30,7 +30,7 @@ LEET = {
 }
 _VOWELS = "aeiou"
 #: Costs of the channel, as natural logarithms.
-MAPPED, DROPPED, REPEATED, MASKED, SPLIT = -1.0, -1.5, -0.7, -3.0, -1.0
+MAPPED, DROPPED, REPEATED, MASKED, SPLIT = -1.0, -4.0, -0.7, -3.0, -1.0
 LONGEST_SPAN = 256
 _PUNCTUATION = ".,;:?\"'`´()[]{}<>«»“”‘’„…¿¡–—-_~^/\\=%&#*§°"
 _NOISE = re.compile(r"([^\w\s])\1{2,}")
