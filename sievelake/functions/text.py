@@ -111,7 +111,7 @@ def html_to_text(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
-    return F.trim(text)
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
 def mask_emails(text: Column, marker: str = "[email]") -> Column:

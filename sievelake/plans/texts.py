@@ -89,7 +89,7 @@ def _sql_html(column: str) -> str:
     x = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
     for entity, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
         x = f"replace({x}, '{entity}', {char})"
-    return rf"trim(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'))"
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
 @query(f"SELECT page_id, {_sql_html('html')} AS body FROM pages")
