@@ -1,6 +1,6 @@
 """Repeated byte strings of a corpus: which bytes does a string of L bytes cover that starts anywhere else too?
 
-1. Each window of L bytes is assigned to an anchor: the window's least hash of 16 bytes, leftmost if tied. Equal
+1. Each window of L bytes is assigned to an anchor: the window's least hash of 64 (for short L 32 or fewer) bytes, leftmost if tied. Equal
    windows have equal anchors at equal distances, wherever they stand, so only windows of one anchor can be
    equal. Neighbouring windows with one anchor are a run; an anchor seen once rules out its whole run.
 2. Runs of equal bytes are repeated as a whole; they are counted, never paired.
@@ -27,7 +27,6 @@ from sievelake.llm._bwt import prefixes_of, suffix_array
 from sievelake.llm._session import checkpoint, python_stage, scratch_table
 from sievelake.llm._text import chunks, flat, mix
 
-GRAM = 16
 #: Bytes of window starts worked on at once; positions take 20 bits.
 _SEGMENT = 1 << 19
 #: Bytes of runs that one task compares, and runs of one anchor beyond which it is dealt over several tasks.
@@ -35,10 +34,15 @@ TASK_BYTES = 3 << 20
 ANCHOR_RUNS = 4096
 _BLOCK = 8
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
-_STEPS = [np.uint64(pow(0x2545F4914F6CDD1D, 1 << k, 1 << 64)) for k in range(4)]
+_STEPS = [np.uint64(pow(0x2545F4914F6CDD1D, 1 << k, 1 << 64)) for k in range(6)]
 _POSITION = np.uint64((1 << 20) - 1)
 
 
+def _gram(length: int) -> int:
+    """Bytes of an anchor: a power of two, a fifth of the window at most, so long that few repeat by chance."""
+    return 1 << min(len(_STEPS), (length // 5).bit_length() - 1)
+
+
 def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first byte, end byte, bounds of texts): texts together, or a part of a long one with length - 1 bytes of overlap."""
     for lo, hi in chunks(offsets, _SEGMENT):
@@ -54,13 +58,14 @@ def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.n
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(first window, windows, anchor position, anchor hash) of all runs, in bytes of ``data``."""
-    wide = length - GRAM + 1
+    gram = _gram(length)
+    wide = length - gram + 1
     for a, b, bounds in _segments(offsets, length):
         n = b - a
         if n < length:
             continue
         h = _LETTERS[data[a:b]]
-        for k, power in enumerate(_STEPS):
+        for k, power in enumerate(_STEPS[: gram.bit_length() - 1]):
             h = h[: -(1 << k)] * power + h[1 << k :]
         h = mix(h)
         least, reach = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64), 1
@@ -174,28 +179,28 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor_runs: int = ANCHOR
                         batch.column("text_hash").take(rows),
                         pa.array(name.view(np.int64)),
                         pa.array(np.array(same, dtype=np.uint64).view(np.int64)),
-                        pa.array(start - offsets[doc]),
+                        pa.array((start - offsets[doc]).astype(np.int32)),
                         pa.array(size.astype(np.int32)),
                         pa.array(away.astype(np.int32)),
                     ],
                     ["doc_id", "text_hash", "anchor", "run", "start", "windows", "away"],
                 )
 
-    schema = f"doc_id {kind}, text_hash long, anchor long, run long, start long, windows int, away int"
+    schema = f"doc_id {kind}, text_hash long, anchor long, run long, start int, windows int, away int"
     with scratch_table(named.where(F.octet_length("text") >= length).mapInArrow(anchored, schema)) as found:
         one = ["doc_id", "text_hash", "start", "windows", "away"]
         texts = found.groupBy("anchor", "run").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in one])
         with scratch_table(texts) as texts:
             whole = found.join(texts.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
-            end = F.col("start") + F.col("windows") - 1 + length
-            spans = [checkpoint(whole.select("doc_id", "text_hash", F.struct(F.col("start").alias("a"), end.alias("b")).alias("s")).distinct())]
+            end = (F.col("start") + F.col("windows") - 1 + length).cast("long")
+            spans = [checkpoint(whole.select("doc_id", "text_hash", F.struct(F.col("start").cast("long").alias("a"), end.alias("b")).alias("s")).distinct())]
             shared = texts.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
             partial = checkpoint(texts.join(shared, "anchor").select("anchor", "run", "rivals", *one))
     places = partial.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("anchor", "run", "rivals", "start", "windows", "away")).alias("runs")
     )
     same_text = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_hash"] == y["text_hash"])
-    once = named.where(F.octet_length("text") >= length)
+    once = _once(named.where(F.octet_length("text") >= length))
     met = once.join(places, same_text(once, places)).select(once["doc_id"], once["text_hash"], "text", "runs")
     total = partial.agg(F.sum(F.col("windows") + length)).first()[0] or 0
 
@@ -217,14 +222,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor_runs: int = ANCHOR
                     ["doc_id", "text_hash", "anchor", "run", "rivals", "start", "windows", "away", "raw"],
                 )
 
-    cut_schema = f"doc_id {kind}, text_hash long, anchor long, run long, rivals long, start long, windows int, away int, raw binary"
+    cut_schema = f"doc_id {kind}, text_hash long, anchor long, run long, rivals long, start int, windows int, away int, raw binary"
     cut = met.mapInArrow(cut_out, cut_schema)
     tasks = max(1, int(total // task_bytes) + 1)
     parts = F.ceil(F.col("rivals") / anchor_runs)
     part = F.pmod(F.xxhash64("run"), parts)
     cut = cut.withColumn("part", part).withColumn("task", F.when(parts == 1, F.pmod(F.xxhash64("anchor"), F.lit(tasks))).otherwise(F.xxhash64("anchor", "part")))
-    # repeated rows of one text give each run more than once
-    cut = checkpoint(cut.dropDuplicates(["task", "anchor", "run"]))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         flags = repeated_windows(pdf["raw"].tolist(), pdf["windows"].to_numpy(), pdf["away"].to_numpy(), length)
@@ -233,19 +236,28 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor_runs: int = ANCHOR
     span_schema = f"doc_id {kind}, text_hash long, a long, b long"
     within = cut.groupBy("task").applyInPandas(compare, span_schema)
     spans.append(within.select("doc_id", "text_hash", F.struct("a", "b").alias("s")))
-    if shared_over := _dealt(cut.where(F.col("rivals") > anchor_runs), length, span_schema):
-        spans.append(shared_over.select("doc_id", "text_hash", F.struct("a", "b").alias("s")))
+    if not partial.where(F.col("rivals") > anchor_runs).isEmpty():
+        over = _dealt(checkpoint(cut.where(F.col("rivals") > anchor_runs)), length, span_schema)
+        spans.append(over.select("doc_id", "text_hash", F.struct("a", "b").alias("s")))
     every = spans[0]
     for more in spans[1:]:
         every = every.union(more)
     return checkpoint(every.groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("spans")))
 
 
-def _dealt(cut: DataFrame, length: int, span_schema: str) -> DataFrame | None:
+def _once(named: DataFrame) -> DataFrame:
+    """Of rows equal in doc_id and text one each."""
+    key = ["doc_id", "text_hash"]
+    again = checkpoint(named.groupBy(*key).count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    if again.isEmpty():
+        return named
+    same = named["doc_id"].eqNullSafe(again["_id"]) & (named["text_hash"] == again["_hash"])
+    return named.join(again, same, "left_anti").union(named.join(again, same, "left_semi").dropDuplicates(key))
+
+
+def _dealt(cut: DataFrame, length: int, span_schema: str) -> DataFrame:
     """The windows of anchors dealt over several tasks that are equal to one in another task: each task sends its distinct
     window hashes, as one array for each range of hashes, and gets back those that another task has too."""
-    if cut.isEmpty():
-        return None
     digest = xxhash.xxh3_64_intdigest
 
     def hashes(row) -> list[int]:
