@@ -29,6 +29,8 @@ NODE_ROWS = 200_000
 STEP = 6
 #: Pairs of leaves that are compared outright instead of being expanded further.
 _LEAF = 1024
+#: Edges that a task holds before it keeps their spanning forest only.
+_EDGES = 1 << 20
 
 
 def word_shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -160,6 +162,25 @@ def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[up] = parent[parent[up]]
 
 
+def _forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Indices of the edges of a minimum spanning forest, nearest first."""
+    parent, chosen = np.arange(n), []
+    for d in np.unique(far):
+        level = np.flatnonzero(far == d)
+        for e in level[parent[i[level]] != parent[j[level]]].tolist():
+            a, b = i[e], j[e]
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                chosen.append(e)
+        while (up := parent[parent] != parent).any():
+            parent[up] = parent[parent[up]]
+    return np.array(chosen, dtype=np.int64)
+
+
 def _blocks(budget: int) -> list[tuple[int, int]]:
     """(start, width) of budget + 1 blocks of 64 bits."""
     cuts = [64 * k // (budget + 1) for k in range(budget + 2)]
@@ -170,7 +191,8 @@ def trie_links(nodes: DataFrame, budget: int, max_bits: int | None = None, node_
     """Edges (u, v) that connect all ``nodes`` (id, fp; each id once) whose fingerprints differ in ``budget`` bits at most.
 
     They are spanning stars of what each task found, so they number at most budget + 1 for each node, however many
-    pairs are near. With ``max_bits`` a pair must also differ in at most so many of the 256 bits ``s0 .. s3``.
+    pairs are near. With ``max_bits`` a pair must also differ in at most so many of the 256 bits ``s0 .. s3``, and the
+    edges are those of a spanning forest with the least such differences: pairs that can be verified.
     """
     python_stage(nodes.sparkSession)
     checked = ["s0", "s1", "s2", "s3"] if max_bits is not None else []
@@ -211,13 +233,21 @@ def trie_links(nodes: DataFrame, budget: int, max_bits: int | None = None, node_
         parent = np.arange(len(ids))
         sigs = [pdf[c].to_numpy().view(np.uint64) for c in checked]
 
-        def add(pairs, base: int) -> None:
-            for i, j in pairs:
-                i, j = i + base, j + base
-                if checked:
-                    near = sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int32) for s in sigs) <= max_bits
-                    i, j = i[near], j[near]
+        kept = [np.zeros(0, dtype=np.int64)] * 3
+
+        def compact() -> None:
+            own = _forest(len(ids), *kept)
+            kept[:] = [x[own] for x in kept]
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            if not checked:
                 _merge(parent, index[i], index[j])
+                return
+            far = sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sigs)
+            near = (far <= max_bits) & (index[i] != index[j])
+            kept[:] = [np.concatenate([x, y[near]]) for x, y in zip(kept, (index[i], index[j], far), strict=True)]
+            if len(kept[0]) > _EDGES:
+                compact()
 
         value, at = pdf["value"].to_numpy(), np.arange(len(pdf))
         cols = [pdf[c].to_numpy() for c in ("block", "depth")]
@@ -233,7 +263,7 @@ def trie_links(nodes: DataFrame, budget: int, max_bits: int | None = None, node_
                 starts = np.flatnonzero(np.concatenate([[True], a[plain][1:] != a[plain][:-1]]))
                 ends = np.concatenate([starts[1:], [len(v)]])
                 for i, j in trie_pairs(v, starts, ends, starts, ends, depth, budget):
-                    add([(base[i], base[j])], 0)
+                    add(base[i], base[j])
             crossed = at[lo:hi][~self_pair[lo:hi]]
             if len(crossed):
                 new = np.flatnonzero(np.concatenate([[True], (a[crossed][1:] != a[crossed][:-1]) | (b[crossed][1:] != b[crossed][:-1])]))
@@ -246,7 +276,10 @@ def trie_links(nodes: DataFrame, budget: int, max_bits: int | None = None, node_
                     if one.any() and two.any():
                         r = [np.array([f(np.flatnonzero(x))]) for x in (one, two) for f in (lambda y: y[0], lambda y: y[-1] + 1)]
                         for i, j in trie_pairs(v, *r, depth, budget):
-                            add([(own[i], own[j])], 0)
+                            add(own[i], own[j])
+        if checked:
+            compact()
+            return pd.DataFrame({"u": ids[kept[0]], "v": ids[kept[1]]})
         moved = np.flatnonzero(parent != np.arange(len(ids)))
         return pd.DataFrame({"u": ids[moved], "v": ids[parent[moved]]})
 
@@ -270,20 +303,66 @@ def link(docs: DataFrame, k: int = 3, budget: int = 2, node_rows: int = NODE_ROW
     return own.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 48, k: int = 5, node_rows: int = NODE_ROWS) -> DataFrame:
+def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, text_hash, shingles binary): the sorted distinct 64-bit hashes of a text's ``k``-word shingles."""
+    python_stage(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            sets = []
+            for lo, hi in chunks(offsets):
+                own, first = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k)
+                sets += [np.unique(own[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sets, pa.binary())], ["doc_id", "text_hash", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, shingles binary")
+
+
+def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The edges whose texts have a Jaccard similarity of ``similarity`` at least. Only texts of edges are read again."""
+    key = nodes.select("id", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = checkpoint(ends.join(key, "id"))
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    same = named["doc_id"].eqNullSafe(wanted["doc_id"]) & (named["text_hash"] == wanted["text_hash"])
+    sets = shingle_sets(named.join(wanted, same, "left_semi"), k)
+    same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["text_hash"] == wanted["text_hash"])
+    # repeated rows of one text give its set more than once
+    sets = wanted.join(sets, same).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s_{end}"))
+    pairs = edges.join(of("u"), "u").join(of("v"), "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("s_u").to_pylist(), batch.column("s_v").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS) -> DataFrame:
     """Every row of ``docs``: doc_id, text_hash, component (long), representative (boolean), copies.
 
-    Search: trie self-join of the SimHash of distinct words within ``budget`` bits. Decision: at most ``max_bits`` of 256 bits
-    of SimHash over ``k``-word shingles differ; for a Jaccard similarity s the expected share is acos(2s / (1 + s)) / pi,
-    39 bits at 0.8, and the default allows its spread of two standard deviations. The row with the least doc_id of a component represents it
-    (nulls last; equal ids: the least text hash); ``copies`` counts the rows that equal a row in id and text.
+    Search: trie self-join of the SimHash of distinct words within ``budget`` bits. Pairs that differ in over ``max_bits`` of 256 bits of
+    SimHash over ``k``-word shingles go (the expected share is acos(2s / (1 + s)) / pi for a Jaccard similarity of s: 39 bits at
+    0.8, with a deviation of 6). Of the rest each task keeps a spanning forest, nearest pairs first, and its edges are verified: the Jaccard
+    similarity of whole ``k``-word shingle sets must be ``similarity`` at least. Words: A-Z lower-cased. Texts without words
+    are copies of each other. The row with the least doc_id of a component represents it (nulls last; equal ids: the least
+    text hash); ``copies`` counts the rows that equal a row in id and text.
     """
     own = checkpoint(two_fingerprints(docs, k))
     signature = ["fp", "s0", "s1", "s2", "s3"]
     own = own.withColumn("id", F.xxhash64(*signature))
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     nodes = checkpoint(own.groupBy("id", *signature).agg(F.min(first).alias("least")))
-    linked = components(trie_links(nodes.select("id", *signature), budget, max_bits, node_rows))
+    edges = checkpoint(trie_links(nodes.select("id", *signature), budget, max_bits, node_rows).distinct())
+    linked = components(_verified(edges, nodes, docs, k, similarity))
     known = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = known.groupBy("root").agg(F.min("least").alias("head"))
     named = known.select("id", "root").join(least, "root")
