@@ -22,7 +22,9 @@ def _clean(column: str) -> Column:
 
 def turns_of(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(pair_id, turn, sub, role, text): repeated rows are one turn; different rows with one turn number follow each other by role and text."""
-    rows = conversations.select(F.col(id_col).alias("pair_id"), "turn", _clean("role").alias("role"), _clean("text").alias("text")).distinct()
+    rows = conversations.select(F.col(id_col).alias("pair_id"), "turn", _clean("role").alias("role"), _clean("text").alias("text"))
+    # one exchange serves both steps, and a long conversation is spread by its turns
+    rows = rows.repartition("pair_id", "turn").distinct()
     return rows.withColumn("sub", F.row_number().over(Window.partitionBy("pair_id", "turn").orderBy("role", "text")))
 
 
