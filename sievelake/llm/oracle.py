@@ -1,7 +1,24 @@
-"""DuckDB SQL for the numbered queries that SQL can express."""
+"""DuckDB SQL for the numbered queries that SQL can express. The rest is tested against brute force."""
 
 from __future__ import annotations
 
+OP3 = """
+WITH t AS (SELECT DISTINCT conv_id AS pair_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+u AS (SELECT *, row_number() OVER (PARTITION BY pair_id, turn ORDER BY role, text) AS sub FROM t),
+a AS (SELECT pair_id, turn AS last_turn, sub AS last_sub, text AS own FROM (
+  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, sub DESC) AS rn FROM u WHERE role = 'assistant') WHERE rn = 1),
+n AS (SELECT *, coalesce(lead(own) OVER (ORDER BY pair_id), first_value(own) OVER (ORDER BY pair_id)) AS other FROM a),
+c AS (SELECT u.*, other, (turn, sub) = (last_turn, last_sub) AS is_last, text = other AS equal FROM u JOIN n USING (pair_id) WHERE (turn, sub) <= (last_turn, last_sub)),
+p AS (SELECT pair_id, count(*) FILTER (NOT is_last OR equal) AS prompt_turns FROM c GROUP BY 1),
+r AS (SELECT pair_id, CASE WHEN NOT is_last OR equal THEN 'prompt' ELSE 'chosen' END AS part, turn, sub, role, text FROM c
+  UNION ALL SELECT pair_id, 'rejected', turn, sub, 'assistant', other FROM c WHERE is_last AND NOT equal)
+SELECT pair_id, part, turn, sub, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS trainable,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 13 + length(role) END AS loss_from,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 23 + length(role) + length(text) END AS loss_to, prompt_turns
+FROM r JOIN p USING (pair_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preference_prefix": OP3}
