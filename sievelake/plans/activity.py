@@ -8,27 +8,31 @@ from pyspark.sql import functions as F
 from sievelake.operators.core import merge_rows, micros, suppress_small, with_exists
 from sievelake.plans.registry import query
 
+
+def _cents():
+    return F.floor(F.col("value") * 100 + 0.5).cast("long")
+
+
 _DAY = lambda c="ts": F.date_format(c, "yyyy-MM-dd")
-_CENTS = F.floor(F.col("value") * 100 + 0.5).cast("long")
 _CENTS_SQL = "CAST(floor(value * 100 + 0.5) AS BIGINT)"
 
 
 @query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, CAST(sum({_CENTS_SQL}) AS BIGINT) AS cents, CAST(sum(CASE WHEN value < 1 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM events GROUP BY 1, 2")
 def spend_by_day_type(t):
-    return t.events.groupBy(_DAY().alias("day"), "event_type").agg(F.count("*").alias("calls"), F.sum(_CENTS).alias("cents"), F.count_if(F.col("value") < 1).alias("failed"))
+    return t.events.groupBy(_DAY().alias("day"), "event_type").agg(F.count("*").alias("calls"), F.sum(_cents()).alias("cents"), F.count_if(F.col("value") < 1).alias("failed"))
 
 
 @query(f"""SELECT event_type, CASE WHEN count(*) >= 5 THEN CAST(sum(cents) AS DOUBLE) / count(*) END AS mean_cents FROM (
   SELECT event_type, {_CENTS_SQL} AS cents, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50 GROUP BY 1""")
 def avg_latest_50(t):
     w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = t.events.select("event_type", _CENTS.alias("cents"), F.row_number().over(w).alias("rn")).where("rn <= 50")
+    last = t.events.select("event_type", _cents().alias("cents"), F.row_number().over(w).alias("rn")).where("rn <= 50")
     return last.groupBy("event_type").agg(F.when(F.count("*") >= 5, F.sum("cents").cast("double") / F.count("*")).alias("mean_cents"))
 
 
 @query(f"""SELECT event_type, cents AS p90_cents FROM (SELECT event_type, {_CENTS_SQL} AS cents, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE rn = greatest(1, CAST(ceil(n * 0.9) AS BIGINT))""")
 def cost_p90_nearest_rank(t):
-    return t.events.groupBy("event_type").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("value")).select("event_type", _CENTS.alias("p90_cents"))
+    return t.events.groupBy("event_type").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("value")).select("event_type", _cents().alias("p90_cents"))
 
 
 @query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS views, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks,
@@ -69,7 +73,7 @@ def explode_json_props(t):
 @query(f"""WITH g AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(DISTINCT user_id) AS people, count(*) AS n, CAST(sum({_CENTS_SQL}) AS BIGINT) AS cents FROM events GROUP BY 1, 2)
   SELECT day, event_type, CASE WHEN people >= 3 THEN people END AS people, CASE WHEN people >= 3 THEN n END AS n, CASE WHEN people >= 3 THEN cents END AS cents FROM g""")
 def k_anonymous_metrics(t):
-    g = t.events.groupBy(_DAY().alias("day"), "event_type").agg(F.count_distinct("user_id").alias("people"), F.count("*").alias("n"), F.sum(_CENTS).alias("cents"))
+    g = t.events.groupBy(_DAY().alias("day"), "event_type").agg(F.count_distinct("user_id").alias("people"), F.count("*").alias("n"), F.sum(_cents()).alias("cents"))
     return suppress_small(g, "people", ["n", "cents"]).withColumn("people", F.when(F.col("people") >= 3, F.col("people")))
 
 
@@ -152,7 +156,7 @@ def semi_exists_flags(t):
 @query(f"""SELECT user_id, CAST(total AS BIGINT) AS total, [x FOR x IN [70, 85, 95] IF total * 100 >= x * 200000] AS crossed FROM (SELECT user_id, sum({_CENTS_SQL}) AS total FROM events GROUP BY 1)""")
 def budget_crossing(t):
     """Shares of a budget of 200,000 cents that spending has reached."""
-    total = t.events.groupBy("user_id").agg(F.sum(_CENTS).alias("total"))
+    total = t.events.groupBy("user_id").agg(F.sum(_cents()).alias("total"))
     marks = F.array(*[F.lit(x) for x in (70, 85, 95)])
     return total.select("user_id", "total", F.filter(marks, lambda x: F.col("total") * 100 >= x * 200_000).alias("crossed"))
 
@@ -160,7 +164,7 @@ def budget_crossing(t):
 @query(f"""SELECT event_id, CAST(spent AS BIGINT) AS spent, spent <= 50000 AS allowed FROM (SELECT event_id, sum({_CENTS_SQL}) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)""")
 def daily_cap_running_spend(t):
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.sum(_CENTS).over(w).alias("spent")).withColumn("allowed", F.col("spent") <= 50_000)
+    return t.events.select("event_id", F.sum(_cents()).over(w).alias("spent")).withColumn("allowed", F.col("spent") <= 50_000)
 
 
 @query("""SELECT CASE WHEN attempts > 4 THEN least(15, CAST(pow(2, least(attempts, 9) - 5) AS BIGINT)) ELSE 0 END AS lock_minutes, count(*) AS people FROM (

@@ -45,3 +45,14 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql())))
 def test_query_runs(spark, name):
     assert all_queries()[name](spark, DIR).count() > 0
+
+
+def test_names_need_no_session():
+    """The driver reads the names before it starts Spark."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
