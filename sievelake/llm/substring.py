@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -187,15 +188,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor_runs: int = ANCHOR
                 )
 
     schema = f"doc_id {kind}, text_hash long, anchor long, run long, start int, windows int, away int"
-    with scratch_table(named.where(F.octet_length("text") >= length).mapInArrow(anchored, schema)) as found:
-        one = ["doc_id", "text_hash", "start", "windows", "away"]
-        texts = found.groupBy("anchor", "run").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in one])
-        with scratch_table(texts) as texts:
-            whole = found.join(texts.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
-            end = (F.col("start") + F.col("windows") - 1 + length).cast("long")
-            spans = [checkpoint(whole.select("doc_id", "text_hash", F.struct(F.col("start").cast("long").alias("a"), end.alias("b")).alias("s")).distinct())]
-            shared = texts.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
-            partial = checkpoint(texts.join(shared, "anchor").select("anchor", "run", "rivals", *one))
+    one = ["doc_id", "text_hash", "start", "windows", "away"]
+    with ExitStack() as tables:
+        with scratch_table(named.where(F.octet_length("text") >= length).mapInArrow(anchored, schema)) as every_run:
+            # most anchors are unique: their runs go before anything else is counted
+            again = every_run.groupBy("anchor").count().where("count > 1").select("anchor")
+            found = tables.enter_context(scratch_table(every_run.join(again, "anchor", "left_semi")))
+        texts = tables.enter_context(scratch_table(found.groupBy("anchor", "run").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in one])))
+        whole = found.join(texts.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
+        end = (F.col("start") + F.col("windows") - 1 + length).cast("long")
+        spans = [checkpoint(whole.select("doc_id", "text_hash", F.struct(F.col("start").cast("long").alias("a"), end.alias("b")).alias("s")).distinct())]
+        shared = texts.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
+        partial = checkpoint(texts.join(shared, "anchor").select("anchor", "run", "rivals", *one))
     places = partial.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("anchor", "run", "rivals", "start", "windows", "away")).alias("runs")
     )
