@@ -3,12 +3,13 @@
 A suspicious span (digits or symbols among letters, letters three times or more, spaced-out letters) is a
 lattice: each position offers the readings it may stand for, at the channel's cost. The Viterbi path
 under a character trigram model of the whole corpus is the restored span. A span with one reading is its own
-best path, so plain words are taken as they are. The score is a logistic model over words and
-word beginnings of the restored text.
+best path, so plain words are taken as they are. Words that the labels mark are known to the decoder as whole words. The score
+is a noisy-or over the words of the restored text: each word alone, by itself or by its beginning, may make it toxic.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,12 +31,18 @@ LEET = {
 }
 _VOWELS = "aeiou"
 #: Costs of the channel, as natural logarithms.
-MAPPED, DROPPED, REPEATED, MASKED, SPLIT = -1.0, -4.0, -0.7, -3.0, -1.0
+MAPPED, DROPPED, KEPT, REPEATED, MASKED, SPLIT = -1.0, -4.0, -4.0, -0.7, -3.0, -1.0
+#: log P of a word that the labels mark, as a whole; other words are spelled out by the trigram model.
+KNOWN = -10.0
+#: Lattices with more paths are decoded by the trigram model alone.
+PATHS = 512
 LONGEST_SPAN = 256
 _PUNCTUATION = ".,;:?\"'`´()[]{}<>«»“”‘’„…¿¡–—-_~^/\\=%&#*§°"
 _NOISE = re.compile(r"([^\w\s])\1{2,}")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:(?:[ .\-_*])(?:[^\W_]|[@$!|+])){2,}(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,3}(?:[^\W_]|[@$!|+])){2,}(?!\S)")
+_GAP = re.compile(r"[ .\-_*]+")
 _PREFIXES = (4, 5, 6)
 _CACHE = 200_000
 
@@ -74,15 +81,15 @@ def readings(span: str) -> list[list[tuple[str, float]]]:
         else:
             offered = [(x, MAPPED) for x in LEET.get(c, "")]
             offered += [(x + x, MAPPED) for x in LEET.get(c, "") if n > 1]
-            offered += [(run[0], 0.0)] if c.isdigit() else [("", DROPPED if c in LEET else 0.0)]
+            offered += [(run[0], KEPT)] if c.isdigit() else [("", DROPPED if c in LEET else 0.0)]
             if c == "*" and n == 1:
                 offered += [(v, MASKED) for v in _VOWELS]
         lattice.append(offered)
     return lattice
 
 
-def decode(span: str, language: Language) -> str:
-    """The best path through the lattice; the first of equal paths in the order of ``readings``."""
+def decode(span: str, language: Language) -> tuple[str, float]:
+    """The best path through the lattice and its log probability; the first of equal paths in the order of ``readings``."""
     table = language.table
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for offered in [*readings(span), [(" ", 0.0)]]:
@@ -97,16 +104,29 @@ def decode(span: str, language: Language) -> str:
                 if (a, b) not in new or new[a, b][0] < s:
                     new[a, b] = (s, path + text)
         states = new
-    return max(states.values(), key=lambda x: x[0])[1].strip()
+    score, path = max(states.values(), key=lambda x: x[0])
+    return path.strip(), score
+
+
+def _squeezed(word: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", word)
 
 
 @dataclass
 class Model:
+    """``weights``: the chance that a feature (a word, or ^ and a beginning) alone makes a text toxic; ``prior``: that of a text without any."""
+
     language: Language
     weights: dict[str, float] = field(default_factory=dict)
-    bias: float = -4.0
+    prior: float = 0.02
+    known: dict[str, str] = field(default_factory=dict)
     cache: dict[str, str] = field(default_factory=dict)
 
+    def learn(self, weights: dict[str, float], prior: float) -> None:
+        """Marked words become known to the decoder, however often a letter is repeated in them."""
+        self.weights, self.prior, self.cache = weights, prior, {}
+        self.known = {_squeezed(w): w for w in sorted(weights, key=weights.get) if w[0] != "^" and len(w) > 2}
+
     def restored(self, span: str) -> str:
         if len(span) > LONGEST_SPAN:  # a whole longer span is read part by part
             return "".join(self.restored(span[k : k + LONGEST_SPAN]) for k in range(0, len(span), LONGEST_SPAN))
@@ -114,9 +134,19 @@ class Model:
         if got is None:
             if len(self.cache) >= _CACHE:
                 self.cache.clear()
-            got = self.cache[span] = decode(span, self.language)
+            got = self.cache[span] = self._decoded(span)
         return got
 
+    def _decoded(self, span: str) -> str:
+        text, score = decode(span, self.language)
+        lattice = readings(span) if self.known else []
+        if lattice and math.prod(len(x) for x in lattice) <= PATHS:
+            for path in itertools.product(*lattice):
+                word = self.known.get(_squeezed("".join(x for x, _ in path)))
+                if word and (worth := KNOWN + sum(c for _, c in path)) > score:
+                    text, score = word, worth
+        return text
+
     def words(self, text: str | None) -> set[str]:
         """Distinct words of the restored text: plain words as they are, suspicious spans restored."""
         text = (text or "").lower()
@@ -132,14 +162,20 @@ class Model:
                 found.update(x for x in re.split(r"[\W\d_]+", core) if len(x) > 1)
         if triple:
             found.update(w for t in [t for t in found if _TRIPLE.search(t)] for w in self.restored(t).split())
+        # a doubled letter has two readings, of which a marked word is the likelier
+        found.update([k for w in found if _DOUBLE.search(w) and (k := self.known.get(_squeezed(w)))])
         for span in _SPACED.findall(text):
-            found.update(self.restored(span).split())
+            # with gaps that may end words, and as one word
+            found.update(self.restored(_GAP.sub(" ", span)).split())
+            found.update(self.restored(_GAP.sub("", span)).split())
         return found
 
     def score(self, text: str | None) -> float:
-        known = self.weights
-        total = self.bias + sum(known[f] for f in _features(self.words(text)) if f in known)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, total))))
+        known, clean = self.weights, 1 - self.prior
+        for word in self.words(text):
+            chance = max([known.get(word, 0.0), *[known.get("^" + word[:n], 0.0) for n in _PREFIXES if len(word) > n]])
+            clean *= 1 - chance
+        return 1 - clean
 
 
 def _features(words: set[str]) -> set[str]:
@@ -180,8 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, vocabulary:
     """Learns from ``labels`` (doc_id, toxic), which must hold training rows only, and the texts of ``docs``.
 
     The language model counts all of ``docs``. The word model is fitted on ``examples`` labelled rows at most, in expectation
-    (rows whose hash falls under that share), and has ``vocabulary`` features at most. Without a label of each
-    kind all texts get the prior score.
+    (rows whose hash falls under that share; equal texts count once), and has ``vocabulary`` features at most: those that speak for label 1 by
+    ``least_g2`` at least, each with the chance of label 1 in texts that have it, by log odds less one standard error, if that is
+    over a half. Without a label of each kind all texts get the prior score.
     """
     model = Model(language_model(docs))
     labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -190,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, vocabulary:
     chosen = labels.where(draw < min(1.0, examples / max(1, n)))
     where = docs.sparkSession.sparkContext.broadcast(model)
     # the sample is bounded by a parameter, so its ids may be broadcast
-    with scratch_table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")) as sample:
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    with scratch_table(texts.groupBy(F.xxhash64("text")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")) as sample:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,30 +247,19 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, vocabulary:
         counted = counted.where((F.col("pos") >= 3) & (F.col("pos") * n_neg > 2 * F.col("neg") * n_pos))
         lean = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt((F.col("pos") + F.col("neg")) / (n_pos + n_neg))
         rows = counted.orderBy(F.desc(lean), "feature").limit(vocabulary).toArrow()
-        strong = _g2(rows["pos"].to_numpy(), rows["neg"].to_numpy(), n_pos, n_neg) >= least_g2
-        names = sorted(np.array(rows["feature"].to_pylist(), dtype=object)[strong].tolist())
-        place = {f: k for k, f in enumerate(names)}
+        pos, neg = rows["pos"].to_numpy(), rows["neg"].to_numpy()
+        odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)) - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) + math.log(n_pos / n_neg)
+        strong = (_g2(pos, neg, n_pos, n_neg) >= least_g2) & (odds > 0)
+        names = np.array(rows["feature"].to_pylist(), dtype=object)[strong].tolist()
+        weights = dict(zip(names, (1 / (1 + np.exp(-odds[strong]))).tolist(), strict=True))
 
-        def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [sorted(place[f] for f in _features(where.value.words(t)) if f in place) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], ["toxic", "own"])
-
-        # the sum over texts does not depend on their order once equal descriptions are counted
-        got = sample.mapInArrow(present, "toxic int, own array<int>").groupBy("toxic", "own").count().collect()
-    got = sorted((r["toxic"] > 0, r["own"], r["count"]) for r in got)
-    y, times = np.array([r[0] for r in got], dtype=float), np.array([r[2] for r in got], dtype=float)
-    row = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
-    col = np.array([c for r in got for c in r[1]], dtype=np.int64)
-    w, bias, moment = np.zeros(len(names)), math.log(n_pos / n_neg), np.zeros(len(names) + 1)
-    for _ in range(400):  # gradient steps of the L2-regularised likelihood, weights held at 0 or above, one scale for each feature
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], len(got)), -60, 60)))
-        error = (y - p) * times
-        slope = np.append(np.bincount(col, error[row], len(names)) - 0.02 * w, error.sum())
-        moment += slope**2
-        step = 0.5 * slope / np.sqrt(moment + 1e-9)
-        w, bias = np.maximum(0, w + step[:-1]), bias + step[-1]
-    model.weights, model.bias = {f: float(x) for f, x in zip(names, w, strict=True) if x > 0}, float(min(bias, -1.0))
+                none = [not _features(where.value.words(t)) & weights.keys() for t in batch.column("text").to_pylist()]
+                yield batch.select(["toxic"]).filter(pa.array(none, pa.bool_()))
+
+        rest = {r["toxic"] > 0: r["count"] for r in sample.mapInArrow(unmarked, "toxic int").groupBy("toxic").count().collect()}
+    model.learn(weights, min(0.4, (rest.get(True, 0) + 0.5) / (sum(rest.values()) + 1)))
     return model
 
 

@@ -269,7 +269,7 @@ def bad_words(spark):
     return toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
 
 
-@pytest.mark.parametrize("span", ["1d10t", "m0r0n", "l0s3r", "idiiiiot", "i d i o t", "m.o.r.o.n", "m0r*n", "!diot"])
+@pytest.mark.parametrize("span", ["1d10t", "m0r0n", "l0s3r", "idiiiiot", "i d i o t", "m.o.r.o.n", "m0r*n", "!diot", "i  d  i  o  t", "MMORRON!!", "lo-ser", "1o5er", "l 0 s e r"])
 def test_disguised_words_are_read(bad_words, span):
     plain = prose(20, random.Random(1))
     assert bad_words.score(f"{plain} {span} {plain}") > 0.5 > bad_words.score(f"{plain} {plain}")
@@ -289,7 +289,7 @@ def test_lattice_path_is_the_best(bad_words):
         for offered in toxicity.readings(span):
             paths = [(t + x, c + y) for t, c in paths for x, y in offered]
         best = max(worth(t, c) for t, c in paths)
-        got = toxicity.decode(span, language)
+        got = toxicity.decode(span, language)[0]
         assert any(t.strip() == got and abs(worth(t, c) - best) < 1e-4 for t, c in paths)
 
 
