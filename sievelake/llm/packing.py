@@ -20,7 +20,7 @@ from sievelake.llm._session import python_stage
 
 SIZES = (2048, 4096, 8192, 16384)
 #: Rows packed together; a group leaves at most a few bins part empty.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 8_192
 
 
 def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, cost: Callable[[int], float] = lambda c: c + 64.0) -> tuple[np.ndarray, np.ndarray]:
