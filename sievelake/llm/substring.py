@@ -192,7 +192,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor_runs: int = ANCHOR
     with ExitStack() as tables:
         with scratch_table(named.where(F.octet_length("text") >= length).mapInArrow(anchored, schema)) as every_run:
             # most anchors are unique: their runs go before anything else is counted
-            again = every_run.groupBy("anchor").count().where("count > 1").select("anchor")
+            # (checkpointed: a join straight on the aggregate could not split the runs of a hot anchor)
+            again = checkpoint(every_run.groupBy("anchor").count().where("count > 1").select("anchor"))
             found = tables.enter_context(scratch_table(every_run.join(again, "anchor", "left_semi")))
         texts = tables.enter_context(scratch_table(found.groupBy("anchor", "run").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in one])))
         whole = found.join(texts.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
