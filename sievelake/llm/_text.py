@@ -107,7 +107,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
-def bit_sums(hashes: np.ndarray, first: np.ndarray, weights_of: int = 1) -> np.ndarray:
+def bit_sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each text, how many of its hashes have bit 0, 1, ... 63 set (texts x 64)."""
     out = np.zeros((len(first) - 1, 64), dtype=np.int32)
     full = np.flatnonzero(np.diff(first) > 0)

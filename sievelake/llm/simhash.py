@@ -201,7 +201,6 @@ def trie_links(nodes: DataFrame, budget: int, max_bits: int | None = None, node_
         *[F.struct(F.lit(w).alias("depth"), (F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")).alias("value"), F.lit(k).alias("block")) for k, (s, w) in enumerate(blocks)]
     )
     rows = nodes.select("id", *checked, F.explode(rotated).alias("r")).select("id", *checked, "r.*")
-    top = lambda value, depth: F.shiftleft(F.shiftrightunsigned(value, 64 - depth), 64 - depth)
     rows = rows.withColumn("a", F.expr("shiftleft(shiftrightunsigned(value, 64 - depth), 64 - depth)")).withColumn("b", F.col("a"))
     n = nodes.count()
     key = ["block", "depth", "a", "b"]
@@ -216,7 +215,7 @@ def trie_links(nodes: DataFrame, budget: int, max_bits: int | None = None, node_
         cut = "shiftleft(shiftrightunsigned({0}, 64 - {1}), 64 - {1})"
         deep = deep.withColumn("own", F.expr(cut.format("value", "deeper")))
         deep = deep.withColumn("other", F.when(F.expr(cut.format("value", "depth")) == F.col("a"), F.col("b")).otherwise(F.col("a")))
-        deep = deep.withColumn("x", F.explode(F.expr(f"sequence(0L, shiftleft(1L, deeper - depth) - 1L)")))
+        deep = deep.withColumn("x", F.explode(F.expr("sequence(0L, shiftleft(1L, deeper - depth) - 1L)")))
         deep = deep.withColumn("other", F.col("other").bitwiseOR(F.expr("shiftleft(x, 64 - deeper)")))
         deep = deep.where(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget)
         rows = checkpoint(deep.select("id", *checked, F.col("deeper").alias("depth"), "value", "block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")))
@@ -297,8 +296,9 @@ def link(docs: DataFrame, k: int = 3, budget: int = 2, node_rows: int = NODE_ROW
     own = checkpoint(fingerprints(docs, k))
     nodes = checkpoint(own.groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("least")))
     linked = components(trie_links(nodes.select("id", F.col("id").alias("fp")), budget, node_rows=node_rows))
-    known = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = checkpoint(nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    # checkpointed: a join straight on the aggregate could not split the rows of a large component
+    least = checkpoint(known.groupBy("root").agg(F.min("least").alias("component_id")))
     named = known.join(least, "root").select(F.col("id").alias("fp"), "component_id")
     return own.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -363,8 +363,9 @@ def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int
     nodes = checkpoint(own.groupBy("id", *signature).agg(F.min(first).alias("least")))
     edges = checkpoint(trie_links(nodes.select("id", *signature), budget, max_bits, node_rows).distinct())
     linked = components(_verified(edges, nodes, docs, k, similarity))
-    known = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = known.groupBy("root").agg(F.min("least").alias("head"))
+    known = checkpoint(nodes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    # checkpointed: a join straight on the aggregate could not split the rows of a large component
+    least = checkpoint(known.groupBy("root").agg(F.min("least").alias("head")))
     named = known.select("id", "root").join(least, "root")
     rows = own.groupBy("doc_id", "text_hash", "id").agg(F.count("*").alias("copies"))
     rows = rows.join(named, "id")
