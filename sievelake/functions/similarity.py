@@ -10,10 +10,14 @@ from sievelake.functions.text import words
 
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct ``n``-word sequences; a text of ``n`` words or fewer is one; none for a text without words."""
-    w = words(text)
-    many = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    one = F.array(F.array_join(w, " "))
-    return F.when(F.size(w) > n, F.array_distinct(many)).when(F.size(w) > 0, one).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        one = F.array(F.array_join(w, " "))
+        return F.when(F.size(w) > n, F.array_distinct(many)).when(F.size(w) > 0, one).otherwise(F.array().cast("array<string>"))
+
+    # bound as a lambda's variable, the words are found once and not again for each shingle
+    return F.element_at(F.transform(F.array(words(text)), of), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
