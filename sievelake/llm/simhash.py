@@ -31,6 +31,13 @@ STEP = 6
 _LEAF = 1024
 #: Edges that a task holds before it keeps their spanning forest only.
 _EDGES = 1 << 20
+#: Texts in expectation of which the frequent shingles are counted, and how many of these are told to the tasks.
+SAMPLE_TEXTS = 20_000
+MOST_FREQUENT = 500_000
+#: Rows of shared shingles that a task compares on average.
+PREFIX_ROWS = 200_000
+#: Bits of the parity map of a shingle set.
+_PARITY = 1024
 
 
 def word_shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -66,11 +73,21 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of each text, and where each text's begin."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((values, text))
+    values, text = values[order], text[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+    return values[new], np.searchsorted(text[new], np.arange(len(first)))
+
+
 def two_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, text_hash long, fp long, s0 .. s3 long) for each text.
 
     ``fp``: SimHash of the distinct words, stable under small edits, for the search. ``s0 .. s3``: 256 bits of SimHash over the
-    ``k``-word shingles, for the decision. All are 0 for a text without words.
+    distinct ``k``-word shingles, which the decision is about. All are 0 for a text without words.
     """
     python_stage(docs.sparkSession)
     salts = mix(np.arange(1, 5, dtype=np.uint64))
@@ -85,7 +102,7 @@ def two_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
                 at = np.sort(np.unique(own, return_index=True)[1])
                 first = np.searchsorted(words.text[at], np.arange(hi - lo + 1))
                 columns = [majority(bit_sums(mix(words.hashes[at]), first), np.diff(first))]
-                shingles, first = words.shingles(k)
+                shingles, first = distinct(*words.shingles(k))
                 columns += [majority(bit_sums(mix(shingles ^ s), first), np.diff(first)) for s in salts]
                 parts.append(np.stack(columns))
             got = np.concatenate(parts, axis=1).view(np.int64) if parts else np.zeros((5, 0), dtype=np.int64)
@@ -346,12 +363,122 @@ def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simil
     return pairs.mapInArrow(compare, "u long, v long")
 
 
+def frequent_shingles(docs: DataFrame, k: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the shingles that stand in several texts of a sample, the most frequent ones."""
+    python_stage(docs.sparkSession)
+    parts = max(1, n_docs // SAMPLE_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            for lo, hi in chunks(offsets):
+                own, _ = distinct(*Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(parts)) == 0)
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toPandas()
+    value, count = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(value)
+    return value[order], count[order]
+
+
+def shingle_prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, n, keys, parity) for each text: its number of distinct ``k``-word shingles, the prefix of them of which two
+    sets of that similarity must share one, and ``_PARITY`` bits each of which is flipped by the shingles that fall on it.
+
+    The prefix is the first n - ceil(similarity x n) + 1 shingles in one order for all texts. Any order serves; ``frequent`` ones come
+    last, so that few texts share a key.
+    """
+    python_stage(docs.sparkSession)
+    value, count = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            keys, sizes, lengths, parity = [], [], [], []
+            for lo, hi in chunks(offsets):
+                own, first = distinct(*Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k))
+                n = np.diff(first)
+                text = np.repeat(np.arange(hi - lo), n)
+                often = np.zeros(len(own), dtype=np.int64)
+                if len(value):
+                    at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+                    often = np.where(value[at] == own, count[at], 0)
+                order = np.lexsort((own, often, text))
+                most = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+                keys.append(own[order[np.arange(len(own)) - first[text] < most[text]]])
+                flips = np.zeros((hi - lo, _PARITY), dtype=np.uint8)
+                np.bitwise_xor.at(flips, (text, (mix(own) % np.uint64(_PARITY)).astype(np.int64)), 1)
+                parity += [x.tobytes() for x in np.packbits(flips, axis=1)]
+                sizes.append(n)
+                lengths.append(most)
+            ends = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int32)
+            every = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+            columns = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", "n", "keys", "parity"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, keys array<long>, parity binary")
+
+
+def prefix_pairs(key, node, root, n, at, similarity: float) -> np.ndarray:
+    """(2 x pairs) nodes with different roots that share a key and whose sizes and places of the key allow the similarity."""
+    order = np.lexsort((n, key))
+    key, node, root, n, at = (x[order] for x in (key, node, root, n, at))
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([start, [len(key)]]))
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    rows = np.flatnonzero(np.repeat(mixed, size))
+    left = np.repeat(start + size, size)[rows] - rows - 1
+    found = np.zeros((2, 0), dtype=np.int64)
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(left) >> 21)) + 1):
+        i = np.repeat(rows[part], left[part])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left[part]) - left[part], left[part])
+        most = 1 + np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+        near = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-9) & (most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-9)
+        i, j = node[i[near]], node[j[near]]
+        found = np.unique(np.concatenate([found, [np.minimum(i, j), np.maximum(i, j)]], axis=1), axis=1)
+    return found
+
+
+def _shared_prefixes(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (id, root, least) with different roots, among them all whose shingle sets are so similar."""
+    prefixes = shingle_prefixes(docs, frequent, k, similarity)
+    wanted = nodes.select("id", "root", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
+    same = prefixes["doc_id"].eqNullSafe(wanted["doc_id"]) & (prefixes["text_hash"] == wanted["text_hash"])
+    own = checkpoint(prefixes.join(wanted, same).select("id", "root", "n", "keys", "parity"))
+    total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
+    rows = own.select("id", "root", "n", F.posexplode("keys").alias("at", "key"))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // PREFIX_ROWS)))))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = prefix_pairs(*(pdf[c].to_numpy() for c in ("key", "id", "root", "n", "at")), similarity)
+        return pd.DataFrame({"u": u, "v": v})
+
+    pairs = rows.groupBy("task").applyInPandas(join, "u long, v long").distinct()
+    # repeated rows of one text give it more than once
+    maps = own.groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    of = lambda end: maps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"p_{end}"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, _PARITY // 64) for c in ("p_u", "p_v"))
+            n = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            # a shingle in one of the sets flips one bit: they differ in as many shingles as their maps do in bits, or in more
+            apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+            yield batch.select(["u", "v"]).filter(pa.array(apart * (1 + similarity) <= n * (1 - similarity) + 1e-9, pa.bool_()))
+
+    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS) -> DataFrame:
     """Every row of ``docs``: doc_id, text_hash, component (long), representative (boolean), copies.
 
-    Search: trie self-join of the SimHash of distinct words within ``budget`` bits. Pairs that differ in over ``max_bits`` of 256 bits of
-    SimHash over ``k``-word shingles go (the expected share is acos(2s / (1 + s)) / pi for a Jaccard similarity of s: 39 bits at
-    0.8, with a deviation of 6). Of the rest each task keeps a spanning forest, nearest pairs first, and its edges are verified: the Jaccard
+    First search: trie self-join of the SimHash of distinct words within ``budget`` bits. Pairs that differ in over ``max_bits`` of 256 bits of
+    SimHash over distinct ``k``-word shingles go (the expected share is acos(2s / (1 + s)) / pi for a Jaccard similarity of s: 39 bits at
+    0.8, with a deviation of 6). Of the rest each task keeps a spanning forest, nearest pairs first. Second search, exact, for what the bits
+    miss: between the components so far, all pairs that share a shingle of their prefixes. Edges of both are verified: the Jaccard
     similarity of whole ``k``-word shingle sets must be ``similarity`` at least. Words: A-Z lower-cased. Texts without words
     are copies of each other. The row with the least doc_id of a component represents it (nulls last; equal ids: the least
     text hash); ``copies`` counts the rows that equal a row in id and text.
@@ -362,8 +489,13 @@ def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     nodes = checkpoint(own.groupBy("id", *signature).agg(F.min(first).alias("least")))
     edges = checkpoint(trie_links(nodes.select("id", *signature), budget, max_bits, node_rows).distinct())
+    rooted = lambda linked: checkpoint(nodes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     linked = components(_verified(edges, nodes, docs, k, similarity))
-    known = checkpoint(nodes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    known = rooted(linked)
+    pairs = checkpoint(_shared_prefixes(docs, known, frequent_shingles(docs, k, own.count()), k, similarity))
+    if not pairs.isEmpty():
+        linked = linked.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        known = rooted(components(linked.union(_verified(pairs, nodes, docs, k, similarity))))
     # checkpointed: a join straight on the aggregate could not split the rows of a large component
     least = checkpoint(known.groupBy("root").agg(F.min("least").alias("head")))
     named = known.select("id", "root").join(least, "root")

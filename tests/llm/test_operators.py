@@ -122,6 +122,29 @@ def test_near_duplicates_leave_one(spark, odd):
     assert simhash.deduplicate(frame(spark, [])).count() == 0
 
 
+def shingle_set(text: str) -> set[tuple]:
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_near_duplicates_of_short_and_repetitive_texts(spark):
+    rng, texts = random.Random(3), []
+    for i in range(40):
+        words = [f"r{i}w{j}" for j in range(200)]
+        texts += [" ".join(words), " ".join(words + 5 * words[60:90])]  # the sets differ in the shingles across the seams only
+    for i in range(120):
+        few = [f"s{i}w{j}" for j in range(30)]
+        words = few + [rng.choice(few) for _ in range(30)]
+        edited = list(words)
+        edited[rng.randrange(2, 28)] = f"s{i}new"
+        texts += [" ".join(words), " ".join(edited)]
+    close = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(map(shingle_set, texts[::2]), map(shingle_set, texts[1::2]), strict=True)]
+    assert sum(close) > 140
+    part = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert [part[2 * i] == part[2 * i + 1] for i in range(len(close))] == close
+
+
+
 def removed(texts, length):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
