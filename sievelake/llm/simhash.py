@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm._session import checkpoint, python_stage
@@ -36,6 +36,8 @@ SAMPLE_TEXTS = 20_000
 MOST_FREQUENT = 500_000
 #: Rows of shared shingles that a task compares on average.
 PREFIX_ROWS = 200_000
+#: Pairs between two components that are verified first; eight times as many in each further round.
+PAIRS_AT_ONCE = 8
 #: Bits of the parity map of a shingle set.
 _PARITY = 1024
 
@@ -472,13 +474,22 @@ def _shared_prefixes(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarr
     return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u long, v long")
 
 
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v, rank): the pairs between nodes of different roots, numbered within each pair of roots."""
+    of = lambda end: known.select(F.col("id").alias(end), F.col("root").alias(f"r_{end}"))
+    met = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").where("r_u <> r_v")
+    one = Window.partitionBy(F.least("r_u", "r_v"), F.greatest("r_u", "r_v")).orderBy(F.xxhash64("u", "v"), "u", "v")
+    return checkpoint(met.select("u", "v", F.row_number().over(one).alias("rank")))
+
+
 def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS) -> DataFrame:
     """Every row of ``docs``: doc_id, text_hash, component (long), representative (boolean), copies.
 
     First search: trie self-join of the SimHash of distinct words within ``budget`` bits. Pairs that differ in over ``max_bits`` of 256 bits of
     SimHash over distinct ``k``-word shingles go (the expected share is acos(2s / (1 + s)) / pi for a Jaccard similarity of s: 39 bits at
     0.8, with a deviation of 6). Of the rest each task keeps a spanning forest, nearest pairs first. Second search, exact, for what the bits
-    miss: between the components so far, all pairs that share a shingle of their prefixes. Edges of both are verified: the Jaccard
+    miss and for forest edges that fail: between the components so far, all pairs that share a shingle of their prefixes, in rounds until
+    no pair is left whose ends are apart. Edges of both are verified: the Jaccard
     similarity of whole ``k``-word shingle sets must be ``similarity`` at least. Words: A-Z lower-cased. Texts without words
     are copies of each other. The row with the least doc_id of a component represents it (nulls last; equal ids: the least
     text hash); ``copies`` counts the rows that equal a row in id and text.
@@ -492,10 +503,11 @@ def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int
     rooted = lambda linked: checkpoint(nodes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     linked = components(_verified(edges, nodes, docs, k, similarity))
     known = rooted(linked)
-    pairs = checkpoint(_shared_prefixes(docs, known, frequent_shingles(docs, k, own.count()), k, similarity))
-    if not pairs.isEmpty():
+    pairs, most = checkpoint(_shared_prefixes(docs, known, frequent_shingles(docs, k, own.count()), k, similarity)), PAIRS_AT_ONCE
+    while not (apart := _apart(pairs, known)).isEmpty():
         linked = linked.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        known = rooted(components(linked.union(_verified(pairs, nodes, docs, k, similarity))))
+        linked = components(linked.union(_verified(apart.where(F.col("rank") <= most), nodes, docs, k, similarity)))
+        known, pairs, most = rooted(linked), apart.where(F.col("rank") > most), 8 * most
     # checkpointed: a join straight on the aggregate could not split the rows of a large component
     least = checkpoint(known.groupBy("root").agg(F.min("least").alias("head")))
     named = known.select("id", "root").join(least, "root")

@@ -144,6 +144,22 @@ def test_near_duplicates_of_short_and_repetitive_texts(spark):
     assert [part[2 * i] == part[2 * i + 1] for i in range(len(close))] == close
 
 
+def test_near_duplicates_past_a_forest_edge_that_fails(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 1)
+    rng, texts = random.Random(5), []
+    for g in range(60):
+        first = [f"g{g}w{j}" for j in range(300)]
+        places = [k * 40 + rng.randrange(8, 32) for k in range(7)]
+        second = [f"g{g}new{j}" if j in places else w for j, w in enumerate(first)]
+        third = [second[j] if j == places[0] else w for j, w in enumerate(first)]
+        texts += [" ".join(first), " ".join(second), " ".join(third)]
+    a, b, c = map(shingle_set, texts[:3])
+    assert len(a & b) < 0.8 * len(a | b) and len(b & c) >= 0.8 * len(b | c) and len(a & c) >= 0.8 * len(a | c)
+    part = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert [len({part[3 * g + k] for k in range(3)}) for g in range(60)] == [1] * 60
+
+
+
 
 def removed(texts, length):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
