@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm._bwt import prefixes_of, suffix_array
 from sievelake.llm._session import checkpoint, python_stage, scratch_table
-from sievelake.llm._text import chunks, flat, mix
+from sievelake.llm._text import Words, chunks, flat, mix
 
 #: Bytes of window starts worked on at once; positions take 20 bits.
 _SEGMENT = 1 << 19
@@ -40,8 +40,8 @@ _POSITION = np.uint64((1 << 20) - 1)
 
 
 def _gram(length: int) -> int:
-    """Bytes of an anchor: a power of two, a fifth of the window at most, so long that few repeat by chance."""
-    return 1 << min(len(_STEPS), (length // 5).bit_length() - 1)
+    """Bytes of an anchor: a power of two, a third of the window at most, so long that few repeat by chance."""
+    return 1 << min(len(_STEPS), (length // 3).bit_length() - 1)
 
 
 def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -301,13 +301,29 @@ def _union(spans) -> tuple[np.ndarray, np.ndarray]:
     return both[new, 0], reach[np.concatenate([new[1:] - 1, [len(both) - 1]])]
 
 
-def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
+def _long_runs(spans, text: np.ndarray, length: int, least_bytes: int, least_words: int) -> list[dict]:
+    """The runs of windows that start byte after byte, if they have so many bytes or whole words of ``text``."""
+    out: list[dict] = []
+    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+        if out and a <= out[-1]["b"] - length + 1:
+            out[-1]["b"] = max(out[-1]["b"], b)
+        else:
+            out.append({"a": a, "b": b})
+    if not out:
+        return out
+    words = Words(text, np.array([0, len(text)]), lower=False)
+    # whole words: those that end in the run but for those that start before it
+    whole = lambda a, b: np.searchsorted(words.ends, b, side="right") - np.searchsorted(words.starts, a)
+    return [s for s in out if s["b"] - s["a"] >= least_bytes or whole(s["a"], s["b"]) >= least_words]
+
+
+def _kept(batch: pa.RecordBatch, judge=None) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
     """(kept bytes, starts and ends of the removed ranges, bytes in all) of each row with ``text`` and ``_spans``."""
     data, offsets = flat(batch.column("text"))
     view = memoryview(data)
     for k, spans in enumerate(batch.column("_spans").to_pylist()):
         lo, n = int(offsets[k]), int(offsets[k + 1] - offsets[k])
-        a, b = _union(spans)
+        a, b = _union(judge(spans, data[lo : lo + n]) if judge else spans)
         yield b"".join(view[lo + x : lo + y] for x, y in zip([0, *b.tolist()], [*a.tolist(), n], strict=True)), a, b, n
 
 
@@ -337,16 +353,20 @@ def remove_repeated(docs: DataFrame, length: int = 400, **options) -> DataFrame:
     return met.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
 
 
-def without_repeated(docs: DataFrame, length: int = 400, **options) -> DataFrame:
+def without_repeated(docs: DataFrame, length: int = 400, least_bytes: int = 0, least_words: int = 0, **options) -> DataFrame:
     """Every row of ``docs``, all columns, its text without the bytes that ``remove_repeated`` removes, nor the rest of a
-    character that a removal has cut. A null text stays null; a text that is all repeated becomes empty."""
+    character that a removal has cut. A null text stays null; a text that is all repeated becomes empty.
+
+    Of the runs of repeated strings, those that start byte after byte, only the ones of ``least_bytes`` bytes or
+    ``least_words`` whole words go."""
     python_stage(docs.sparkSession)
+    judge = lambda spans, text: _long_runs(spans, text, length, least_bytes, least_words)
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             valid = batch.column("text").is_valid().to_pylist()
-            text = pa.array([kept.decode("utf-8", "ignore") if v else None for v, (kept, *_) in zip(valid, _kept(batch), strict=True)], pa.string())
+            text = pa.array([kept.decode("utf-8", "ignore") if v else None for v, (kept, *_) in zip(valid, _kept(batch, judge), strict=True)], pa.string())
             columns = [batch.column(c) for c in docs_columns]
             columns[at] = text
             yield pa.RecordBatch.from_arrays(columns, docs_columns)

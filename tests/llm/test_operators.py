@@ -159,8 +159,6 @@ def test_near_duplicates_past_a_forest_edge_that_fails(spark, monkeypatch):
     assert [len({part[3 * g + k] for k in range(3)}) for g in range(60)] == [1] * 60
 
 
-
-
 def removed(texts, length):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []

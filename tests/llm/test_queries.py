@@ -97,6 +97,17 @@ def test_pipeline_stages(spark, corpus):
     assert sorted((i for b in bins for i in b["doc_ids"]), key=str) == sorted(after, key=str)
 
 
+def test_repeated_passages_of_short_words(spark):
+    r = random.Random(2)
+    fill = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    short, few = " ".join(r.choices("abcdefghij", k=51)), " ".join(["long" + x for x in r.sample("abcdefghijklmnopqrst", 20)])
+    rows = [(k, f"{fill(40)} {passage} {fill(40)}") for k, passage in enumerate([short, short, few, few])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    assert short not in got[0] and short not in got[1] and len(got[0]) < len(rows[0][1]) - 95
+    assert (got[2], got[3]) == (rows[2][1], rows[3][1])  # over 96 bytes, but under 240 and 20 words only
+
+
 def test_run_is_the_stages_in_order(spark, corpus):
     sf, _ = corpus
     got = corpus_pipeline.run(spark, sf)
