@@ -87,6 +87,18 @@ def test_pool_duplicates(spark):
     assert {(r["later"], r["earlier"]) for r in pairs.collect()} == {(2, 1), (4, 1), (4, 2), (7, 1), (7, 2), (7, 4)}
 
 
+def test_pool_duplicates_along_a_chain_and_by_copies(spark):
+    schema = "id long, company string, seen long, text string"
+    words = [f"w{k}" for k in range(90)]
+    chain = [(k, "a", 10 * k, " ".join(words + [f"t{k}"])) for k in range(20)]  # each is near all others, but in the window of its neighbours only
+    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(spark.createDataFrame(chain, schema), window=10).collect()}
+    assert got == {0: (0, "new")} | {k: (0, "text") for k in range(1, 20)}
+    base = " ".join(words)
+    rows = [(1, "a", 0, base), (2, "b", 5, base), (3, "b", 9, base + " end"), (4, "a", 90, base), (5, "a", 95, base + " late"), (6, "c", 96, base + " other"), (7, "c", 97, base)]
+    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(spark.createDataFrame(rows, schema), window=14).collect()}
+    assert got == {1: (1, "new"), 2: (1, "hash"), 3: (1, "text"), 4: (1, "hash"), 5: (1, "text"), 6: (6, "new"), 7: (1, "hash")}
+
+
 def test_core_transforms(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (2, None, "z")], "k int, t int, v string")
     assert {(r["k"], r["v"]) for r in latest_per_key(df, ["k"], -F.col("t")).collect()} == {(1, "y"), (2, "z")}
