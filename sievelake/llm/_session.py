@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -17,11 +18,13 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (local tests)."""
+    """The folder in ``spark.checkpoint.dir`` or set on the context; a temporary one only for a local master that names none (tests)."""
     if named := spark.conf.get("spark.checkpoint.dir", ""):
         return named
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sievelake-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -32,6 +35,8 @@ def scratch_table(df: DataFrame) -> Iterator[DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    del df  # what it was made from may go
+    release(spark)
     try:
         yield spark.read.parquet(path)
     finally:
@@ -39,6 +44,12 @@ def scratch_table(df: DataFrame) -> Iterator[DataFrame]:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of frames that nothing refers to any more; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the folder in ``spark.checkpoint.dir``.
 
@@ -48,6 +59,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has (Spark compares names without case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _ship(spark: SparkSession) -> None:
     """Gives the executors this package, once a session: they need not have it installed."""
     context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
@@ -63,7 +82,8 @@ def _ship(spark: SparkSession) -> None:
 
 def python_stage(spark: SparkSession) -> None:
     """Call before a step that runs Python on the executors: ships the package, and lets Spark cut Arrow
-    batches by bytes, so that very long texts don't pile up in one worker."""
+    batches by bytes, so that very long texts don't pile up in one worker. The setting stays for the session: the step is only
+    planned here and may run at any later time."""
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -49,7 +49,10 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """After the contract's columns: ``spans``, the removed byte ranges, and ``text``, what is left without repeated passages of 50 words too. Any 50
+    words take 99 bytes or more, so passages are searched by strings of 96."""
+    found = substring.remove_repeated(table(spark, sf_dir, "documents"), passage_bytes=96)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text")
 
 
 def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

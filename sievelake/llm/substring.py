@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import ExitStack
+from contextlib import ExitStack, contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm._bwt import prefixes_of, suffix_array
-from sievelake.llm._session import checkpoint, python_stage, scratch_table
+from sievelake.llm._session import checkpoint, fresh, python_stage, release, scratch_table
 from sievelake.llm._text import Words, chunks, flat, mix
 
 #: Bytes of window starts worked on at once; positions take 20 bits.
@@ -188,28 +189,50 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor_runs: int = ANCHOR
                 )
 
     schema = f"doc_id {kind}, text_hash long, anchor long, run long, start int, windows int, away int"
-    one = ["doc_id", "text_hash", "start", "windows", "away"]
     with ExitStack() as tables:
+        # most anchors are unique: their runs go before anything else is counted
         with scratch_table(named.where(F.octet_length("text") >= length).mapInArrow(anchored, schema)) as every_run:
-            # most anchors are unique: their runs go before anything else is counted
-            # (checkpointed: a join straight on the aggregate could not split the runs of a hot anchor)
-            again = checkpoint(every_run.groupBy("anchor").count().where("count > 1").select("anchor"))
-            found = tables.enter_context(scratch_table(every_run.join(again, "anchor", "left_semi")))
+            found = tables.enter_context(scratch_table(_of_shared_anchors(every_run)))
+        one = ["doc_id", "text_hash", "start", "windows", "away"]
         texts = tables.enter_context(scratch_table(found.groupBy("anchor", "run").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in one])))
         whole = found.join(texts.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
         end = (F.col("start") + F.col("windows") - 1 + length).cast("long")
         spans = [checkpoint(whole.select("doc_id", "text_hash", F.struct(F.col("start").cast("long").alias("a"), end.alias("b")).alias("s")).distinct())]
-        shared = texts.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
+        # checkpointed for the same reason as in ``_of_shared_anchors``
+        shared = checkpoint(texts.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1"))
         partial = checkpoint(texts.join(shared, "anchor").select("anchor", "run", "rivals", *one))
-    places = partial.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("anchor", "run", "rivals", "start", "windows", "away")).alias("runs")
-    )
-    same_text = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_hash"] == y["text_hash"])
-    once = _once(named.where(F.octet_length("text") >= length))
-    met = once.join(places, same_text(once, places)).select(once["doc_id"], once["text_hash"], "text", "runs")
-    total = partial.agg(F.sum(F.col("windows") + length)).first()[0] or 0
+    release(spark)
+    with _cut_out(named, partial, length, kind) as cut:
+        total = partial.agg(F.sum(F.col("windows") + length)).first()[0] or 0
+        tasks = max(1, int(total // task_bytes) + 1)
+        parts = F.ceil(F.col("rivals") / anchor_runs)
+        part = F.pmod(F.xxhash64("run"), parts)
+        dealt = cut.withColumn("part", part).withColumn("task", F.when(parts == 1, F.pmod(F.xxhash64("anchor"), F.lit(tasks))).otherwise(F.xxhash64("anchor", "part")))
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            flags = repeated_windows(pdf["raw"].tolist(), pdf["windows"].to_numpy(), pdf["away"].to_numpy(), length)
+            return _frame(pdf, _spans(pdf["start"].to_numpy(), flags, length))
+
+        span_schema = f"doc_id {kind}, text_hash long, a long, b long"
+        within = dealt.groupBy("task").applyInPandas(compare, span_schema)
+        spans.append(within.select("doc_id", "text_hash", F.struct("a", "b").alias("s")))
+        if not partial.where(F.col("rivals") > anchor_runs).isEmpty():
+            over = _dealt(dealt.where(F.col("rivals") > anchor_runs), length, anchor_runs, span_schema)
+            spans.append(over.select("doc_id", "text_hash", F.struct("a", "b").alias("s")))
+        return checkpoint(reduce(DataFrame.union, spans).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("spans")))
+
+
+def _of_shared_anchors(every_run: DataFrame) -> DataFrame:
+    """The runs whose anchor another run has too (checkpointed: a join straight on the aggregate could not split those of a hot anchor)."""
+    return every_run.join(checkpoint(every_run.groupBy("anchor").count().where("count > 1").select("anchor")), "anchor", "left_semi")
+
+
+@contextmanager
+def _cut_out(named: DataFrame, partial: DataFrame, length: int, kind: str) -> Iterator[DataFrame]:
+    """The rows of ``partial`` with the bytes of their runs, ``raw``, as a table."""
+    fields = ["anchor", "run", "rivals", "start", "windows", "away"]
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             lists = batch.column("runs")
@@ -223,44 +246,33 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor_runs: int = ANCHOR
                 rows = pa.array(doc[lo:hi])
                 part = inner.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), *[part.field(c) for c in ("anchor", "run", "rivals", "start", "windows", "away")], pa.array(raw, pa.binary())],
-                    ["doc_id", "text_hash", "anchor", "run", "rivals", "start", "windows", "away", "raw"],
+                    [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), *[part.field(c) for c in fields], pa.array(raw, pa.binary())],
+                    ["doc_id", "text_hash", *fields, "raw"],
                 )
 
-    cut_schema = f"doc_id {kind}, text_hash long, anchor long, run long, rivals long, start int, windows int, away int, raw binary"
-    cut = met.mapInArrow(cut_out, cut_schema)
-    tasks = max(1, int(total // task_bytes) + 1)
-    parts = F.ceil(F.col("rivals") / anchor_runs)
-    part = F.pmod(F.xxhash64("run"), parts)
-    cut = cut.withColumn("part", part).withColumn("task", F.when(parts == 1, F.pmod(F.xxhash64("anchor"), F.lit(tasks))).otherwise(F.xxhash64("anchor", "part")))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = repeated_windows(pdf["raw"].tolist(), pdf["windows"].to_numpy(), pdf["away"].to_numpy(), length)
-        return _frame(pdf, _spans(pdf["start"].to_numpy(), flags, length))
-
-    span_schema = f"doc_id {kind}, text_hash long, a long, b long"
-    within = cut.groupBy("task").applyInPandas(compare, span_schema)
-    spans.append(within.select("doc_id", "text_hash", F.struct("a", "b").alias("s")))
-    if not partial.where(F.col("rivals") > anchor_runs).isEmpty():
-        over = _dealt(checkpoint(cut.where(F.col("rivals") > anchor_runs)), length, span_schema)
-        spans.append(over.select("doc_id", "text_hash", F.struct("a", "b").alias("s")))
-    every = spans[0]
-    for more in spans[1:]:
-        every = every.union(more)
-    return checkpoint(every.groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("spans")))
+    places = partial.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*fields)).alias("runs"))
+    once = _once(named.where(F.octet_length("text") >= length))
+    same_text = once["doc_id"].eqNullSafe(places["doc_id"]) & (once["text_hash"] == places["text_hash"])
+    met = once.join(places, same_text).select(once["doc_id"], once["text_hash"], "text", "runs")
+    del places, once, same_text
+    table = met.mapInArrow(cut, f"doc_id {kind}, text_hash long, anchor long, run long, rivals long, start int, windows int, away int, raw binary")
+    del met
+    with scratch_table(table) as written:
+        del table
+        yield written
 
 
 def _once(named: DataFrame) -> DataFrame:
     """Of rows equal in doc_id and text one each."""
     key = ["doc_id", "text_hash"]
-    again = checkpoint(named.groupBy(*key).count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    again = checkpoint(named.groupBy(*key).count().where("count > 1").select(*key))
     if again.isEmpty():
         return named
-    same = named["doc_id"].eqNullSafe(again["_id"]) & (named["text_hash"] == again["_hash"])
+    same = named["doc_id"].eqNullSafe(again["doc_id"]) & (named["text_hash"] == again["text_hash"])
     return named.join(again, same, "left_anti").union(named.join(again, same, "left_semi").dropDuplicates(key))
 
 
-def _dealt(cut: DataFrame, length: int, span_schema: str) -> DataFrame:
+def _dealt(cut: DataFrame, length: int, anchor_runs: int, span_schema: str) -> DataFrame:
     """The windows of anchors dealt over several tasks that are equal to one in another task: each task sends its distinct
     window hashes, as one array for each range of hashes, and gets back those that another task has too."""
     digest = xxhash.xxh3_64_intdigest
@@ -271,7 +283,7 @@ def _dealt(cut: DataFrame, length: int, span_schema: str) -> DataFrame:
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(np.array([h for row in pdf.itertuples() for h in hashes(row)], dtype=np.uint64))
-        to = own % np.uint64(max(1, -(-int(pdf["rivals"].iloc[0]) // ANCHOR_RUNS)))
+        to = own % np.uint64(max(1, -(-int(pdf["rivals"].iloc[0]) // anchor_runs)))
         return pd.DataFrame([{"anchor": pdf["anchor"].iloc[0], "part": pdf["part"].iloc[0], "range": int(r), "own": own[to == r].tobytes()} for r in np.unique(to)])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -301,14 +313,20 @@ def _union(spans) -> tuple[np.ndarray, np.ndarray]:
     return both[new, 0], reach[np.concatenate([new[1:] - 1, [len(both) - 1]])]
 
 
-def _long_runs(spans, text: np.ndarray, length: int, least_bytes: int, least_words: int) -> list[dict]:
-    """The runs of windows that start byte after byte, if they have so many bytes or whole words of ``text``."""
+def _joined(spans, length: int) -> list[dict]:
+    """Spans of windows of ``length`` bytes, as runs of windows that start byte after byte."""
     out: list[dict] = []
     for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
         if out and a <= out[-1]["b"] - length + 1:
             out[-1]["b"] = max(out[-1]["b"], b)
         else:
             out.append({"a": a, "b": b})
+    return out
+
+
+def _long_runs(spans, text: np.ndarray, length: int, least_bytes: int, least_words: int) -> list[dict]:
+    """The runs of windows that start byte after byte, if they have so many bytes or whole words of ``text``."""
+    out = _joined(spans, length)
     if not out:
         return out
     words = Words(text, np.array([0, len(text)]), lower=False)
@@ -317,59 +335,113 @@ def _long_runs(spans, text: np.ndarray, length: int, least_bytes: int, least_wor
     return [s for s in out if s["b"] - s["a"] >= least_bytes or whole(s["a"], s["b"]) >= least_words]
 
 
-def _kept(batch: pa.RecordBatch, judge=None) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
-    """(kept bytes, starts and ends of the removed ranges, bytes in all) of each row with ``text`` and ``_spans``."""
+def _without(text: memoryview, spans) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(kept bytes, starts and ends of the maximal removed ranges)."""
+    a, b = _union(spans)
+    return b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)), a, b
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     data, offsets = flat(batch.column("text"))
-    view = memoryview(data)
-    for k, spans in enumerate(batch.column("_spans").to_pylist()):
-        lo, n = int(offsets[k]), int(offsets[k + 1] - offsets[k])
-        a, b = _union(judge(spans, data[lo : lo + n]) if judge else spans)
-        yield b"".join(view[lo + x : lo + y] for x, y in zip([0, *b.tolist()], [*a.tolist(), n], strict=True)), a, b, n
+    for lo, hi in zip(offsets, offsets[1:], strict=False):
+        yield data[lo:hi]
+
 
+def _with_spans(docs: DataFrame, found: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with the columns of ``found`` (doc_id, text_hash, then as many as ``names``), renamed."""
+    key, text_hash = fresh("_doc", docs), fresh("_hash", docs)
+    found = found.toDF(key, text_hash, *names)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[key]) & (F.xxhash64(docs["text"]) == found[text_hash]), "left").drop(key, text_hash)
 
-def _with_spans(docs: DataFrame, length: int, options: dict) -> DataFrame:
-    found = repeated_spans(docs, length, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left").drop("_id", "_hash")
 
+def _within(docs: DataFrame, near: DataFrame, short: int, length: int, options: dict) -> DataFrame:
+    """``repeated_spans`` for ``length``, from those for a ``short``-er length: equal long strings lie in unbroken runs of equal short ones, so only
+    runs of ``length`` bytes are searched, each different one once; a run that occurs twice is repeated as a whole."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    named = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
+    runs_column = fresh("_runs", named)
 
-def remove_repeated(docs: DataFrame, length: int = 400, **options) -> DataFrame:
-    """Every row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, s["a"], text[s["a"] : s["b"]].tobytes()) for k, (text, spans) in enumerate(zip(_texts(batch), batch.column(runs_column).to_pylist(), strict=True)) for s in _joined(spans, short) if s["b"] - s["a"] >= length]
+            at, start, raw = zip(*rows, strict=True) if rows else ((), (), ())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(start, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "text_hash", "start", "raw"])
+
+    cut = _with_spans(named, near, runs_column).withColumn("text_hash", F.xxhash64("text")).mapInArrow(pieces, f"doc_id {kind}, text_hash long, start long, raw binary")
+    with scratch_table(cut) as every, ExitStack() as tables:
+        by_content = [F.xxhash64("raw", F.lit(1)).alias("doc_id"), F.xxhash64("raw").alias("text_hash")]
+        places = tables.enter_context(scratch_table(every.select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("of"), "start", F.octet_length("raw").cast("long").alias("n"), *by_content).distinct()))
+        known = checkpoint(places.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")))
+        once = tables.enter_context(scratch_table(every.select(*by_content, F.col("raw").alias("text")).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text")).select("doc_id", "text")))
+        inner = repeated_spans(once, length, **options)
+        met = places.join(known, ["doc_id", "text_hash"]).join(inner, ["doc_id", "text_hash"], "left")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+        spans = F.when(F.col("copies") > 1, whole).otherwise(F.col("spans"))
+        moved = F.transform(spans, lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
+        rows = met.where(spans.isNotNull()).groupBy(F.col("doc").alias("doc_id"), F.col("of").alias("text_hash"))
+        return checkpoint(rows.agg(F.flatten(F.collect_list(moved)).alias("spans")))
+
+
+def remove_repeated(docs: DataFrame, length: int = 400, passage_bytes: int | None = None, passage_words: int = 50, **options) -> DataFrame:
+    """Every row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text.
 
     Removes each byte that a string of ``length`` bytes covers which also starts anywhere else in the corpus, the same text
-    included; strings are judged on the input. A null text is empty. Repeated rows are copies of each other; shorter texts
-    stay as they are. Other columns are not carried; an empty table gives no rows.
+    included; strings are judged on the input. The first five columns after doc_id are about this alone.
+
+    ``text`` is what is left. With ``passage_bytes``, a length that any ``passage_words`` words reach, it lacks the repeated passages of that many
+    whole words too, of which not all have ``length`` bytes; and the rest of a character that a removal has cut goes.
+
+    A null text is empty, and null in ``text``. Repeated rows are copies of each other; shorter texts stay as they are; texts of any length are
+    read whole. Other columns, whatever their names, are not carried; an empty table gives no rows.
     """
     python_stage(docs.sparkSession)
-    met = _with_spans(docs.select("doc_id", "text"), length, options)
-    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))}
+    docs = docs.select("doc_id", "text")
+    if passage_bytes is None:
+        near, found = None, repeated_spans(docs, length, **options).withColumn("near", F.lit(None).cast("array<struct<a:long,b:long>>"))
+    else:
+        near = repeated_spans(docs, passage_bytes, **options)
+        far = _within(docs, near, passage_bytes, length, options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("spans").alias("far"))
+        same = near["doc_id"].eqNullSafe(far["_d"]) & (near["text_hash"] == far["_h"])
+        found = near.join(far, same, "left").select("doc_id", "text_hash", "far", F.col("spans").alias("near"))
+    met = _with_spans(docs, found, "_far", "_near")
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), "text": pa.string()}
+
+    def row(valid: bool, text: np.ndarray, far, near) -> tuple:
+        view = memoryview(text)
+        kept, a, b = _without(view, far)
+        spans = [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        passages = _long_runs(near, text, passage_bytes, 1 << 62, passage_words) if near else []
+        rest = _without(view, spans + passages)[0] if passages else kept
+        return len(view), len(view) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), spans, rest.decode("utf-8", "ignore") if valid else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, n - len(kept), len(a), hashlib.sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]) for kept, a, b, n in _kept(batch)]
+            valid = batch.column("text").is_valid().to_pylist()
+            rows = list(map(row, valid, _texts(batch), batch.column("_far").to_pylist(), batch.column("_near").to_pylist()))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)] if rows else [pa.array([], t) for t in kinds.values()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
+    return met.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>, text string")
 
 
 def without_repeated(docs: DataFrame, length: int = 400, least_bytes: int = 0, least_words: int = 0, **options) -> DataFrame:
     """Every row of ``docs``, all columns, its text without the bytes that ``remove_repeated`` removes, nor the rest of a
-    character that a removal has cut. A null text stays null; a text that is all repeated becomes empty.
+    character that a removal has cut.
 
     Of the runs of repeated strings, those that start byte after byte, only the ones of ``least_bytes`` bytes or
-    ``least_words`` whole words go."""
+    ``least_words`` whole words go. A null text stays null; a text that is all repeated becomes empty; a text of any length is read whole; repeated
+    rows are copies of each other; other columns may have any names; an empty table gives no rows."""
     python_stage(docs.sparkSession)
-    judge = lambda spans, text: _long_runs(spans, text, length, least_bytes, least_words)
-    at = docs.columns.index("text")
+    at, names, column = docs.columns.index("text"), docs.columns, fresh("_spans", docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            valid = batch.column("text").is_valid().to_pylist()
-            text = pa.array([kept.decode("utf-8", "ignore") if v else None for v, (kept, *_) in zip(valid, _kept(batch, judge), strict=True)], pa.string())
-            columns = [batch.column(c) for c in docs_columns]
-            columns[at] = text
-            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+            valid, spans = batch.column("text").is_valid().to_pylist(), batch.column(column).to_pylist()
+            kept = [_without(memoryview(text), _long_runs(s, text, length, least_bytes, least_words))[0].decode("utf-8", "ignore") if v else None for v, text, s in zip(valid, _texts(batch), spans, strict=True)]
+            columns = [batch.column(c) for c in names]
+            columns[at] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_columns = docs.columns
-    return _with_spans(docs, length, options).mapInArrow(cut, docs.schema)
+    return _with_spans(docs, repeated_spans(docs, length, **options), column).mapInArrow(cut, docs.schema)
