@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm._rows import with_row_number
+from sievelake.llm._session import checkpoint
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -32,12 +33,13 @@ def swapped_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs for training from single conversations: chosen is a conversation up to its last assistant turn, rejected has the last answer of the
     next conversation (by conv_id; the first follows the last) in that place. Conversations without an assistant turn, and null ids, make no pair.
     """
-    turns = turns_of(conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()))
+    # each of the steps below reads the turns again
+    turns = checkpoint(turns_of(conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())))
     place = F.struct("turn", "sub")
     answers = turns.where(F.col("role") == "assistant").groupBy("pair_id").agg(F.max(place).alias("last"))
     numbered, n = with_row_number(answers, ["pair_id"])
     of_next = numbered.select(F.pmod(F.col("row_number") - 1, F.lit(max(1, n))).alias("row_number"), F.col("pair_id").alias("source"), F.col("last").alias("source_last"))
-    plan = numbered.join(of_next, "row_number").select("pair_id", "last", "source", "source_last")
+    plan = checkpoint(numbered.join(of_next, "row_number").select("pair_id", "last", "source", "source_last"))
     kept = turns.join(plan.select("pair_id", "last"), "pair_id").where(place <= F.col("last"))
     chosen = kept.drop("last")
     texts = turns.select(F.col("pair_id").alias("source"), F.struct("turn", "sub").alias("source_last"), "role", "text")
@@ -50,7 +52,8 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
     part: prompt, chosen or rejected. Read in the order of (turn, sub), the prompt followed by a side's rows is that side's
     whole conversation. Characters loss_from .. loss_to of a trainable row (its text and end marker) bear the loss. Equal
-    conversations are all prompt; a pair with one side has no prompt.
+    conversations are all prompt; a pair with one side has no prompt. Null roles and texts are empty, and texts of any length are rendered whole; pairs with a
+    null id are left out. ``turns_of`` makes repeated rows one turn, breaks ties, and drops other columns; empty frames give no rows.
     """
     both = chosen.withColumn("side", F.lit("chosen")).unionByName(rejected.withColumn("side", F.lit("rejected")))
     slots = both.groupBy("pair_id", "turn", "sub").agg(F.count("*").alias("n"), F.count_distinct("role", F.xxhash64("text"), F.crc32("text")).alias("kinds"))

@@ -2,8 +2,8 @@
 
 A window that shares no shingle with any item has similarity 0 to all, so only windows around a shared shingle
 are fingerprinted. Of two fingerprints within the radius, one of eight byte-wide blocks differs in at most an eighth of
-it: a table for each block lists the items near each byte, and the union of eight lookups holds every item in the
-radius. Candidates are then verified by their shingles, weighted by how often they occur.
+it: the items that are so near in one of the eight hold every item in the radius. Candidates are then verified by their shingles,
+weighted by how often they occur. Items too short for a shingle are looked for as whole sequences of words.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from sievelake.llm._session import python_stage
 from sievelake.llm._text import Words, chunks, flat, majority, mix
 
-#: Items matched in one pass, and bytes of their texts; more items are matched in several passes.
-ITEMS_PER_PASS = 4096
+#: Items matched in one pass, and bytes of their texts; more items are matched in several passes. An index takes about 40 bytes for each word.
+ITEMS_PER_PASS = 32_768
 BYTES_PER_PASS = 16 << 20
 #: Shingles of a text fingerprinted at once.
 _REGION = 1 << 14
@@ -46,37 +46,54 @@ def _bits(shingles: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items of one pass. Items of fewer than ``k`` words have no shingle and are left out."""
+    """Items of one pass, first those of ``k`` words or more. The shingles of item i are ``own[first[i]:first[i + 1]]``, sorted; the items with
+    ``shingles[j]`` are ``owners[begin[j]:begin[j + 1]]``. ``short``: the others, by their number of words and the hash of them all."""
 
     k: int
     radius: int
     ids: list
     sizes: np.ndarray
     prints: np.ndarray
-    near: np.ndarray
-    weights: list[Counter]
+    own: np.ndarray
+    first: np.ndarray
     shingles: np.ndarray
-    owners: dict[int, list[int]]
+    owners: np.ndarray
+    begin: np.ndarray
     gate: np.ndarray
+    short: dict[int, dict[int, list[int]]]
 
     @staticmethod
     def of(ids: list, texts: list[str], k: int, radius: int) -> Index:
         words = words_of(pa.array(texts, pa.string()))
-        every, first = words.shingles(k)
+        every, at = words.shingles(k)
         n = np.diff(words.first)
-        kept = np.flatnonzero(n >= k)
-        own = [every[first[i] : first[i + 1]] for i in kept]
-        prints = np.array([majority(_bits(s)[-1:], np.array([len(s)]))[0] for s in own], dtype=np.uint64)
-        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, _BLOCKS)
-        near = np.stack([_NEAR[:, blocks[:, b]] <= radius // _BLOCKS for b in range(_BLOCKS)]) if len(kept) else np.zeros((_BLOCKS, 256, 0), dtype=bool)
-        owners: dict[int, list[int]] = {}
-        for item, s in enumerate(own):
-            for x in np.unique(s).tolist():
-                owners.setdefault(x, []).append(item)
-        shingles = np.array(sorted(owners), dtype=np.uint64)
+        kept, rest = np.flatnonzero(n >= k), np.flatnonzero((n > 0) & (n < k))
+        sets = [np.sort(every[at[i] : at[i + 1]]) for i in kept]
+        own = np.concatenate([np.zeros(0, dtype=np.uint64), *sets])
+        first = np.cumsum([0, *map(len, sets)])
+        prints = np.array([majority(_bits(s)[-1:], np.array([len(s)]))[0] for s in sets], dtype=np.uint64)
+        item = np.repeat(np.arange(len(kept)), np.diff(first))
+        order = np.lexsort((item, own))
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[order][1:] != own[order][:-1]) | (item[order][1:] != item[order][:-1])
+        owners = item[order][new]
+        shingles, begin = np.unique(own[order][new], return_index=True)
         gate = np.zeros(1 << 20, dtype=bool)
         gate[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return Index(k, radius, [ids[i] for i in kept], n[kept], prints, near, [Counter(s.tolist()) for s in own], shingles, owners, gate)
+        short: dict[int, dict[int, list[int]]] = {}
+        for place, i in enumerate(rest.tolist(), start=len(kept)):
+            short.setdefault(int(n[i]), {}).setdefault(int(every[at[i]]), []).append(place)
+        return Index(k, radius, [ids[i] for i in (*kept, *rest)], n[kept], prints, own, first, shingles, owners, np.append(begin, len(owners)), gate, short)
+
+    def weights(self, item: int) -> Counter:
+        return Counter(self.own[self.first[item] : self.first[item + 1]].tolist())
+
+    def sharing(self, shingles: np.ndarray) -> np.ndarray:
+        """Items that have one of some shingles, all of which must be known."""
+        j = np.searchsorted(self.shingles, np.unique(shingles))
+        size = self.begin[j + 1] - self.begin[j]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[j], size)
+        return np.unique(self.owners[at])
 
     def match(self, shingles: np.ndarray, n_words: int, hits: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int, int]]:
         """(item, similarity, first word, words, differing bits) of a text: the best window for each item, the first of equals."""
@@ -90,7 +107,8 @@ class Index:
             yield item, *found[item]
 
     def _region(self, shingles, n_words, hits, least, found) -> None:
-        items = np.unique([i for x in np.unique(shingles[hits]).tolist() for i in self.owners[x]])
+        items = self.sharing(shingles[hits])
+        weights = {int(i): self.weights(i) for i in items}
         sizes = self.sizes[items]
         base = max(0, int(hits[0]) - int(sizes.max()))
         sums = _bits(shingles[base : min(len(shingles), int(hits[-1]) + int(sizes.max()))])
@@ -104,13 +122,14 @@ class Index:
             prints = majority(sums[starts - base + width] - sums[starts - base], np.full(len(starts), width))
             blocks = prints.astype("<u8").view(np.uint8).reshape(-1, _BLOCKS)
             near = np.zeros((len(starts), len(own)), dtype=bool)
+            theirs = self.prints[own].astype("<u8").view(np.uint8).reshape(-1, _BLOCKS)
             for b in range(_BLOCKS):
-                near |= self.near[b][blocks[:, b]][:, own]
+                near |= _NEAR[blocks[:, b][:, None], theirs[:, b][None, :]] <= self.radius // _BLOCKS
             at, which = np.nonzero(near)
             bits = np.bitwise_count(prints[at] ^ self.prints[own[which]])
             for a, item, d in zip(at[bits <= self.radius], own[which[bits <= self.radius]], bits[bits <= self.radius], strict=True):
-                weights, s = self.weights[item], int(starts[a])
-                shared = sum((Counter(shingles[s : s + width].tolist()) & weights).values()) / weights.total()
+                s = int(starts[a])
+                shared = sum((Counter(shingles[s : s + width].tolist()) & weights[int(item)]).values()) / weights[int(item)].total()
                 if shared >= least and (item not in found or (shared, -s) > (found[item][0], -found[item][1])):
                     found[int(item)] = (shared, s, int(min(size, n_words)), int(d))
 
@@ -145,14 +164,25 @@ def _hits(batch_texts: pa.Array, index: Index, least: float) -> Iterator[tuple[i
             if n_words >= index.k:
                 for match in index.match(shingles[first[row] : first[row + 1]], n_words, own, least):
                     yield lo + int(row), match
+        for n, known in index.short.items():
+            whole, first = words.shingles(n)
+            at = np.flatnonzero(np.isin(whole, np.array(list(known), dtype=np.uint64)))
+            rows = np.searchsorted(first, at, side="right") - 1
+            seen: set[tuple[int, int]] = set()
+            for row, start, x in zip(rows.tolist(), (at - first[rows]).tolist(), whole[at].tolist(), strict=True):
+                for item in known[x]:
+                    if (row, item) not in seen:  # the first place of each
+                        seen.add((row, item))
+                        yield lo + row, (item, 1.0, start, n, 0)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, bits): for each row of ``docs`` and item, the best window whose
     weighted ``k``-word shingles hold ``similarity`` of the item's.
 
-    Null and empty texts and items, and items of fewer than ``k`` words, match nothing; repeated rows each get their own
-    rows. Extra columns are not carried.
+    An item of fewer than ``k`` words matches where all its words stand in a row. Null and wordless texts and items match nothing; texts of any
+    length are read whole; of equal windows the first counts; repeated rows each get their own rows, and so does each of several items with
+    one id. Extra columns are not carried; empty tables give no rows.
     """
     python_stage(docs.sparkSession)
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
@@ -178,7 +208,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, similarity: floa
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
-    """The rows of ``docs``, all columns, that match no item (see ``contaminated``). No row leaves its partition."""
+    """The rows of ``docs``, all columns, whatever their names, that match no item (see ``contaminated``). No row leaves its partition."""
     python_stage(docs.sparkSession)
     for index in _passes(items, k, radius):
         where = docs.sparkSession.sparkContext.broadcast(index)

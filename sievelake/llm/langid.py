@@ -8,13 +8,13 @@ product of two matrices per batch: presence x landmarks, then similarities x wei
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm._session import python_stage
@@ -22,8 +22,9 @@ from sievelake.llm._session import python_stage
 #: Symbols of the gram alphabet: 0 for anything that is no letter, 1-26 for a-z, the rest hashed.
 BASE = 64
 GRAMS = BASE + BASE**2 + BASE**3
-_LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 256
+#: Landmark texts in expectation, those of all languages together.
+MOST_LANDMARKS = 1536
 
 
 def _alphabet() -> np.ndarray:
@@ -60,8 +61,9 @@ def distinct(found: np.ndarray, size: int) -> np.ndarray:
     return found[_stamp[found] == rows]
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+def has_letter(text: Column) -> Column:
+    """Of any script; digits, numerals such as \u00bd, \u00b2 or \u2460, and marks are no letters. False for a null text."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 @dataclass
@@ -75,8 +77,8 @@ class Model:
     weights: np.ndarray | None = None
 
     @staticmethod
-    def of(langs: list[str], texts: list[str]) -> Model:
-        sets = [grams(t) for t in texts]
+    def of(langs: list[str], sets: list[np.ndarray]) -> Model:
+        """``sets``: the grams of each landmark."""
         known = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.int64)
         column = np.full(GRAMS, -1, dtype=np.int32)
         column[known] = np.arange(len(known))
@@ -118,26 +120,38 @@ def _sample(rows: DataFrame, quotas: dict[str, float], part: str) -> DataFrame:
     return rows.where(draw < F.element_at(share, F.col("lang")))
 
 
-def fit(rows: DataFrame, landmarks: int = 24, examples: int = 800, ridge: float = 1e-3, max_langs: int = 64, longest: int = 20_000) -> Model:
+def _gram_sets(rows: DataFrame) -> list[np.ndarray]:
+    """The grams of each text, in an order of their own; texts don't leave the executors."""
+    python_stage(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sort(grams(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["grams"])
+
+    return [np.array(g, dtype=np.int64) for g in sorted(r["grams"] for r in rows.select("text").mapInArrow(run, "grams array<long>").collect())]
+
+
+def fit(rows: DataFrame, landmarks: int = 24, examples: int = 800, ridge: float = 1e-3) -> Model:
     """Fits on ``rows`` (doc_id, text, lang), which must hold training rows only.
 
-    Bounds, all for each language: ``landmarks`` landmark texts (of at most ``longest`` bytes) and ``examples``
-    training texts, in expectation; the ``max_langs`` most frequent languages are learned. Without a usable row the model
-    knows no language and predicts ``und``.
+    Bounds, in expectation: ``landmarks`` landmark texts and ``examples`` training texts for each language, drawn by hash, whole texts of any length;
+    beyond ``MOST_LANDMARKS`` / ``landmarks`` languages each has fewer landmarks. A language of which none is drawn has the text with
+    the least hash. Languages weigh the same, however many rows they have. Rows without a language or a letter are left out; repeated rows count each.
+    Without a usable row the model knows no language and predicts ``und``.
     """
-    rows = rows.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in counts)
+    rows = rows.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(total)
     if not langs:
         return Model.of([], [])
-    total = {r["lang"]: r["count"] for r in counts}
-    short = _sample(rows, {k: min(1.0, landmarks / n) for k, n in total.items()}, "landmark").where(F.octet_length("text") <= longest)
-    chosen = sorted((r["lang"], r["text"]) for r in short.select("lang", "text").collect())
-    if len({x for x, _ in chosen}) < len(langs):  # a language with few rows, or with long ones only
-        least = rows.groupBy("lang").agg(F.min_by("text", F.struct(F.octet_length("text"), F.xxhash64("text"))).alias("text"))
-        chosen = sorted({*chosen, *((r["lang"], r["text"][:longest]) for r in least.collect() if r["lang"] in total)})
-    model = Model.of(langs, [t for _, t in chosen])
-    python_stage(rows.sparkSession)
+    each = min(landmarks, max(1, MOST_LANDMARKS // len(langs)))
+    chosen = _sample(rows, {k: min(1.0, each / n) for k, n in total.items()}, "landmark")
+    rare = set(langs) - {r["lang"] for r in chosen.select("lang").distinct().collect()}
+    chosen = chosen.select("text")
+    if rare:
+        least = rows.where(F.col("lang").isin(*rare)).groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        chosen = chosen.union(least.select("text"))
+    model = Model.of(langs, _gram_sets(chosen))
     drawn = _sample(rows, {k: min(1.0, examples / n) for k, n in total.items()}, "example")
     where = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -147,25 +161,26 @@ def fit(rows: DataFrame, landmarks: int = 24, examples: int = 800, ridge: float
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(values), pa.list_(pa.float64()))], ["lang", "k"])
 
     got = sorted((r["lang"], r["k"]) for r in drawn.select("lang", "text").mapInArrow(described, "lang string, k array<double>").collect())
-    k_nm = np.array([k for _, k in got]) if got else np.zeros((0, len(chosen)))
+    k_nm = np.array([k for _, k in got]) if got else np.zeros((0, len(model.norms)))
     target = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in got]).reshape(-1, len(langs))
-    # each language weighs the same, whatever its share
-    weight = np.array([1 / max(1, sum(x == lang for x, _ in got)) for lang, _ in got]).reshape(-1, 1) if len(got) <= 5000 else np.ones((len(got), 1))
+    drawn_of = Counter(lang for lang, _ in got)
+    weight = np.array([1 / drawn_of[lang] for lang, _ in got]).reshape(-1, 1)
     k_mm = (model.landmarks.T @ model.landmarks) / model.norms[:, None] / model.norms
-    left = k_nm.T @ (weight * k_nm) + ridge * k_mm + 1e-8 * np.eye(len(chosen))
+    left = k_nm.T @ (weight * k_nm) + ridge * k_mm + 1e-8 * np.eye(len(model.norms))
     model.weights = np.linalg.lstsq(left, k_nm.T @ (weight * target), rcond=None)[0]
     return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``docs``: doc_id, lang_pred, score. Null texts and texts without a letter are ``und`` with score 0."""
+    """Every row of ``docs``: doc_id, lang_pred, score. Null and empty texts and those without a letter are ``und`` with score 0; texts of any length are
+    read whole. Ties go to the language first in order; repeated rows stay; other columns are not carried; an empty table gives no rows."""
     python_stage(docs.sparkSession)
     where = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            usable = [k for k, t in enumerate(texts) if has_letter(t)]
+            usable = np.flatnonzero(batch.column("usable").to_numpy(zero_copy_only=False)).tolist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             names, shares = where.value.predict([texts[k] for k in usable])
             for k, name in zip(usable, names, strict=True):
@@ -174,4 +189,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text", has_letter(F.col("text")).alias("usable")).mapInArrow(scored, f"doc_id {kind}, lang_pred string, score double")

@@ -36,6 +36,10 @@ _CHAR = (np.arange(256) & 0xC0 != 0x80).astype(np.int32)
 _STOP = _lut(b".!?") > 0
 
 
+#: Lines that training works on at once (one longer text is still taken whole).
+BATCH_LINES = 200_000
+
+
 @dataclass
 class Crf:
     """State 1 is content. ``weights``: features, for content against boilerplate; ``stay``: gain for two equal labels in a row."""
@@ -153,9 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 1_500, longest: int
     """Maximum likelihood on labelled texts: all lines of a text of quality 1 count as content, of quality 0 as boilerplate.
 
     Bounds: ``examples`` labelled texts in expectation (rows whose hash falls under that share) of ``longest`` bytes at most.
-    Without a text of each kind the prior weights stay.
+    Rows with a null id, label or text are left out; an id that is labelled twice has its lower label; repeated rows count each. Other columns may
+    have any names. Without a text of each kind, as in empty tables, the prior weights stay.
     """
-    labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     n = labels.count()
     draw = F.xxhash64(F.lit("quality"), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     # the sample is bounded by a parameter, so its ids may be broadcast
@@ -175,46 +180,65 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 1_500, longest: int
     crf = Crf()
     if not got or got[0][0] == got[-1][0]:
         return crf
+    got.sort(key=lambda r: (len(r[1]), r))
     n = np.array([len(r[1]) for r in got])
-    most = int(n.max())
-    bits = np.zeros((len(got), most), dtype=np.int64)
-    for k, (_, own) in enumerate(got):
-        bits[k, : len(own)] = own
-    live = np.arange(most) < n[:, None]
-    x = ((bits[:, :, None] >> np.arange(len(FEATURES))) & 1).astype(float) * live[:, :, None]
     y = np.array([r[0] for r in got], dtype=float)
     # each text weighs the same, and so does each label
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) / n
+    # texts of similar length are worked on together, so many that their lines, the spare ones included, stay under BATCH_LINES
+    batches, lo = [], 0
+    while lo < len(got):
+        hi = lo + 1
+        while hi < len(got) and (hi + 1 - lo) * n[hi] <= BATCH_LINES:
+            hi += 1
+        batches.append((lo, hi))
+        lo = hi
     w, stay, moment = crf.weights.copy(), crf.stay, np.zeros(len(FEATURES) + 1)
     for _ in range(rounds):
-        gain = np.stack([np.zeros((len(got), most)), x @ w], axis=2)
-        step = np.array([[stay, 0.0], [0.0, stay]])
-        ahead = np.zeros((len(got), most, 2))
-        behind = np.zeros((len(got), most, 2))
-        ahead[:, 0] = gain[:, 0]
-        for t in range(1, most):
-            m = ahead[:, t - 1, :, None] + step
-            ahead[:, t] = np.where(live[:, t, None], np.logaddexp(m[:, 0], m[:, 1]) + gain[:, t], ahead[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            m = step + (gain[:, t + 1] + behind[:, t + 1])[:, None, :]
-            behind[:, t] = np.where(live[:, t + 1, None], np.logaddexp(m[:, :, 0], m[:, :, 1]), 0)
-        z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        p = np.exp(ahead[:, :, 1] + behind[:, :, 1] - z[:, None]) * live
-        pair = ahead[:, :-1, :, None] + step + (gain[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        equal = (np.exp(pair[..., 0, 0]) + np.exp(pair[..., 1, 1])) * live[:, 1:]
-        slope = np.append((((y[:, None] * live - p) * weight[:, None])[:, :, None] * x).sum((0, 1)) - 1e-4 * w, (((live[:, 1:] - equal) * weight[:, None]).sum() - 1e-4 * stay))
+        slope = np.append(-1e-4 * w, -1e-4 * stay)
+        for lo, hi in batches:
+            slope += _slope([r[1] for r in got[lo:hi]], y[lo:hi], weight[lo:hi], w, stay)
         moment += slope**2
         move = 0.2 * slope / np.sqrt(moment + 1e-12)
         w, stay = w + move[:-1], stay + move[-1]
     return Crf(w, float(stay))
 
 
+def _slope(lines: list[list[int]], y: np.ndarray, weight: np.ndarray, w: np.ndarray, stay: float) -> np.ndarray:
+    """Slope of the log likelihood of some texts (features of their lines as bits) by ``w`` and ``stay``: forward-backward over all texts at once."""
+    n = np.array([len(own) for own in lines])
+    most = int(n.max())
+    bits = np.zeros((len(lines), most), dtype=np.int64)
+    for k, own in enumerate(lines):
+        bits[k, : len(own)] = own
+    live = np.arange(most) < n[:, None]
+    x = ((bits[:, :, None] >> np.arange(len(FEATURES))) & 1).astype(float) * live[:, :, None]
+    gain = np.stack([np.zeros((len(lines), most)), x @ w], axis=2)
+    step = np.array([[stay, 0.0], [0.0, stay]])
+    ahead = np.zeros((len(lines), most, 2))
+    behind = np.zeros((len(lines), most, 2))
+    ahead[:, 0] = gain[:, 0]
+    for t in range(1, most):
+        m = ahead[:, t - 1, :, None] + step
+        ahead[:, t] = np.where(live[:, t, None], np.logaddexp(m[:, 0], m[:, 1]) + gain[:, t], ahead[:, t - 1])
+    for t in range(most - 2, -1, -1):
+        m = step + (gain[:, t + 1] + behind[:, t + 1])[:, None, :]
+        behind[:, t] = np.where(live[:, t + 1, None], np.logaddexp(m[:, :, 0], m[:, :, 1]), 0)
+    z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    p = np.exp(ahead[:, :, 1] + behind[:, :, 1] - z[:, None]) * live
+    pair = ahead[:, :-1, :, None] + step + (gain[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]
+    equal = (np.exp(pair[..., 0, 0]) + np.exp(pair[..., 1, 1])) * live[:, 1:]
+    by_weight = (((y[:, None] * live - p) * weight[:, None])[:, :, None] * x).sum((0, 1))
+    return np.append(by_weight, ((live[:, 1:] - equal) * weight[:, None]).sum())
+
+
 def judge(docs: DataFrame, crf: Crf, min_content: float = 0.5) -> DataFrame:
     """Every row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     content_share, n_content_lines.
 
     kept: not base_failed, and ``min_content`` of the words at least stand in content lines. A null text is empty; a text
-    without words fails the base rules and has content share 0.
+    without words fails the base rules and has content share 0. Texts of any length are read whole; content wins ties; repeated rows stay; other
+    columns are not carried; an empty table gives no rows.
     """
     python_stage(docs.sparkSession)
     where = docs.sparkSession.sparkContext.broadcast(crf)

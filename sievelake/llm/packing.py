@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +87,8 @@ def packed(docs: DataFrame, tokens: Column | None = None, sizes: tuple[int, ...]
     """One row for each bin: bin_id, size, used, doc_ids, pieces array<struct<doc_id, offset, length>> in the order of the bin.
 
     ``tokens`` gives a row's length (default ``byte_tokens``). A text longer than the largest size is cut into pieces of
-    that size and a rest; every token is in one piece. Null and empty texts are a piece of one token. Repeated
-    rows are packed each for itself; an empty table has no bins.
+    that size and a rest; every token is in one piece. Null and empty texts are a piece of one token. Ids are carried as they are, nulls
+    too. Repeated rows are packed each for itself; of equal pieces the one first by id comes first; other columns are not carried; an empty table has no bins.
     """
     python_stage(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -96,29 +97,28 @@ def packed(docs: DataFrame, tokens: Column | None = None, sizes: tuple[int, ...]
     grouped = numbered.withColumn("group", F.floor(F.col("row_number") / group_rows).cast("long"))
     most = max(sizes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_number")
-        n = pdf["length"].to_numpy()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("row_number")
+        n = group.column("length").to_numpy()
         parts = -(-n // most)
         row = np.repeat(np.arange(len(n)), parts)
         part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
         size = np.minimum(most, n[row] - part * most)
         at, bins = pack(size, tuple(sizes))
         by = np.argsort(at, kind="stable")
-        ids = pdf["doc_id"].tolist()
-        pieces: list[list[dict]] = [[] for _ in bins]
-        for k in by.tolist():
-            pieces[at[k]].append({"doc_id": ids[row[k]], "offset": int(part[k] * most), "length": int(size[k])})
-        first = int(pdf["group"].iloc[0]) << 32
-        return pd.DataFrame(
+        ids = pc.take(group.column("doc_id"), pa.array(row[by])).combine_chunks()
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(bins)))]).astype(np.int32))
+        pieces = pa.StructArray.from_arrays([ids, pa.array(part[by] * most), pa.array(size[by])], ["doc_id", "offset", "length"])
+        first = int(group.column("group")[0].as_py()) << 32
+        return pa.table(
             {
                 "bin_id": first + np.arange(len(bins)),
                 "size": bins,
                 "used": np.bincount(at, size, len(bins)).astype(np.int64),
-                "doc_ids": [[p["doc_id"] for p in own] for own in pieces],
-                "pieces": pieces,
+                "doc_ids": pa.ListArray.from_arrays(ends, ids),
+                "pieces": pa.ListArray.from_arrays(ends, pieces),
             }
         )
 
     schema = f"bin_id long, size long, used long, doc_ids array<{kind}>, pieces array<struct<doc_id:{kind},offset:long,length:long>>"
-    return grouped.groupBy("group").applyInPandas(run, schema)
+    return grouped.groupBy("group").applyInArrow(run, schema)

@@ -36,10 +36,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``labels`` names rows by id; the page of that id takes the label, and quality 0 is bad."""
+    """A page takes the quality label of the document that it holds."""
     pages = table(spark, sf_dir, "pages")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    mined = url_filter.mine(pages.select("page_id", "url").join(labels, "page_id").select("url", "bad"))
+    mined = url_filter.mine(url_filter.page_labels(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return url_filter.judge(pages, mined)
 
 

@@ -1,7 +1,7 @@
 """URL filtering: a host/path rule list, then association rules mined from labelled URLs with FP-growth.
 
-Mining: the tokens of each labelled URL, and the item ``label:block`` for a bad one, are a transaction.
-FP-growth finds token combinations; a combination becomes a rule if it implies the label with enough
+Mining: the frequent tokens of each labelled URL, and the item ``label:block`` for a bad one, are a transaction; tokens that never
+occur apart are one item, so that a long URL with many copies has few combinations. FP-growth finds token combinations; a combination becomes a rule if it implies the label with enough
 support, confidence and lift and no part of it does so as surely. Matching: an inverted index lists each
 rule under its rarest token, so a URL meets only rules that share that token, and whole combinations are
 then compared. Everything is a Spark expression or a Spark ML job in the JVM.
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from sievelake.llm._session import checkpoint
 
 LABEL = "label:block"
-#: Tokens of a labelled URL that enter mining at most (longer URLs are matched whole, but a transaction of
-#: m common tokens has 2**m combinations).
-MINED_TOKENS = 16
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
@@ -65,36 +62,61 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
+def page_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad) of the pages whose document is labelled: the last number of a path names the document, which the page must really hold
+    (the start of its first line stands in the HTML). Bad is quality 0. Pages without such a document or label have no row."""
+    number = F.try_to_number(F.nullif(F.regexp_extract(path_of(F.col("url")), r"(\d{1,18})(?:\.\w+)?/?\z", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min("quality").alias("quality"))
+    line = F.substring(F.element_at(F.split(F.ltrim("text"), "\n"), 1), 1, 40)
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        line = F.replace(line, F.lit(char), F.lit(entity))
+    starts = docs.select(F.col("doc_id").cast("long").alias("doc"), line.alias("line")).where(F.col("line") != "").join(known, "doc")
+    named = pages.select("url", "html", number.alias("doc")).where(F.col("doc").isNotNull())
+    return named.join(starts, "doc").where(F.contains("html", F.col("line"))).select("url", (F.col("quality") == 0).alias("bad"))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
     """Rules (antecedent, confidence, key) from ``labelled`` (url, bad boolean); none for an empty table.
 
-    Rows with a null url or label are left out. ``key`` is the rule's rarest token.
+    Rows with a null url or label are left out; repeated rows count each; other columns may have any names. A rule needs ``min_count`` rows and a share
+    of ``min_support`` of them that have all its tokens and the label. ``key`` is the rule's rarest token, the first of equally rare ones.
     """
+    none = labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, key string")
     known = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull())
-    items = F.slice(tokens_of(F.col("url")), 1, MINED_TOKENS)
-    known = checkpoint(known.select(F.when(F.col("bad"), F.array_append(items, F.lit(LABEL))).otherwise(items).alias("items")))
+    known = checkpoint(known.select(F.monotonically_increasing_id().alias("row"), "bad", tokens_of(F.col("url")).alias("tokens")))
     n = known.count()
     if not n:
-        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, key string")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(known)
-    frequent = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("key"), "freq")
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(LABEL))) & (F.col("lift") >= min_lift))
-    found = checkpoint(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence"))
-    parts = found.select(F.explode("antecedent").alias("token"), F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"))
-    whole = found.select(F.explode("antecedent").alias("token"), "antecedent", "confidence")
-    redundant = whole.join(parts, "token").where(
+        return none
+    least = max(min_support * n, min_count)
+    tokens = known.select("row", F.explode("tokens").alias("token"))
+    rows_of = [F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+    stats = tokens.groupBy("token").agg(*rows_of).where(F.col("freq") >= least)
+    # tokens of equal rows are one item, named by the first of them; frequent tokens number a row's tokens over min_support at most
+    classes = checkpoint(stats.groupBy("freq", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("item"), "members", "freq"))
+    item_of = F.broadcast(classes.select(F.explode("members").alias("token"), "item"))
+    items = tokens.join(item_of, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    baskets = known.join(items, "row", "left").select("bad", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    baskets = checkpoint(baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(LABEL))) & (F.col("lift") >= min_lift) & ~F.array_contains("antecedent", LABEL))
+    found = found.select(F.array_sort("antecedent").alias("found"), F.explode("antecedent").alias("item"), "confidence").join(F.broadcast(classes), "item")
+    rules = found.groupBy("found", "confidence").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("antecedent"), F.min_by("item", F.struct("freq", "item")).alias("key"))
+    rules = checkpoint(rules.select("antecedent", "confidence", "key"))
+    # a part of a rule has its key among the rule's tokens
+    parts = rules.select("key", F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"))
+    whole = rules.select("antecedent", "confidence", F.explode("antecedent").alias("key"))
+    redundant = whole.join(parts, "key").where(
         (F.size("part") < F.size("antecedent")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0)
     )
-    kept = found.join(redundant.select("antecedent").distinct(), "antecedent", "left_anti")
-    by_token = kept.select("antecedent", "confidence", F.explode("antecedent").alias("key")).join(frequent, "key")
-    return checkpoint(by_token.groupBy("antecedent", "confidence").agg(F.min_by("key", F.struct("freq", "key")).alias("key")))
+    return checkpoint(rules.join(redundant.select("antecedent").distinct(), "antecedent", "left_anti"))
 
 
 def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", rules=RULES) -> DataFrame:
     """Every row of ``pages``: id, host, path, rule, verdict, n_matched (mined rules that fit), confidence (best).
 
     The listed rule decides where one fits, else the mined rules: block if any fits, allow if none does. A null or
-    empty url has empty host and path and is allowed. Repeated rows stay; extra columns are not carried.
+    empty url has empty host and path and is allowed. URLs of any length are read whole; repeated rows stay; extra columns are not carried; an empty
+    table gives no rows.
     """
     urls = pages.select("url").where(F.col("url").isNotNull()).distinct().withColumn("tokens", tokens_of(F.col("url")))
     met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(mined, "key")

@@ -283,7 +283,7 @@ def test_language(spark, odd):
 
 def test_kernel_values(spark):
     texts = ["abc abd", "abd", "xyz", ""]
-    model = langid.Model.of(["aa"], texts[:2])
+    model = langid.Model.of(["aa"], [langid.grams(t) for t in texts[:2]])
     own = lambda t: {c for n in (1, 2, 3) for c in zip(*[(" " + t + " ")[k:] for k in range(n)], strict=False)}
     for i, t in enumerate(texts):
         for j in range(2):
