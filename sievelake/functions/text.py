@@ -47,10 +47,10 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def strip_brackets(text: Column, depth: int = 4) -> Column:
-    """Without (...) and [...], nested up to ``depth``."""
+def strip_brackets(text: Column, depth: int = 8) -> Column:
+    """Without (...) and [...], each kind nested up to ``depth``."""
     for _ in range(depth):
-        text = F.regexp_replace(text, r"\([^()\[\]]*\)|\[[^()\[\]]*\]", " ")
+        text = F.regexp_replace(text, r"\([^()]*\)|\[[^\[\]]*\]", " ")
     return text
 
 
@@ -67,7 +67,7 @@ def company_name(raw: Column) -> Column:
     text = F.array_join(words(text), " ")
     # s a, s r l, s a p i: letters of a dotted legal form belong together
     dotted = "|".join(" ".join(s) for s in LEGAL_SUFFIXES if 2 <= len(s) <= 4)
-    text = F.regexp_replace(F.regexp_replace(text, rf"(?<=\S )({dotted})$", "$1#"), r"(?<=\b\w) (?=(?:\w )*\w#$)", "")
+    text = F.regexp_replace(F.regexp_replace(text, rf"(?:^|(?<=\S ))({dotted})$", "$1#"), r"(?<=\b\w) (?=(?:\w )*\w#$)", "")
     text = F.regexp_replace(text, "#", "")
     return F.regexp_replace(text, rf"(?<=\S)(?: (?:{'|'.join(LEGAL_SUFFIXES)}))+$", "")
 
@@ -82,14 +82,14 @@ def title_tokens(raw: Column) -> Column:
     return F.array_distinct(kept)
 
 
-def job_language(text: Column, declared: Column, longest: int = 30_000) -> Column:
-    """es, en or pt: as declared, else by frequent words (8 at least, twice the second at least), else null."""
-    found = F.regexp_extract_all(fold(F.substring(text, 1, longest)), F.lit("([a-z]+)"), 1)
-
-    def hits(known: tuple[str, ...]) -> Column:
-        return F.size(F.filter(found, lambda w: w.isin(*known)))
-
-    n = {k: hits(v) for k, v in LANGUAGE_WORDS.items()}
+def job_language(text: Column, declared: Column, longest: int | None = None) -> Column:
+    """es, en or pt: as declared, else by frequent words (8 at least, twice the second at least), else null. Whole texts count unless ``longest`` cuts them."""
+    part = text if longest is None else F.substring(text, 1, longest)
+    hits = lambda w, known: F.size(F.filter(w, lambda x: x.isin(*known)))
+    count = lambda w: F.struct(*[hits(w, v).alias(k) for k, v in LANGUAGE_WORDS.items()])
+    # bound as a lambda's variable, the words are found once for all languages
+    every = F.element_at(F.transform(F.array(F.regexp_extract_all(fold(part), F.lit("([a-z]+)"), 1)), count), 1)
+    n = {k: every[k] for k in LANGUAGE_WORDS}
     code = F.substring(F.lower(F.trim(declared)), 1, 2)
     by_words = F.lit(None).cast("string")
     for k in reversed(list(n)):

@@ -24,24 +24,30 @@ def compile_terms(taxonomy: list[tuple[str, list[str]]]) -> list[tuple[str, str]
 def mentions(docs: DataFrame, taxonomy: list[tuple[str, list[str]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, slug, position, must): the first mention of each slug in a text.
 
-    Longer terms match first and mask what they cover, so that a shorter term inside a longer one doesn't count; no single expression
-    does that, hence Arrow batches. ``must``: no word of choice ("nice to have", "a plus") stands in the same line.
+    Longer terms match first and take what they cover, so that a shorter term inside a longer one doesn't count; no single expression
+    does that, hence Arrow batches. Terms that a text doesn't contain cost a substring search. ``must``: no word of choice ("nice to have", "a plus") stands in the same line.
     The taxonomy is a dimension of bounded size and travels with the function.
     """
-    terms = [(re.compile(rf"(?<![\w+#]){re.escape(t)}(?![\w+#])"), s) for t, s in compile_terms(taxonomy)]
+    terms = [(t, re.compile(rf"(?<![\w+#]){re.escape(t)}(?![\w+#])"), s) for t, s in compile_terms(taxonomy)]
     optional = re.compile(r"nice to have|a plus|desirable|deseable|preferred|optional")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def find(text: str) -> dict[str, tuple[int, bool]]:
         low, found = text.lower(), {}
-        masked = low
-        for pattern, slug in terms:
-            for m in list(pattern.finditer(masked)):
-                line = low[low.rfind("\n", 0, m.start()) + 1 : (low.find("\n", m.end()) + 1 or len(low) + 1) - 1]
-                must = optional.search(line) is None
-                at, was = found.get(slug, (m.start(), False))
-                found[slug] = (min(at, m.start()), was or must)
-                masked = masked[: m.start()] + "\0" * (m.end() - m.start()) + masked[m.end() :]
+        taken = bytearray(len(low))
+        for term, pattern, slug in terms:
+            if term not in low:
+                continue
+            for m in pattern.finditer(low):
+                a, b = m.span()
+                if any(taken[a:b]):
+                    continue
+                taken[a:b] = b"\1" * (b - a)
+                at, must = found.get(slug, (a, False))
+                if not must:
+                    line = low[low.rfind("\n", 0, a) + 1 : (low.find("\n", b) + 1 or len(low) + 1) - 1]
+                    must = optional.search(line) is None
+                found[slug] = (min(at, a), must)
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,19 +93,43 @@ def allows_country(scope: Column, country: Column) -> Column:
 
 #: Signals of a text that addresses its evaluator; name and pattern over folded text.
 INJECTION = (
-    ("ignore_instructions", r"\b(ignore|disregard|forget)\b.{0,30}\b(instructions|rules|prompt)\b"),
-    ("assume_role", r"\b(you are now|act as|pretend to be)\b"),
-    ("give_score", r"\b(score|rate|rank)\b.{0,20}\b(10|ten|highest|maximum)\b"),
-    ("system_marker", r"(\bsystem\s*:|<\|[a-z_]+\|>|\[/?inst\])"),
-    ("reveal_prompt", r"\b(reveal|print|repeat)\b.{0,20}\b(prompt|instructions)\b"),
+    ("ignore_instructions", r"\b(?:ignore|disregard|forget|override|skip)\b.{0,30}\b(?:instructions|rules|guidelines|directions|prompts?)\b"),
+    ("ignorar_instrucciones", r"\b(?:ignor(?:a|e|ar|en)|omit(?:e|ir)|desestim(?:a|e|ar)|olvid(?:a|e))\b.{0,30}\b(?:instrucciones|reglas|indicaciones|anterior)\b"),
+    ("new_instructions", r"\b(?:new instructions|nuevas instrucciones)\b"),
+    ("assume_role", r"\b(?:you are now an?|act as an? (?:ai|assistant|language model)|pretend to be)\b"),
+    ("give_score", r"\b(?:score|rate|rank|grade|puntua|califica|asigna|dale)\b.{0,20}\b(?:10|ten|diez|highest|maximum|maxim[ao])\b"),
+    ("score_as_ratio", r"\bscore:?\s?(?:9|10)\s?/\s?10\b"),
+    ("perfect_candidate", r"\b(?:this (?:candidate|applicant) is (?:an? |the )?(?:perfect|ideal|best)|este (?:candidato|postulante) es (?:el |un )?(?:ideal|perfecto|mejor))\b"),
+    ("do_not_evaluate", r"\b(?:do not evaluate|no evalues?)\b"),
+    ("respond_only_with", r"\brespond(?:e)? (?:only|solo|unicamente) (?:with|con)\b"),
+    ("system_prompt", r"\bsystem\s+prompt\b|\bsystem\s*:"),
+    ("template_marker", r"<\|[a-z_]+\|>|\[/?inst\]|###\s*(?:system|instruction|assistant)\b|```\s*json"),
+    ("reveal_prompt", r"\b(?:reveal|print|repeat|show|output|leak)\b.{0,20}\b(?:prompt|instructions)\b"),
+    ("result_field", r"\b(?:accion_sugerida|bloqueadores_duros|match_fuerte|aplicar_personalizado)\b"),
 )
+#: Letters of other alphabets that look like Latin ones.
+_LOOKALIKE, _LATIN = "аеорсхуіјѕкмтһαοντρικυχ", "aeopcxyijskmthaovtpikyx"
+_HIDDEN = "[\U000e0000-\U000e007f\u200b-\u200f\u2060\ufeff]"
 
 
-def injection_signals(text: Column, longest: int = 100_000) -> Column:
-    """Names of the signals in a text: over its folded form, and with digits read as letters and separators between single letters removed."""
-    low = fold(F.substring(F.coalesce(text, F.lit("")), 1, longest))
-    unleet = F.translate(low, "013457@$", "oieastas")
-    joined = F.regexp_replace(low, r"(?<=\b[a-z])[ ._-](?=[a-z]\b)", "")
-    hidden = F.when(F.coalesce(text, F.lit("")).rlike("[\U000e0020-\U000e007f​-‏⁠]"), "hidden_characters")
-    named = [F.when(low.rlike(p) | unleet.rlike(p) | joined.rlike(p), n) for n, p in INJECTION]
-    return F.array_compact(F.array(*named, hidden))
+def injection_signals(text: Column, signals=INJECTION) -> Column:
+    """Names of the signals in a whole text, in order: over its folded form without invisible characters, with words put together that were spelled
+    letter by letter, and with digits and symbols read as letters; ``hidden_characters`` if it has any.
+
+    The forms are found once, as a lambda's variable, and a text without any signal is searched by one pattern."""
+
+    def forms(t: Column) -> Column:
+        low = F.translate(fold(F.regexp_replace(t, _HIDDEN, "")), _LOOKALIKE, _LATIN)
+        joined = F.regexp_replace(F.regexp_replace(low, r"(?<=\b[a-z])[-_.*·|/\\ ](?=[a-z]\b)", ""), r"[-_.*·|/\\]+", " ")
+        return F.array(low, joined, F.translate(joined, "013457@$", "oieastas"))
+
+    every = "|".join(f"(?:{p})" for _, p in signals)
+
+    def search(v: Column) -> Column:
+        has = lambda pattern: F.exists(v, lambda x: x.rlike(pattern))
+        named = F.array_compact(F.array(*[F.when(has(p), n) for n, p in signals]))
+        return F.when(has(every), named).otherwise(F.array().cast("array<string>"))
+
+    whole = F.coalesce(text, F.lit(""))
+    found = F.element_at(F.transform(F.transform(F.array(whole), forms), search), 1)
+    return F.concat(found, F.when(whole.rlike(_HIDDEN), F.array(F.lit("hidden_characters"))).otherwise(F.array().cast("array<string>")))

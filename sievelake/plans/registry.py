@@ -16,6 +16,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._dir = spark, sf_dir
 
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 

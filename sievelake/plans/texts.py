@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievelake.functions import similarity, text, urls
+from sievelake.functions import english, redaction, similarity, text, urls
+from sievelake.functions.sketches import sketches as text_sketches
 from sievelake.operators.core import anti_join_any, first_match
 from sievelake.operators.dedup import pool_duplicates
 from sievelake.plans.registry import query
@@ -35,7 +36,7 @@ def exact_duplicates(t):
     return h.groupBy("jd_hash").agg(F.min("doc_id").alias("root"), F.count("*").alias("copies")).where("copies > 1")
 
 
-_HITS = {k: f"len(list_filter(regexp_extract_all({_FOLD.format('left(text, 30000)')}, '[a-z]+'), lambda x: list_contains({_sql_list(v)}, x)))" for k, v in text.LANGUAGE_WORDS.items()}
+_HITS = {k: f"len(list_filter(regexp_extract_all({_FOLD.format('text')}, '[a-z]+'), lambda x: list_contains({_sql_list(v)}, x)))" for k, v in text.LANGUAGE_WORDS.items()}
 
 
 @query(f"""SELECT doc_id, CASE WHEN left(lower(trim(declared)), 2) IN ('en', 'es', 'pt') THEN left(lower(trim(declared)), 2) WHEN en >= 8 AND en >= 2 * greatest(es, pt) THEN 'en' WHEN es >= 8 AND es >= 2 * greatest(en, pt) THEN 'es' WHEN pt >= 8 AND pt >= 2 * greatest(en, es) THEN 'pt' END AS language
@@ -117,9 +118,10 @@ def shingle_counts(t):
     return t.documents.select("doc_id", F.size(similarity.shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) > 5 THEN list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d)
+  SELECT doc_id, list_sort(list_distinct([list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(x, '')]), lambda h, c: (xor(h, c) * 16777619) % 4294967296) FOR x IN sh]))[1:512] AS sketch FROM s""")
 def sketches(t):
-    return t.documents.select("doc_id", similarity.sketch(F.col("text"), 64).alias("sketch"))
+    return text_sketches(t.documents)
 
 
 @query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 7 = 0 AND (o.doc_id = d.doc_id OR o.text = d.text OR o.n_chars = d.n_chars))""")
@@ -158,10 +160,34 @@ def merge_survivors(t):
     return g.drop("hash")
 
 
-@query()
+_SETS = f"CASE WHEN len({_WORDS.format('text')}) > 5 THEN list_distinct([array_to_string(({_WORDS.format('text')})[i:i+4], ' ') FOR i IN range(1, len({_WORDS.format('text')}) - 3)]) WHEN len({_WORDS.format('text')}) > 0 THEN [array_to_string({_WORDS.format('text')}, ' ')] END"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 5 = 0 THEN lang || '/' || n_chars END AS url, CASE WHEN trim(text) <> '' THEN sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')))) END AS hash, {_SETS} AS s, n_chars % 997 AS ext FROM documents),
+  k AS (SELECT *, min(id) OVER (PARTITION BY source, ext) AS first FROM d), f AS (SELECT * FROM k WHERE id = first),
+  m AS (SELECT a.id, b.id AS to_id, CASE WHEN a.url = b.url THEN 'url' WHEN a.hash = b.hash THEN 'jd_hash' ELSE 'jd_text' END AS reason, CASE WHEN coalesce(a.url = b.url, false) OR coalesce(a.hash = b.hash, false) THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE) END AS similarity
+    FROM f a JOIN f b ON b.id < a.id AND a.id - b.id <= 300 AND (a.url = b.url OR a.hash = b.hash OR (a.source = b.source AND len(a.s) > 0 AND len(b.s) > 0))),
+  o AS (SELECT id, to_id, reason, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY to_id) AS rn FROM m WHERE similarity >= 0.9) WHERE rn = 1),
+  r AS (SELECT id, id AS root FROM f WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT o.id, r.root FROM o JOIN r ON r.id = o.to_id)
+  SELECT k.id, r.root, CASE WHEN k.id <> k.first THEN 'same' ELSE coalesce(o.reason, 'new') END AS reason, CASE WHEN k.id <> k.first THEN 1.0 ELSE o.similarity END AS similarity FROM k JOIN r ON r.id = k.first LEFT JOIN o ON o.id = k.id""")
 def pool_dedup_roots(t):
-    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("company"), F.col("doc_id").alias("seen"), "text")
-    return pool_duplicates(docs, window=10_000)
+    """Some rows share a url with others of their language and length; rows of a source with one external id are the same."""
+    url = F.when(F.col("doc_id") % 5 == 0, F.concat_ws("/", "lang", F.col("n_chars").cast("string")))
+    docs = t.documents.select(F.col("doc_id").alias("id"), "source", (F.col("n_chars") % 997).cast("string").alias("external_id"), url.alias("url"), F.col("source").alias("company"), F.col("doc_id").alias("seen"), "text")
+    return pool_duplicates(docs, window=300)
+
+
+@query()
+def redactions(t):
+    """Every kind of personal data in a text, counted, marked and looked for again."""
+    r = t.documents.select("doc_id", redaction.redacted(F.col("text")).alias("r"))
+    n = lambda kind: F.coalesce(F.try_element_at("r.counts", F.lit(kind)), F.lit(0)).alias(kind)
+    return r.select("doc_id", *[n(k) for k in redaction.KINDS], F.md5("r.text").alias("redacted_md5"), F.size("r.residual").alias("residual"))
+
+
+@query()
+def english_facts(t):
+    return english.language_facts(t.documents)
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b')) AS addresses, len(regexp_extract_all(text, '\b[0-9a-f]{32,64}\b')) AS keys, len(regexp_extract_all(text, '\b[0-9]{16}\b')) AS cards FROM documents""")
