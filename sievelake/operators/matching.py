@@ -120,8 +120,10 @@ def injection_signals(text: Column, signals=INJECTION) -> Column:
 
     def forms(t: Column) -> Column:
         low = F.translate(fold(F.regexp_replace(t, _HIDDEN, "")), _LOOKALIKE, _LATIN)
-        joined = F.regexp_replace(F.regexp_replace(low, r"(?<=\b[a-z])[-_.*·|/\\ ](?=[a-z]\b)", ""), r"[-_.*·|/\\]+", " ")
-        return F.array(low, joined, F.translate(joined, "013457@$", "oieastas"))
+        dotted = F.regexp_replace(F.regexp_replace(low, r"(?<=\b[a-z])[-_.*·|/\\](?=[a-z]\b)", ""), r"[-_.*·|/\\]+", " ")
+        spaced = F.regexp_replace(dotted, r"(?<=\b[a-z]) (?=[a-z]\b)", "")
+        unleet = lambda x: F.translate(x, "013457@$", "oieastas")
+        return F.array(low, dotted, spaced, unleet(dotted), unleet(spaced))
 
     every = "|".join(f"(?:{p})" for _, p in signals)
 

@@ -11,16 +11,16 @@ from sievelake.plans.registry import query
 
 @query("""WITH i AS (SELECT o_custkey, p_brand AS item, CASE l_returnflag WHEN 'R' THEN 'blocker' WHEN 'A' THEN 'unknown' ELSE 'met' END AS state FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderpriority = '1-URGENT'),
   n AS (SELECT count(DISTINCT o_custkey) AS people FROM i), g AS (SELECT state, item, count(DISTINCT o_custkey) AS n FROM i WHERE state <> 'met' GROUP BY 1, 2)
-  SELECT state, item, n, position FROM (SELECT state, item, n, row_number() OVER (PARTITION BY state ORDER BY n DESC, item) AS position FROM g, n WHERE n >= 2 AND 100 * n >= 5 * people) WHERE position <= 3""")
+  SELECT state, item, n, position FROM (SELECT state, item, n, row_number() OVER (PARTITION BY state ORDER BY n DESC, item) AS position FROM g, n WHERE n >= 2 AND 100 * n >= 20 * people) WHERE position <= 3""")
 def fit_summary_groups(t):
-    """Blocking and unknown items that at least two people and a twentieth of all share; the first three of each kind."""
+    """Blocking and unknown items that at least two people and a fifth of all share; the first three of each kind."""
     rows = t.orders.where("o_orderpriority = '1-URGENT'").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     state = F.when(F.col("l_returnflag") == "R", "blocker").when(F.col("l_returnflag") == "A", "unknown").otherwise("met")
     items = rows.select("o_custkey", F.col("p_brand").alias("item"), state.alias("state"))
     people = items.agg(F.count_distinct("o_custkey").alias("people"))
     g = items.where("state <> 'met'").groupBy("state", "item").agg(F.count_distinct("o_custkey").alias("n"))
     # one row of totals
-    g = g.join(F.broadcast(people), (F.col("n") >= 2) & (100 * F.col("n") >= 5 * F.col("people")))
+    g = g.join(F.broadcast(people), (F.col("n") >= 2) & (100 * F.col("n") >= 20 * F.col("people")))
     return top_n_per_group(g.select("state", "item", "n"), ["state"], 3, F.desc("n"), F.asc("item"))
 
 
