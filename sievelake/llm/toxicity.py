@@ -322,7 +322,7 @@ def _apart(sample: DataFrame) -> DataFrame:
     return left.select("text_hash")
 
 
-def _marked(sample: DataFrame, features: Callable[[str], set[str]], n_pos: int, n_neg: int, vocabulary: int, false_share: float, errors: float) -> dict[str, float]:
+def _marked(sample: DataFrame, features: Callable[[str], set[str]], n_pos: int, n_neg: int, vocabulary: int, false_share: float, errors: float, least_chance: float) -> dict[str, float]:
     """The features of ``sample`` (toxic, text) that speak for label 1, each with the chance of label 1 in texts that have it (see ``fit``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,18 +344,19 @@ def _marked(sample: DataFrame, features: Callable[[str], set[str]], n_pos: int,
     # the lower bound of Wilson's interval for that chance
     least = (share + errors**2 / (2 * n) - errors * np.sqrt(share * (1 - share) / n + errors**2 / (4 * n**2))) / (1 + errors**2 / n)
     by_chance = np.array([math.erfc(math.sqrt(g / 2)) / 2 for g in _g2(pos, neg, n_pos, n_neg)])
-    names, strong = np.array(rows["feature"].to_pylist(), dtype=object), _discovered(by_chance, tested, false_share)
+    names, strong = np.array(rows["feature"].to_pylist(), dtype=object), _discovered(by_chance, tested, false_share) & (least >= least_chance)
     return dict(zip(names[strong].tolist(), least[strong].tolist(), strict=True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, vocabulary: int = 4_000, false_share: float = 0.01, errors: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, vocabulary: int = 4_000, false_share: float = 0.01, errors: float = 3.0, least_chance: float = 0.25) -> Model:
     """Learns from ``labels`` (doc_id, toxic), which must hold training rows only, and the texts of ``docs``.
 
     The language model counts all of ``docs``. The word model is fitted on ``examples`` labelled rows at most, in expectation
     (rows whose hash falls under that share; near copies count once). Its features are words, then beginnings of words that are no features;
     ``vocabulary`` of each at most: those that speak for label 1, by the likelihood ratio of their presence, so strongly that ``false_share`` of them at
     most are expected to do so by chance (Benjamini and Hochberg, over all of the sample). Each has the least chance of label 1 in texts that have it
-    that is within ``errors`` standard errors of what the sample shows, so that a rare feature marks a text only together with others. Rows with a null id, label or text are left
+    that is within ``errors`` standard errors of what the sample shows, so that a rare feature marks a text only together with others; under ``least_chance`` it
+    is none, however sure it is that it says a little (a large sample is sure of that for many). Rows with a null id, label or text are left
     out; an id that is labelled twice has its higher label. Other columns may
     have any names. Without a label of each kind, as in empty tables, all texts get the prior score.
     """
@@ -374,9 +375,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, vocabulary:
         n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
         if not n_pos or not n_neg:
             return model
-        weights = _marked(sample, lambda t: where.value.words(t), n_pos, n_neg, vocabulary, false_share, errors)
+        weights = _marked(sample, lambda t: where.value.words(t), n_pos, n_neg, vocabulary, false_share, errors, least_chance)
         # a beginning speaks for the words that are not marked by themselves
-        weights |= _marked(sample, lambda t: _beginnings(where.value.words(t) - weights.keys()), n_pos, n_neg, vocabulary, false_share, errors)
+        weights |= _marked(sample, lambda t: _beginnings(where.value.words(t) - weights.keys()), n_pos, n_neg, vocabulary, false_share, errors, least_chance)
 
         def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
