@@ -34,6 +34,7 @@ def scratch_table(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` as a Parquet table in the shared folder, for as long as the block runs."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievelake-{uuid.uuid4().hex}"
+    release(spark)
     df.write.parquet(path)
     del df  # what it was made from may go
     release(spark)

@@ -404,6 +404,7 @@ def remove_repeated(docs: DataFrame, length: int = 400, passage_bytes: int | Non
         far = _within(docs, near, passage_bytes, length, options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("spans").alias("far"))
         same = near["doc_id"].eqNullSafe(far["_d"]) & (near["text_hash"] == far["_h"])
         found = near.join(far, same, "left").select("doc_id", "text_hash", "far", F.col("spans").alias("near"))
+    release(docs.sparkSession)
     met = _with_spans(docs, found, "_far", "_near")
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), "text": pa.string()}
 
