@@ -33,7 +33,7 @@ _LEAF = 1024
 _EDGES = 1 << 20
 #: Texts in expectation of which the frequent shingles are counted, and how many of these are told to the tasks.
 SAMPLE_TEXTS = 20_000
-MOST_FREQUENT = 500_000
+MOST_FREQUENT = 100_000
 #: Rows of shared shingles that a task compares on average.
 PREFIX_ROWS = 200_000
 #: Pairs between two components that are verified first; eight times as many in each further round.
@@ -379,8 +379,8 @@ def frequent_shingles(docs: DataFrame, k: int, n_docs: int) -> tuple[np.ndarray,
 
     sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(parts)) == 0)
     counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
-    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toPandas()
-    value, count = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
+    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()
+    value, count = found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy()
     order = np.argsort(value)
     return value[order], count[order]
 
