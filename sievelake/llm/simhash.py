@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm._session import checkpoint, python_stage
+from sievelake.llm._session import checkpoint, python_stage, release
 from sievelake.llm._text import Words, bit_sums, chunks, flat, majority, mix
 from sievelake.llm.components import components
 
@@ -39,7 +39,7 @@ PREFIX_ROWS = 200_000
 #: Pairs between two components that are verified first; eight times as many in each further round.
 PAIRS_AT_ONCE = 8
 #: Bits of the parity map of a shingle set.
-_PARITY = 1024
+_PARITY = 512
 
 
 def word_shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -350,6 +350,8 @@ def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simil
     same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["text_hash"] == wanted["text_hash"])
     # repeated rows of one text give its set more than once
     sets = wanted.join(sets, same).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = checkpoint(sets)
+    release(docs.sparkSession)
     of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s_{end}"))
     pairs = edges.join(of("u"), "u").join(of("v"), "v")
 
@@ -451,14 +453,15 @@ def _shared_prefixes(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarr
     same = prefixes["doc_id"].eqNullSafe(wanted["doc_id"]) & (prefixes["text_hash"] == wanted["text_hash"])
     own = checkpoint(prefixes.join(wanted, same).select("id", "root", "n", "keys", "parity"))
     total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
-    rows = own.select("id", "root", "n", F.posexplode("keys").alias("at", "key"))
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // PREFIX_ROWS)))))
+    rows = own.select("id", "root", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("at", "key"))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // PREFIX_ROWS)))).cast("int"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v = prefix_pairs(*(pdf[c].to_numpy() for c in ("key", "id", "root", "n", "at")), similarity)
         return pd.DataFrame({"u": u, "v": v})
 
-    pairs = rows.groupBy("task").applyInPandas(join, "u long, v long").distinct()
+    pairs = checkpoint(rows.groupBy("task").applyInPandas(join, "u long, v long").distinct())
+    release(docs.sparkSession)
     # repeated rows of one text give it more than once
     maps = own.groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
     of = lambda end: maps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"p_{end}"))
@@ -502,10 +505,14 @@ def near_duplicates(docs: DataFrame, budget: int = 3, max_bits: int = 54, k: int
     nodes = checkpoint(own.groupBy("id", *signature).agg(F.min(first).alias("least")))
     edges = checkpoint(trie_links(nodes.select("id", *signature), budget, max_bits, node_rows).distinct())
     rooted = lambda linked: checkpoint(nodes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    release(docs.sparkSession)
     linked = components(_verified(edges, nodes, docs, k, similarity))
     known = rooted(linked)
+    release(docs.sparkSession)
     pairs, most = checkpoint(_shared_prefixes(docs, known, frequent_shingles(docs, k, own.count()), k, similarity)), PAIRS_AT_ONCE
+    release(docs.sparkSession)
     while not (apart := _apart(pairs, known)).isEmpty():
+        release(docs.sparkSession)
         linked = linked.select(F.col("node").alias("u"), F.col("root").alias("v"))
         linked = components(linked.union(_verified(apart.where(F.col("rank") <= most), nodes, docs, k, similarity)))
         known, pairs, most = rooted(linked), apart.where(F.col("rank") > most), 8 * most
