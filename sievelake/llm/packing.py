@@ -40,16 +40,11 @@ def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, cost: Callable[[in
 
     def filled(room: int) -> int:
         """Tokens of waiting pieces that go into ``room``, longest first."""
-        total, taken_n, taken = 0, -1, 0
-        while room:
-            fits = waiting & ((1 << (room + 1)) - 1)
-            if not fits:
-                break
+        total, most = 0, room
+        while fits := waiting & ((1 << (min(room, most) + 1)) - 1):
             n = fits.bit_length() - 1
-            if n == taken_n:
-                break
             take = min(left[n], room // n)
-            total, room, taken_n = total + take * n, min(room - take * n, n - 1), n
+            total, room, most = total + take * n, room - take * n, n - 1
         return total
 
     for i in order:
