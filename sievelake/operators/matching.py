@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,16 +21,11 @@ def compile_terms(taxonomy: list[tuple[str, list[str]]]) -> list[tuple[str, str]
     return sorted(((t, s) for t, s in found.items() if t), key=lambda x: (-len(x[0]), x[0]))
 
 
-def mentions(docs: DataFrame, taxonomy: list[tuple[str, list[str]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, slug, position, must): the first mention of each slug in a text.
-
-    Longer terms match first and take what they cover, so that a shorter term inside a longer one doesn't count; no single expression
-    does that, hence Arrow batches. Terms that a text doesn't contain cost a substring search. ``must``: no word of choice ("nice to have", "a plus") stands in the same line.
-    The taxonomy is a dimension of bounded size and travels with the function.
-    """
+def term_finder(taxonomy: list[tuple[str, list[str]]]) -> Callable[[str], dict[str, tuple[int, bool]]]:
+    """A function from a text to slug: (first position, must). Longer terms come first and take what they cover, so that a shorter term inside a longer one
+    doesn't count. ``must``: some mention stands in a line without a word of choice ("nice to have", "a plus"). Terms that a text lacks cost a substring search."""
     terms = [(t, re.compile(rf"(?<![\w+#]){re.escape(t)}(?![\w+#])"), s) for t, s in compile_terms(taxonomy)]
     optional = re.compile(r"nice to have|a plus|desirable|deseable|preferred|optional")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def find(text: str) -> dict[str, tuple[int, bool]]:
         low, found = text.lower(), {}
@@ -50,6 +45,15 @@ def mentions(docs: DataFrame, taxonomy: list[tuple[str, list[str]]], id_col: str
                 found[slug] = (min(at, a), must)
         return found
 
+    return find
+
+
+def mentions(docs: DataFrame, taxonomy: list[tuple[str, list[str]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, slug, position, must): the first mention of each slug in a text (see ``term_finder``). No single expression lets longer terms take what they
+    cover, hence Arrow batches. The taxonomy is a dimension of bounded size and travels with the function.
+    """
+    find, kind = term_finder(taxonomy), docs.schema[id_col].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(k, slug, at, must) for k, t in enumerate(batch.column(1).to_pylist()) if t for slug, (at, must) in sorted(find(t).items())]

@@ -126,3 +126,36 @@ def test_split_is_balanced_and_reproducible(spark):
     parts = {r["id"]: r["part"] for r in decisions.stratified_split(rows, "id", ["a", "b"], 5).collect()}
     assert len(parts) == 101 and abs(list(parts.values()).count("dev") - 50.5) < 1
     assert parts == {r["id"]: r["part"] for r in decisions.stratified_split(rows.repartition(7), "id", ["a", "b"], 5).collect()}
+
+
+def test_sql_functions(spark):
+    from sievelake.functions.sql import register_sql
+
+    names = register_sql(spark, [("go", ["go", "golang"]), ("google", ["google cloud"])])
+    assert "skill_mentions" in names
+    r = spark.sql("SELECT fold_text('Ñandú') AS a, squash('  x   y ') AS b, monthly_usd(12000D, 'anual') AS c, url_host('https://A.b/x') AS d, jaccard(array('a', 'b'), array('b')) AS e, word_list('Más, de 1') AS f, content_hash(' A  b') = sha2('a b', 256) AS g").first()
+    assert tuple(r) == ("nandu", "x y", 1000, "a.b", 0.5, ["mas", "de", "1"], True)
+    spark.createDataFrame([(1, "golang is nice to have\ngoogle cloud"), (2, None)], "id long, t string").createOrReplaceTempView("postings")
+    got = spark.sql("SELECT id, slug, position, must FROM postings, LATERAL skill_mentions(t)").collect()
+    assert {tuple(x) for x in got} == {(1, "go", 0, False), (1, "google", 23, True)}
+
+
+def test_mentions_equal_masking(spark):
+    import random
+
+    r = random.Random(1)
+    taxonomy = [("a", ["x y", "x"]), ("b", ["y z", "y"]), ("c", ["z"]), ("d", ["x y z"])]
+    texts = [" ".join(r.choices(["x", "y", "z", "xx", "\n", "a plus"], k=12)) for _ in range(60)]
+
+    def plain(t):
+        masked, found = t, {}
+        for term, slug in matching.compile_terms(taxonomy):
+            for m in list(regex.finditer(rf"(?<![\w+#]){regex.escape(term)}(?![\w+#])", masked)):
+                line = t[: m.end()].rsplit("\n", 1)[-1] + t[m.end() :].split("\n", 1)[0]
+                at, must = found.get(slug, (m.start(), False))
+                found[slug] = (min(at, m.start()), must or "a plus" not in line)
+                masked = masked[: m.start()] + "\0" * len(m[0]) + masked[m.end() :]
+        return found
+
+    got = matching.mentions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), taxonomy).collect()
+    assert {(x["doc_id"], x["slug"], x["position"], x["must"]) for x in got} == {(k, s, *v) for k, t in enumerate(texts) for s, v in plain(t).items()}
