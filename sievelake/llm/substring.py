@@ -303,48 +303,42 @@ def _dealt(cut: DataFrame, length: int, anchor_runs: int, span_schema: str) -> D
     return cut.groupBy("anchor", "part").cogroup(common.groupBy("anchor", "part")).applyInPandas(mark, span_schema)
 
 
-def _union(spans) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal disjoint ranges of some spans."""
-    if not spans:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    both = np.array(sorted((s["a"], s["b"]) for s in spans), dtype=np.int64)
-    reach = np.maximum.accumulate(both[:, 1])
-    new = np.flatnonzero(np.concatenate([[True], both[1:, 0] > reach[:-1]]))
-    return both[new, 0], reach[np.concatenate([new[1:] - 1, [len(both) - 1]])]
-
-
-def _joined(spans, length: int) -> list[dict]:
-    """Spans of windows of ``length`` bytes, as runs of windows that start byte after byte."""
-    out: list[dict] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-        if out and a <= out[-1]["b"] - length + 1:
-            out[-1]["b"] = max(out[-1]["b"], b)
-        else:
-            out.append({"a": a, "b": b})
-    return out
-
-
-def _long_runs(spans, text: np.ndarray, length: int, least_bytes: int, least_words: int) -> list[dict]:
-    """The runs of windows that start byte after byte, if they have so many bytes or whole words of ``text``."""
-    out = _joined(spans, length)
-    if not out:
-        return out
-    words = Words(text, np.array([0, len(text)]), lower=False)
-    # whole words: those that end in the run but for those that start before it
-    whole = lambda a, b: np.searchsorted(words.ends, b, side="right") - np.searchsorted(words.starts, a)
-    return [s for s in out if s["b"] - s["a"] >= least_bytes or whole(s["a"], s["b"]) >= least_words]
-
-
-def _without(text: memoryview, spans) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(kept bytes, starts and ends of the maximal removed ranges)."""
-    a, b = _union(spans)
-    return b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)), a, b
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    data, offsets = flat(batch.column("text"))
-    for lo, hi in zip(offsets, offsets[1:], strict=False):
-        yield data[lo:hi]
+def _joined(lists: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b) of spans of windows of ``length`` bytes (a list of them for each row), as runs of windows that start byte after byte; with a length
+    of one, the maximal ranges that the spans cover."""
+    size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    row, inner = np.repeat(np.arange(len(size)), size), lists.flatten()
+    a, b = (inner.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    order = np.lexsort((b, a, row))
+    row, a, b = row[order], a[order], b[order]
+    if not len(row):
+        return row, a, b
+    reach = np.maximum.accumulate(b + (row << 40)) - (row << 40)  # rows follow each other, so each begins anew
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (a[1:] > reach[:-1] - length + 1)])
+    first = np.flatnonzero(new)
+    return row[first], a[first], reach[np.append(first[1:], len(row)) - 1]
+
+
+def _long_runs(lists: pa.Array, data: np.ndarray, offsets: np.ndarray, length: int, least_bytes: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b) of the runs of windows that start byte after byte, if they have so many bytes or whole words of their texts."""
+    row, a, b = _joined(lists, length)
+    keep = b - a >= least_bytes
+    for lo, hi in chunks(offsets):
+        some = np.flatnonzero((row >= lo) & (row < hi) & ~keep)
+        if len(some):
+            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=False)
+            at = offsets[row[some]] - offsets[lo]
+            # whole words: those that end in the run but for those that start before it
+            keep[some] = np.searchsorted(words.ends, at + b[some], side="right") - np.searchsorted(words.starts, at + a[some]) >= least_words
+    return row[keep], a[keep], b[keep]
+
+
+def _kept(view: memoryview, offsets: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[bytes]:
+    """Each text without its ranges, which must be in order and apart."""
+    first = np.searchsorted(row, np.arange(len(offsets)))
+    for k, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+        i, j = first[k], first[k + 1]
+        yield b"".join(view[lo + x : lo + y] for x, y in zip([0, *b[i:j].tolist()], [*a[i:j].tolist(), hi - lo], strict=True)) if j > i else bytes(view[lo:hi])
 
 
 def _with_spans(docs: DataFrame, found: DataFrame, *names: str) -> DataFrame:
@@ -363,10 +357,14 @@ def _within(docs: DataFrame, near: DataFrame, short: int, length: int, options:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, s["a"], text[s["a"] : s["b"]].tobytes()) for k, (text, spans) in enumerate(zip(_texts(batch), batch.column(runs_column).to_pylist(), strict=True)) for s in _joined(spans, short) if s["b"] - s["a"] >= length]
-            at, start, raw = zip(*rows, strict=True) if rows else ((), (), ())
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(start, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "text_hash", "start", "raw"])
+            data, offsets = flat(batch.column("text"))
+            view = memoryview(data)
+            row, start, end = _joined(batch.column(runs_column), short)
+            far = end - start >= length
+            row, start, end = row[far], start[far], end[far]
+            raw = [bytes(view[x:y]) for x, y in zip((offsets[row] + start).tolist(), (offsets[row] + end).tolist(), strict=True)]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(start), pa.array(raw, pa.binary())], ["doc_id", "text_hash", "start", "raw"])
 
     cut = _with_spans(named, near, runs_column).withColumn("text_hash", F.xxhash64("text")).mapInArrow(pieces, f"doc_id {kind}, text_hash long, start long, raw binary")
     with scratch_table(cut) as every, ExitStack() as tables:
@@ -406,22 +404,30 @@ def remove_repeated(docs: DataFrame, length: int = 400, passage_bytes: int | Non
         found = near.join(far, same, "left").select("doc_id", "text_hash", "far", F.col("spans").alias("near"))
     release(docs.sparkSession)
     met = _with_spans(docs, found, "_far", "_near")
-    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), "text": pa.string()}
-
-    def row(valid: bool, text: np.ndarray, far, near) -> tuple:
-        view = memoryview(text)
-        kept, a, b = _without(view, far)
-        spans = [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        passages = _long_runs(near, text, passage_bytes, 1 << 62, passage_words) if near else []
-        rest = _without(view, spans + passages)[0] if passages else kept
-        return len(view), len(view) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), spans, rest.decode("utf-8", "ignore") if valid else None
+    span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            valid = batch.column("text").is_valid().to_pylist()
-            rows = list(map(row, valid, _texts(batch), batch.column("_far").to_pylist(), batch.column("_near").to_pylist()))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)] if rows else [pa.array([], t) for t in kinds.values()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
+            data, offsets = flat(batch.column("text"))
+            view, n = memoryview(data), np.diff(offsets)
+            row, a, b = _joined(batch.column("_far"), 1)
+            removed = np.bincount(row, b - a, len(n)).astype(np.int64)
+            count = np.bincount(row, minlength=len(n)).astype(np.int64)
+            digests, rest = [], []
+            for kept in _kept(view, offsets, row, a, b):
+                digests.append(hashlib.sha256(kept).hexdigest())
+                rest.append(kept)
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], fields=list(span)))
+            if passage_bytes is not None:
+                near = _long_runs(batch.column("_near"), data, offsets, passage_bytes, 1 << 62, passage_words)
+                both = [np.concatenate(x) for x in zip((row, a, b), near, strict=True)]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(both[0], minlength=len(n)))]).astype(np.int32)
+                order = np.argsort(both[0], kind="stable")
+                every = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(both[1][order]), pa.array(both[2][order])], fields=list(span)))
+                rest = list(_kept(view, offsets, *_joined(every, 1)))
+            text = pa.array([x.decode("utf-8", "ignore") if v else None for x, v in zip(rest, batch.column("text").is_valid().to_pylist(), strict=True)], pa.string())
+            columns = [pa.array(n), pa.array(removed), pa.array(count), pa.array(digests, pa.string()), spans, text]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return met.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>, text string")
@@ -439,8 +445,10 @@ def without_repeated(docs: DataFrame, length: int = 400, least_bytes: int = 0, l
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            valid, spans = batch.column("text").is_valid().to_pylist(), batch.column(column).to_pylist()
-            kept = [_without(memoryview(text), _long_runs(s, text, length, least_bytes, least_words))[0].decode("utf-8", "ignore") if v else None for v, text, s in zip(valid, _texts(batch), spans, strict=True)]
+            data, offsets = flat(batch.column("text"))
+            row, a, b = _long_runs(batch.column(column), data, offsets, length, least_bytes, least_words)
+            left = _kept(memoryview(data), offsets, row, a, b)
+            kept = [x.decode("utf-8", "ignore") if v else None for x, v in zip(left, batch.column("text").is_valid().to_pylist(), strict=True)]
             columns = [batch.column(c) for c in names]
             columns[at] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
