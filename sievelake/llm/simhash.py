@@ -350,8 +350,6 @@ def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simil
     same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["text_hash"] == wanted["text_hash"])
     # repeated rows of one text give its set more than once
     sets = wanted.join(sets, same).groupBy("id").agg(F.first("shingles").alias("shingles"))
-    sets = checkpoint(sets)
-    release(docs.sparkSession)
     of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s_{end}"))
     pairs = edges.join(of("u"), "u").join(of("v"), "v")
 
@@ -485,11 +483,10 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return checkpoint(met.select("u", "v", F.row_number().over(one).alias("rank")))
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3, max_bits: int = 54, k: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS) -> DataFrame:
     """Every row of ``docs``: doc_id, text_hash, component (long), representative (boolean), copies.
 
-    First search: trie self-join of the SimHash of distinct words within ``budget`` bits: with 3, one of four blocks of 16 bits is equal, so that
-    tries stay small up to thousands of millions of texts. It finds most links cheaply; none depends on it alone. Pairs that differ in over ``max_bits`` of 256 bits of
+    First search: trie self-join of the SimHash of distinct words within ``budget`` bits. It finds most links cheaply; none depends on it alone. Pairs that differ in over ``max_bits`` of 256 bits of
     SimHash over distinct ``k``-word shingles go (the expected share is acos(2s / (1 + s)) / pi for a Jaccard similarity of s: 39 bits at
     0.8, with a deviation of 6). Of the rest each task keeps a spanning forest, nearest pairs first. Second search, exact, for what the bits
     miss and for forest edges that fail: between the components so far, all pairs that share a shingle of their prefixes, in rounds until
