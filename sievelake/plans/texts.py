@@ -160,10 +160,10 @@ def merge_survivors(t):
     return g.drop("hash")
 
 
-_SETS = f"CASE WHEN len({_WORDS.format('text')}) > 5 THEN list_distinct([array_to_string(({_WORDS.format('text')})[i:i+4], ' ') FOR i IN range(1, len({_WORDS.format('text')}) - 3)]) WHEN len({_WORDS.format('text')}) > 0 THEN [array_to_string({_WORDS.format('text')}, ' ')] END"
+_SETS = "CASE WHEN len(w) > 5 THEN list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END"
 
 
-@query(rf"""WITH RECURSIVE d AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 5 = 0 THEN lang || '/' || n_chars END AS url, CASE WHEN trim(text) <> '' THEN sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')))) END AS hash, {_SETS} AS s, n_chars % 997 AS ext FROM documents),
+@query(rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT *, {_WORDS.format('text')} AS w FROM documents), d AS MATERIALIZED (SELECT doc_id AS id, source, CASE WHEN doc_id % 5 = 0 THEN lang || '/' || n_chars END AS url, CASE WHEN trim(text) <> '' THEN sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')))) END AS hash, {_SETS} AS s, n_chars % 997 AS ext FROM t),
   k AS (SELECT *, min(id) OVER (PARTITION BY source, ext) AS first FROM d), f AS (SELECT * FROM k WHERE id = first),
   m AS (SELECT a.id, b.id AS to_id, CASE WHEN a.url = b.url THEN 'url' WHEN a.hash = b.hash THEN 'jd_hash' ELSE 'jd_text' END AS reason, CASE WHEN coalesce(a.url = b.url, false) OR coalesce(a.hash = b.hash, false) THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE) END AS similarity
     FROM f a JOIN f b ON b.id < a.id AND a.id - b.id <= 300 AND (a.url = b.url OR a.hash = b.hash OR (a.source = b.source AND len(a.s) > 0 AND len(b.s) > 0))),
