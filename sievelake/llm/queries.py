@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import chat, decontam, langid, line_crf, packing, sharding, simhash, substring, toxicity, url_filter
-from sievelake.llm._session import is_held_out, table
+from sievelake.llm import chat, crosstok, decontam, fim, langid, line_crf, packing, sharding, simhash, substring, token_counts, toxicity, url_filter
+from sievelake.llm._session import is_held_out, shared_dir, table
+from sievelake.llm._tokens import Source
 
 
 def op1_viterbi_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,28 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def _tokenizer(name: str, plain: bool = False) -> Source:
+    import public_tokenizers
+
+    return Source(public_tokenizers.path(name), plain)
+
+
+def op11_group_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json", plain=True), _tokenizer("piece_bpe_32k.model"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of a folder of tables lies in the shared folder: who counts the same tables again encodes what is new in them."""
+    cache = f"{shared_dir(spark)}/sievelake-token-counts/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), cache)
+    return token_counts.over_limit(counted, 4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_viterbi_toxicity,
@@ -76,5 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bwt_repeats,
         op9_simhash_decontamination,
         op10_string_kernel_language,
+        op11_group_dictionary,
+        op12_fill_in_middle,
+        op13_digest_cache,
     ]
     return {f.__name__: f for f in found}
