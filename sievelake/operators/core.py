@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +66,18 @@ def first_match(rules: list[tuple[Column, str]], otherwise: str | None = None) -
 
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], signature: list[str]) -> DataFrame:
-    """The next state of a table: unchanged rows stay, changed ones are replaced, unknown ones added; ``change`` tells which."""
-    sign = lambda side: F.xxhash64(*[F.col(f"{side}.{c}") for c in signature])
+    """The next state of a table: rows without news are ``kept``, rows whose ``signature`` is as before ``unchanged``, others ``updated`` as a whole, unknown
+    keys ``inserted``; ``change`` tells which. ``new`` has the columns of ``old``, nulls anywhere; null keys meet null keys. Keys must be unique on either side."""
     rest = [c for c in old.columns if c not in keys]
-    j = old.alias("o").join(new.alias("n"), keys, "full")
-    has_old, has_new = F.col(f"o.{rest[0]}").isNotNull(), F.col(f"n.{rest[0]}").isNotNull()
-    change = F.when(~has_new, "kept").when(~has_old, "inserted").when(sign("o") == sign("n"), "unchanged").otherwise("updated")
-    return j.select(*keys, *[F.when(has_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest], change.alias("change"))
+    # each side as one struct: whether a side has the row is whether its struct is null, whatever its columns are
+    side = lambda df, name: df.select(*[F.col(k).alias(f"_{name}{i}") for i, k in enumerate(keys)], F.struct(*rest).alias(name))
+    o, n = side(old, "_old"), side(new, "_new")
+    met = o.join(n, reduce(lambda x, y: x & y, [o[f"__old{i}"].eqNullSafe(n[f"__new{i}"]) for i in range(len(keys))]), "full")
+    sign = lambda name: F.struct(*[F.col(f"{name}.{c}") for c in signature])
+    has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    change = F.when(~has_new, "kept").when(~has_old, "inserted").when(sign("_old").eqNullSafe(sign("_new")), "unchanged").otherwise("updated")
+    key = [F.when(has_new, F.col(f"__new{i}")).otherwise(F.col(f"__old{i}")).alias(k) for i, k in enumerate(keys)]
+    return met.select(*key, *[F.when(has_new, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in rest], change.alias("change"))
 
 
 def round_half(x: Column) -> Column:

@@ -78,25 +78,41 @@ def test_similarity(spark):
     assert one(spark, lambda x, y: similarity.jaccard(similarity.shingles(x), similarity.shingles(y)), "", " ") == 0
 
 
+def pool(spark, rows):
+    """(id, company, seen, text), and a url where there is a fifth value; each from a source of its own."""
+    full = [(r[0], "s", f"x{r[0]}", r[4] if len(r) > 4 else None, *r[1:4]) for r in rows]
+    return spark.createDataFrame(full, "id long, source string, external_id string, url string, company string, seen long, text string")
+
+
 def test_pool_duplicates(spark):
     base = " ".join(f"w{k}" for k in range(80))
-    rows = [(1, "a", 0, base), (2, "a", 1, base + " end"), (3, "b", 1, base + " end more"), (4, "a", 99, base + " end late"), (5, "c", 9, base.upper()), (6, "a", 2, "other text"), (7, "a", 3, base + " end x")]
-    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(spark.createDataFrame(rows, "id long, company string, seen long, text string"), window=14).collect()}
-    assert got == {1: (1, "new"), 2: (1, "text"), 3: (3, "new"), 4: (4, "new"), 5: (1, "hash"), 6: (6, "new"), 7: (1, "text")}
-    pairs = near_pairs(spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "id long, block string, text string"))
-    assert {(r["later"], r["earlier"]) for r in pairs.collect()} == {(2, 1), (4, 1), (4, 2), (7, 1), (7, 2), (7, 4)}
+    rows = [(1, "a", 0, base), (2, "a", 1, base + " end"), (3, "b", 1, base + " end more"), (4, "a", 99, base + " end late"), (5, "c", 9, base.upper()), (6, "a", 2, "other text", "u/1"), (7, "a", 3, base + " end x"), (8, "z", 4, "third", "u/1"), (9, None, None, None)]
+    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(pool(spark, rows), window=14).collect()}
+    assert got == {1: (1, "new"), 2: (1, "jd_text"), 3: (3, "new"), 4: (4, "new"), 5: (1, "jd_hash"), 6: (6, "new"), 7: (1, "jd_text"), 8: (6, "url"), 9: (9, "new")}
+    pairs = near_pairs(spark.createDataFrame([(r[0], r[1], r[3]) for r in rows if r[3]], "id long, block string, text string"))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(2, 1), (4, 1), (4, 2), (7, 1), (7, 2), (7, 4)}
+    again = pool(spark, [(1, "a", 0, base)]).union(spark.createDataFrame([(2, "s", "x1", None, "a", 5, base)], pool(spark, []).schema))
+    assert {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(again, window=14).collect()} == {1: (1, "new"), 2: (1, "same")}
 
 
 def test_pool_duplicates_along_a_chain_and_by_copies(spark):
-    schema = "id long, company string, seen long, text string"
     words = [f"w{k}" for k in range(90)]
     chain = [(k, "a", 10 * k, " ".join(words + [f"t{k}"])) for k in range(20)]  # each is near all others, but in the window of its neighbours only
-    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(spark.createDataFrame(chain, schema), window=10).collect()}
-    assert got == {0: (0, "new")} | {k: (0, "text") for k in range(1, 20)}
+    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(pool(spark, chain), window=10).collect()}
+    assert got == {0: (0, "new")} | {k: (0, "jd_text") for k in range(1, 20)}
     base = " ".join(words)
     rows = [(1, "a", 0, base), (2, "b", 5, base), (3, "b", 9, base + " end"), (4, "a", 90, base), (5, "a", 95, base + " late"), (6, "c", 96, base + " other"), (7, "c", 97, base)]
-    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(spark.createDataFrame(rows, schema), window=14).collect()}
-    assert got == {1: (1, "new"), 2: (1, "hash"), 3: (1, "text"), 4: (1, "hash"), 5: (1, "text"), 6: (6, "new"), 7: (1, "hash")}
+    got = {r["id"]: (r["root"], r["reason"]) for r in pool_duplicates(pool(spark, rows), window=14).collect()}
+    # 4 comes too late for 1 to 3 and begins a family of its own
+    assert got == {1: (1, "new"), 2: (1, "jd_hash"), 3: (1, "jd_text"), 4: (4, "new"), 5: (4, "jd_text"), 6: (6, "new"), 7: (4, "jd_hash")}
+
+
+def test_merge_rows_with_nulls(spark):
+    shape = "id long, a string, b string"
+    old = spark.createDataFrame([(1, None, "a"), (2, "x", "b"), (3, "y", "c"), (5, None, None), (None, "n", "n")], shape)
+    new = spark.createDataFrame([(1, None, "NEW"), (2, None, "NEW2"), (4, None, "ins"), (5, None, None), (6, None, None), (None, "n", None)], shape)
+    got = {tuple(r) for r in merge_rows(old, new, ["id"], ["a", "b"]).collect()}
+    assert got == {(1, None, "NEW", "updated"), (2, None, "NEW2", "updated"), (3, "y", "c", "kept"), (4, None, "ins", "inserted"), (5, None, None, "unchanged"), (6, None, None, "inserted"), (None, "n", None, "updated")}
 
 
 def test_core_transforms(spark):
