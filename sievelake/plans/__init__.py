@@ -1,6 +1,6 @@
 """Named queries on the driver tables, each beside its DuckDB statement."""
 
-from sievelake.plans import activity, decisions, market, more, reports, rules, texts  # noqa: F401
+from sievelake.plans import activity, decisions, market, more, reports, rules, selection, texts  # noqa: F401
 from sievelake.plans.registry import ORACLE, QUERIES
 
 
