@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.operators.dedup import checkpoint
+from sievelake.session import checkpoint, ship
 
 #: People who own more candidates than this are searched for apart: else all lists would have to be as long.
 MOST_OWNED = 1000
@@ -46,6 +46,7 @@ def top_k(df: DataFrame, keys: list[str], order: list[tuple[str, str]], k: int)
     task in the shuffle; the same cut then merges them. No key's rows are sorted or held together.
     """
     schema = df.schema
+    ship(df.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, kept = [], 0, 0

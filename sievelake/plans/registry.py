@@ -20,8 +20,15 @@ class Tables:
     def spark(self) -> SparkSession:
         return self._spark
 
+    def path(self, name: str) -> str:
+        return f"{self._dir}/{name}.parquet"
+
+    def of(self, spark: SparkSession) -> Tables:
+        """The same tables in another session."""
+        return Tables(spark, self._dir)
+
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._spark.read.parquet(self.path(name))
 
 
 def query(sql: str | None = None) -> Callable:
