@@ -182,7 +182,7 @@ def redactions(t):
     """Every kind of personal data in a text, counted, marked and looked for again."""
     r = t.documents.select("doc_id", redaction.redacted(F.col("text")).alias("r"))
     n = lambda kind: F.coalesce(F.try_element_at("r.counts", F.lit(kind)), F.lit(0)).alias(kind)
-    return r.select("doc_id", *[n(k) for k in redaction.KINDS], F.md5("r.text").alias("redacted_md5"), F.size("r.residual").alias("residual"))
+    return r.select("doc_id", *[n(k) for k in redaction.FINDERS], F.md5("r.text").alias("redacted_md5"), F.size("r.residual").alias("residual"))
 
 
 @query()
