@@ -40,6 +40,8 @@ PREFIX_ROWS = 200_000
 PAIRS_AT_ONCE = 8
 #: Bits of the parity map of a shingle set.
 _PARITY = 512
+#: Bits of the bitmap that tells which texts a verification needs (4 MB), and bytes of one of Spark's bitmap buckets.
+_WANTED_BITS, _BUCKET_BYTES = 1 << 25, 4096
 
 
 def word_shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -322,42 +324,64 @@ def link(docs: DataFrame, k: int = 3, budget: int = 2, node_rows: int = NODE_ROW
     return own.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, text_hash, shingles binary): the sorted distinct 64-bit hashes of a text's ``k``-word shingles."""
+def _bits_of(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of ``_WANTED_BITS`` bits, packed: of each ``text_hash`` one is set. Its size is fixed, whatever the number of hashes."""
+    place = F.pmod("text_hash", F.lit(_WANTED_BITS)) + 1  # buckets of the built-in bitmaps are counted from 1
+    parts = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(_WANTED_BITS // 8, dtype=np.uint8)
+    for bucket, bits in parts.toArrow().to_pandas().itertuples(index=False):
+        own = np.frombuffer(bits, dtype=np.uint8)
+        out[(bucket - 1) * _BUCKET_BYTES : (bucket - 1) * _BUCKET_BYTES + len(own)] = own
+    return out
+
+
+def shingle_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, text_hash, shingles binary): the distinct hashes of a text's ``k``-word shingles, 48 bits each, for the texts whose bit is set in ``wanted``.
+
+    Texts are read where they lie and only sets leave the scan; a few more texts than were asked for pass the bitmap, all of them if these are very many."""
     python_stage(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = (batch.column("text_hash").to_numpy().astype(np.int64)) % _WANTED_BITS
+            batch = batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             data, offsets = flat(batch.column("text"))
             sets = []
             for lo, hi in chunks(offsets):
                 own, first = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k)
-                sets += [np.unique(own[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)]
+                own = own >> np.uint64(16)
+                sets += [np.unique(own[a:b]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, b in zip(first, first[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sets, pa.binary())], ["doc_id", "text_hash", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, shingles binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, shingles binary")
+
+
+def _read_set(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
 
 
 def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The edges whose texts have a Jaccard similarity of ``similarity`` at least. Only texts of edges are read again."""
-    key = nodes.select("id", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
-    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    wanted = checkpoint(ends.join(key, "id"))
-    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    same = named["doc_id"].eqNullSafe(wanted["doc_id"]) & (named["text_hash"] == wanted["text_hash"])
-    sets = shingle_sets(named.join(wanted, same, "left_semi"), k)
-    same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["text_hash"] == wanted["text_hash"])
+    """The edges whose texts have a Jaccard similarity of ``similarity`` at least. Edges are named by their texts, so sets are dealt once, by text; no text is."""
+    of = lambda end: nodes.select(F.col("id").alias(end), F.col("least.doc_id").alias(f"d_{end}"), F.col("least.text_hash").alias(f"h_{end}"))
+    named = checkpoint(edges.select("u", "v").join(of("u"), "u").join(of("v"), "v"))
+    wanted = _bits_of(named.select(F.explode(F.array("h_u", "h_v")).alias("text_hash")))
     # repeated rows of one text give its set more than once
-    sets = wanted.join(sets, same).groupBy("id").agg(F.first("shingles").alias("shingles"))
-    of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s_{end}"))
-    pairs = edges.join(of("u"), "u").join(of("v"), "v")
+    sets = shingle_sets(docs, k, wanted).groupBy("doc_id", "text_hash").agg(F.first("shingles").alias("shingles"))
+
+    def with_set(rows: DataFrame, end: str) -> DataFrame:
+        own = sets.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("shingles").alias(f"s_{end}"))
+        return rows.join(own, rows[f"d_{end}"].eqNullSafe(own["_d"]) & (rows[f"h_{end}"] == own["_h"])).drop("_d", "_h", f"d_{end}", f"h_{end}")
+
+    pairs = with_set(with_set(named, "u"), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("s_u").to_pylist(), batch.column("s_v").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                x, y = _read_set(a), _read_set(b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))

@@ -161,3 +161,22 @@ def test_packing_equals_a_plain_one(seed):
     got, final = packing.pack(lengths, sizes, cost)
     assert got.tolist() == [at[i] for i in range(len(lengths))]
     assert final.tolist() == [min(c for c in sizes if c >= b["used"]) for b in bins]
+
+
+def test_near_duplicates_equal_all_pairs(spark, docs):
+    from sievelake.llm import simhash
+    from sievelake.llm._session import table
+
+    sets = []
+    for _, t in docs:
+        w = [x for x in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = union_find(len(docs), near)
+    expected = {}
+    for k, (i, _) in enumerate(docs):
+        expected.setdefault(root[k], set()).add(i)
+    got = {}
+    for r in simhash.near_duplicates(table(spark, DIR, "documents")).collect():
+        got.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values())) and len(expected) < len(docs)
