@@ -126,33 +126,40 @@ def signup_bursts(t):
     return jobs.burst_limits(rows, per_key=3, burst=6, per_day=420)
 
 
-_LOG = [  # task, at_s, seq, event
-    *[(1, s, k, e) for k, (s, e) in enumerate([(0, "enqueue"), (5, "dequeue"), (9, "ack"), (10, "fail")])],
-    *[(2, s, k, e) for k, (s, e) in enumerate([(0, "enqueue"), (5, "dequeue"), (9, "fail"), (20, "dequeue"), (70, "dequeue"), (75, "fail"), (196, "dequeue"), (200, "fail"), (900, "dequeue")])],
-    *[(3, s, k, e) for k, (s, e) in enumerate([(0, "enqueue"), (5, "dequeue"), (100, "stale"), (1000, "stale"), (1001, "dequeue"), (1005, "release")])],
-    *[(4, s, k, e) for k, (s, e) in enumerate([(3, "ack"), (4, "enqueue"), (4, "enqueue")])],
-    *[(5, s, k, e) for k, (s, e) in enumerate([(0, "enqueue"), (7, "dequeue")])],
-]
-
-
-@query("SELECT * FROM (VALUES (1, 'done', 1, 0, CAST(NULL AS BIGINT)), (2, 'failed', 3, 195, NULL), (3, 'pending', 1, 1005, NULL), (4, 'pending', 0, 4, NULL), (5, 'processing', 1, 0, 7)) AS v(task, status, attempts, run_after_s, locked_s)")
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS task, epoch_us(CAST(ts AS TIMESTAMP)) // 1000000 AS now, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(CAST(ts AS TIMESTAMP)) // 1000000, event_id) AS k FROM events),
+  s AS (SELECT task, k, 'pending' AS status, 0 AS attempts, now AS due, CAST(NULL AS BIGINT) AS locked FROM e WHERE k = 1
+  UNION ALL SELECT task, k, CASE WHEN takes THEN 'processing' WHEN status <> 'processing' THEN status WHEN kind = 'purchase' THEN 'done' WHEN kind = 'error' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END WHEN kind = 'signup' OR stale THEN 'pending' ELSE status END,
+    attempts + takes::INT - (status = 'processing' AND kind = 'signup')::INT, CASE WHEN status = 'processing' AND kind = 'error' AND attempts < 3 THEN now + least(3600, 60 * CAST(pow(2, attempts - 1) AS BIGINT)) WHEN status = 'processing' AND kind = 'signup' THEN now ELSE due END,
+    CASE WHEN takes THEN now WHEN status = 'processing' AND (kind = 'click' OR kind = 'view' AND NOT stale) THEN locked END
+    FROM (SELECT s.task, e.k, s.status, s.attempts, s.due, s.locked, e.now, e.kind, e.kind = 'click' AND s.status = 'pending' AND s.due <= e.now AS takes, e.kind = 'view' AND coalesce(e.now - s.locked > 900, false) AS stale FROM s JOIN e ON e.task = s.task AND e.k = s.k + 1))
+  SELECT task, status, CAST(attempts AS BIGINT) AS attempts, due AS run_after_s, locked AS locked_s FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY k DESC) AS rn FROM s) WHERE rn = 1""")
 def queue_log_states(t):
-    return jobs.queue_states(t.spark.createDataFrame(_LOG, "task long, at_s long, seq long, event string"))
+    """Each user is a task: their first event enqueues it, then click takes it, purchase, error and signup answer, and view looks whether the lease is over."""
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp")), "event_id")) == 1
+    kind = F.col("event_type")
+    event = F.when(first, "enqueue").when(kind == "click", "dequeue").when(kind == "purchase", "ack").when(kind == "error", "fail").when(kind == "signup", "release").otherwise("stale")
+    return jobs.queue_states(t.events.select(F.col("user_id").alias("task"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"), F.col("event_id").alias("seq"), event.alias("event")))
 
 
-@query("SELECT * FROM (VALUES ('c', 1), ('a', 2), ('e', 3)) AS v(source, position)")
+@query("""WITH s AS (SELECT s_name AS source, 60 * (1 + s_nationkey % 5) AS minimum, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey * 37 % 1000 END AS last, CASE WHEN s_suppkey % 4 = 0 THEN 'http_429' WHEN s_suppkey % 4 = 1 THEN 'http_500' END AS error, 1 + s_suppkey % 3 AS cost FROM supplier),
+  r AS (SELECT source, row_number() OVER w AS position, sum(cost) OVER w AS spent FROM s WHERE last IS NULL OR 1000 - last >= CASE WHEN error = 'http_429' THEN 2 * minimum ELSE minimum END WINDOW w AS (ORDER BY last NULLS FIRST, source)) SELECT source, position FROM r WHERE spent <= 60""")
 def sources_due(t):
-    """Never asked first; one that had too many requests waits twice as long; the budget ends the list."""
-    rows = [("a", 60, 100, None, 4), ("b", 60, 950, None, 1), ("c", 60, None, None, 3), ("d", 300, 500, "http_429", 1), ("e", 300, 500, "http_500", 2), ("f", 60, 600, None, 9)]
-    df = t.spark.createDataFrame(rows, "source string, minimum long, last_attempt long, last_error string, cost long")
-    return boards.due_sources(df, F.lit(1000), 9)
+    """Suppliers as sources. Never asked first; one that had too many requests waits twice as long; the budget ends the list."""
+    key = F.col("s_suppkey")
+    error = F.when(key % 4 == 0, "http_429").when(key % 4 == 1, "http_500")
+    rows = t.supplier.select(F.col("s_name").alias("source"), (60 * (1 + F.col("s_nationkey") % 5)).alias("minimum"), F.when(key % 9 > 0, key * 37 % 1000).alias("last_attempt"), error.alias("last_error"), (1 + key % 3).alias("cost"))
+    return boards.due_sources(rows, F.lit(1000), 60)
 
 
-@query("SELECT * FROM (VALUES (0, 'qa', 'k'), (1, 'ux', 'u'), (2, 'data', 'b')) AS v(position, role, keyword)")
+@query("""WITH w AS (SELECT p_brand AS role, CAST(substr(p_brand, 7) AS BIGINT) AS role_order, p_name AS keyword, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_name) - 1 AS place FROM part GROUP BY 1, 2, 3),
+  k AS (SELECT role, keyword, row_number() OVER (ORDER BY place, role_order) - 1 AS k, count(*) OVER () AS n FROM w WHERE place < 3), p AS (SELECT role, keyword, ((k - 2 * least(20, n)) % n + n) % n AS position, n FROM k)
+  SELECT position, role, keyword FROM p WHERE position < least(20, n)""")
 def query_plan_slice(t):
-    """Five queries, three a run: the third run starts at the second query again."""
-    rows = [("data", 0, 0, "a"), ("data", 0, 1, "b"), ("qa", 1, 0, "k"), ("qa", 1, 1, "l"), ("qa", 1, 2, "x"), ("ux", 2, 0, "u")]
-    return boards.planned_queries(t.spark.createDataFrame(rows, "role string, role_order long, place long, keyword string"), per_role=2, per_run=3, rotation=2)
+    """Brands as roles and their most frequent names as keywords: three a role, twenty a run, the third run."""
+    place = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("n"), "keyword")) - 1
+    words = t.part.groupBy(F.col("p_brand").alias("role"), F.col("p_name").alias("keyword")).agg(F.count("*").alias("n"))
+    rows = words.select("role", F.substring("role", 7, 9).cast("long").alias("role_order"), place.alias("place"), "keyword")
+    return boards.planned_queries(rows, per_role=3, per_run=20, rotation=2)
 
 
 @query("""WITH c AS (SELECT doc_id, item FROM (SELECT doc_id, n_chars % 7 AS lost, 7 AS facts, n_chars % 4 AS repeated, 1 + n_chars % 9 AS questions, n_chars % 3 AS resolved, 3 AS issues, 1 + doc_id % 12 AS turns FROM documents) AS item) SELECT count(*) AS conversations, sum(item.lost) / CAST(sum(item.facts) AS DOUBLE) AS lost_rate,

@@ -1,4 +1,4 @@
-"""Rules on built rows: each row is made to exercise one rule, and DuckDB computes the same from the same literals."""
+"""Rules on whole tables: titles, places, offers and evaluations are made of the tables' own rows, with words picked by key, and DuckDB computes the same."""
 
 from __future__ import annotations
 
@@ -21,24 +21,24 @@ def _quoted(v) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    """DuckDB literal table of some rows."""
-    return "(VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows) + f") AS v({names})"
+#: Words of titles; each part's name stands between one of each, by its key.
+_BEFORE = ["Senior", "Sr.", "Semi Senior", "Semi-Senior / Senior", "Junior", "Tech Lead", "Lead Generation", "Staff", "Principal", "Principal,", "Head of", "Group", "Pasante de", "Mid-Market", "VP", "Intern", "Entry Level", "Director de", "ssr", "Lead", "Mid Level", "Vice-President,", "Chief of", ""]
+_AFTER = ["Software Engineer", "Data Engineer (Remote)", "Developer", "Backend", "QA", "Designers", "People", "Product Manager", "Account Executive", "Analyst", "Nurse", "React", "Diseñador/a Jr", "Lead", "Architect", "Full Stack Designer", "leads", "Marketing"]
+_pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (at % len(words) + 1).cast("int"))
+_pick_sql = lambda words, at: f"{_quoted(words)}[{at} % {len(words)} + 1]"
+_TITLE_SQL = f"(SELECT p_partkey AS id, CASE WHEN p_partkey % 101 > 0 THEN {_pick_sql(_BEFORE, 'p_partkey')} || ' ' || p_name || ' ' || {_pick_sql(_AFTER, '(p_partkey // 7 + p_size)')} END AS title FROM part)"
 
 
-def _frame(t, rows: list[tuple], schema: str) -> DataFrame:
-    return t.spark.createDataFrame(rows, schema)
+def _titled(t) -> DataFrame:
+    """Every part as a posting with a title."""
+    key = F.col("p_partkey")
+    title = F.concat_ws(" ", _pick(_BEFORE, key), "p_name", _pick(_AFTER, F.floor(key / 7) + F.col("p_size")))
+    return t.part.select(key.alias("id"), F.when(key % 101 > 0, title).alias("title"))
 
 
-_TITLES = [
-    "Senior Software Engineer", "Sr. Data Engineer (Remote)", "Semi Senior Developer", "Semi-Senior / Senior Backend", "Junior QA", "Tech Lead", "Lead Generation Specialist", "Staff Engineer",
-    "Principal Designers", "Principal, People", "Head of Data", "Group Product Manager", "Pasante de Marketing", "Mid-Market Account Executive", "VP Engineering", "Intern", "Entry Level Analyst",
-    "Director de Arte", "Staff Nurse", "ssr React", "Diseñador/a Jr", "", "Chief of Staff", "Group Lead", "Mid Level Engineer", "Vice-President, Sales",
-]
-_TITLE_ROWS = [(k, x) for k, x in enumerate(_TITLES)] + [(99, None)]
 _PADDED = "' ' || array_to_string(list_filter(string_split_regex(regexp_replace(lower(strip_accents(coalesce(title, ''))), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') || ' '"
 _HAS = lambda column, terms: f"regexp_matches({column}, ' ({'|'.join(terms)}) ')"
-_LEVEL_SQL = f"""WITH p AS (SELECT id, {_PADDED} AS p0 FROM {_values(_TITLE_ROWS, 'id, title')}),
+_LEVEL_SQL = f"""WITH p AS (SELECT id, {_PADDED} AS p0 FROM {_TITLE_SQL}),
   a AS (SELECT id, p0, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p0, '( lead generation)+ ', ' ', 'g'), '( lead gen)+ ', ' ', 'g'), '( leads)+ ', ' ', 'g'), '( mid market)+ ', ' ', 'g') AS p FROM p),
   b AS (SELECT id, p0, p, regexp_replace(p, '( semi senior)+ ', ' ', 'g') AS q FROM a),
   l AS (SELECT id, p0, array_to_string(list_filter([CASE WHEN {_HAS('p', titles.LEVELS[0][1])} THEN 'Trainee' END, CASE WHEN {_HAS('p', titles.LEVELS[1][1])} THEN 'Junior' END, CASE WHEN {_HAS('p', titles.LEVELS[2][1])} THEN 'Semi Senior' END,
@@ -47,7 +47,7 @@ _LEVEL_SQL = f"""WITH p AS (SELECT id, {_PADDED} AS p0 FROM {_values(_TITLE_ROWS
 
 @query(f"{_LEVEL_SQL} SELECT id, nullif(levels, '') AS levels FROM l")
 def title_levels(t):
-    return _frame(t, _TITLE_ROWS, "id long, title string").select("id", titles.title_levels(F.col("title")).alias("levels"))
+    return _titled(t).select("id", titles.title_levels(F.col("title")).alias("levels"))
 
 
 _YEARS = "CASE WHEN id % 3 = 0 THEN 3 WHEN id % 3 = 1 THEN 8 END"
@@ -57,195 +57,172 @@ _YEARS = "CASE WHEN id % 3 = 0 THEN 3 WHEN id % 3 = 1 THEN 8 END"
   SELECT id, level, CAST(coalesce(years < 5 AND level = 'senior', false) AS INT) AS senior_penalty, coalesce(years < 5 AND level = 'staff_plus', false) AS too_senior FROM k""")
 def title_assessments(t):
     years = F.when(F.col("id") % 3 == 0, 3).when(F.col("id") % 3 == 1, 8)
-    return _frame(t, _TITLE_ROWS, "id long, title string").select("id", titles.assess_title(F.col("title"), years).alias("a")).select("id", "a.*")
+    return _titled(t).select("id", titles.assess_title(F.col("title"), years).alias("a")).select("id", "a.*")
 
 
 _NAMED, _VETO, _SPARED = ["data engineer", "backend", "software engineer"], ["designer", "qa", "semi senior"], ["full stack"]
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(p, ' ({'|'.join(_NAMED)})s? ') THEN 2 WHEN {_HAS('p', _VETO)} AND NOT {_HAS('p', _SPARED)} THEN 0 ELSE 1 END AS fit,
-  title IS NOT NULL AND regexp_matches(lower(title), '\\b(data[^a-z0-9]+engineer|backend|software[^a-z0-9]+engineer)s?\\b') AS strong FROM (SELECT id, title, {_PADDED} AS p FROM {_values(_TITLE_ROWS, 'id, title')})""")
+  title IS NOT NULL AND regexp_matches(lower(title), '\\b(data[^a-z0-9]+engineer|backend|software[^a-z0-9]+engineer)s?\\b') AS strong FROM (SELECT id, title, {_PADDED} AS p FROM {_TITLE_SQL})""")
 def title_fits(t):
-    rows = _frame(t, _TITLE_ROWS, "id long, title string")
+    rows = _titled(t)
     strong = F.coalesce(F.lower("title").rlike(titles.strong_pattern(_NAMED)), F.lit(False))
     return rows.select("id", titles.title_fit(F.col("title"), _NAMED, _VETO, _SPARED).alias("fit"), strong.alias("strong"))
 
 
-_HINT_ROWS = [(1, "Backend Engineer", "Programming", "a"), (2, "Marketing Lead", "Programming", "a"), (3, "QA Backend Data Design Marketing", "Design", "a"), (4, "Office", "design ", "a"), (5, "Data Designer", None, "b"), (6, "Data Analyst", "Design", "b"), (7, "Graphic Designer Intern", "Design", "a"), (8, None, "Programming", "a")]
+_HINTING = ["Backend Engineer", "Marketing Lead", "QA Backend Data Design Marketing", "Office", "Data Designer", "Data Analyst", "Graphic Designer Intern", "QA", "Marketing QA Data"]
+_CATEGORIES = ["Programming", "Design", "design ", "Sales"]
+_HINT_ROWS_SQL = f"(SELECT p_partkey AS id, CASE WHEN p_partkey % 53 > 0 THEN {_pick_sql(_HINTING, 'p_partkey')} || ' ' || p_name END AS title, CASE WHEN p_size % 7 > 0 THEN {_pick_sql(_CATEGORIES, 'p_size')} END AS category, CASE WHEN p_brand < 'Brand#2' THEN 'a' ELSE 'b' END AS source FROM part)"
 _HINT_TERMS = {"backend": ["backend"], "data": ["data"], "design": ["design", "designer"], "marketing": ["marketing"], "qa": ["qa"]}
 _HINT_SQL = "list_filter([CASE WHEN p LIKE '% backend %' THEN 'backend' END, CASE WHEN p LIKE '% data %' AND p NOT LIKE '% analyst %' THEN 'data' END, CASE WHEN regexp_matches(p, ' (design|designer) ') THEN 'design' END, CASE WHEN p LIKE '% marketing %' THEN 'marketing' END, CASE WHEN p LIKE '% qa %' THEN 'qa' END], lambda x: x IS NOT NULL)"
 
 
-@query(f"""WITH n AS (SELECT id, {_HINT_SQL} AS named, CASE WHEN source = 'a' AND lower(trim(category)) = 'programming' THEN ['backend', 'data'] WHEN source = 'a' AND lower(trim(category)) = 'design' THEN list_intersect(['design'], {_HINT_SQL}) ELSE [] END AS cat FROM (SELECT *, {_PADDED} AS p FROM {_values(_HINT_ROWS, 'id, title, category, source')})),
+@query(f"""WITH n AS (SELECT id, {_HINT_SQL} AS named, CASE WHEN source = 'a' AND lower(trim(category)) = 'programming' THEN ['backend', 'data'] WHEN source = 'a' AND lower(trim(category)) = 'design' THEN list_intersect(['design'], {_HINT_SQL}) ELSE [] END AS cat FROM (SELECT *, {_PADDED} AS p FROM {_HINT_ROWS_SQL})),
   b AS (SELECT id, named, list_sort(list_distinct(list_concat(named, cat))) AS u FROM n) SELECT id, CASE WHEN len(u) <= 4 THEN u WHEN len(named) <= 4 THEN list_sort(named) ELSE [] END AS hints FROM b""")
 def role_hints(t):
-    rows = _frame(t, _HINT_ROWS, "id long, title string, category string, source string")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    rows = t.part.select(key.alias("id"), F.when(key % 53 > 0, F.concat_ws(" ", _pick(_HINTING, key), "p_name")).alias("title"), F.when(size % 7 > 0, _pick(_CATEGORIES, size)).alias("category"), F.when(F.col("p_brand") < "Brand#2", "a").otherwise("b").alias("source"))
     by_category = {("a", "programming"): (["backend", "data"], False), ("a", "design"): (["design"], True)}
     return rows.select("id", titles.role_hints(F.col("title"), F.col("category"), F.col("source"), by_category, _HINT_TERMS, {"data": ["analyst"]}).alias("hints"))
 
 
-_PLACES = [(1, "Remote (LATAM)"), (2, "  Buenos Aires, Argentina - Remoto "), (3, "New Mexico, USA"), (4, "México o Perú"), (5, "remoto"), (6, None), (7, "São Paulo / Brazilian hours"), (8, "Córdoba [hybrid (3 days)], ARGENTINA;"), (9, "Spain, remote"), (10, "Peruanos y argentinos")]
+_SOMEWHERE = ["Remote (LATAM)", "  Buenos Aires, Argentina - Remoto ", "New Mexico, USA", "México o Perú", "remoto", "São Paulo / Brazilian hours", "Córdoba [hybrid (3 days)], ARGENTINA;", "Spain, remote", "Peruanos y argentinos", "Brasil", "Lima, PERU", "Mexico, New Mexico"]
+_PLACES_SQL = f"(SELECT c_custkey AS id, CASE WHEN c_custkey % 37 > 0 THEN {_pick_sql(_SOMEWHERE, 'c_custkey')} || CASE WHEN c_nationkey % 3 = 0 THEN ', ' || lower(c_mktsegment) WHEN c_nationkey % 3 = 1 THEN ' | ' || {_pick_sql(_SOMEWHERE, 'c_nationkey')} ELSE '' END END AS place FROM customer)"
 _NAMES, _OUT = {"AR": ["argentina"], "BR": ["brazil", "brasil"], "MX": ["mexico"], "PE": ["peru"]}, {"ES": ["spain", "espana"]}
 _FOLDED = "lower(strip_accents(coalesce(place, '')))"
 _NAMED_SQL = f"list_filter([CASE WHEN regexp_matches(f, '(^|[^a-z0-9])argentina($|[^a-z0-9])') THEN 'AR' END, CASE WHEN regexp_matches(f, '(^|[^a-z0-9])(brazil|brasil)($|[^a-z0-9])') THEN 'BR' END, CASE WHEN regexp_matches(replace(f, 'new mexico', ''), '(^|[^a-z0-9])mexico($|[^a-z0-9])') THEN 'MX' END, CASE WHEN regexp_matches(f, '(^|[^a-z0-9])peru($|[^a-z0-9])') THEN 'PE' END, CASE WHEN regexp_matches(f, '(^|[^a-z0-9])(spain|espana)($|[^a-z0-9])') THEN 'ES' END], lambda x: x IS NOT NULL)"
 
 
-@query(f"""SELECT id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(place)), '\\([^()\\[\\]]*\\)', ' ', 'g'), '\\[[^\\[\\]]*\\]', ' ', 'g'), '\\b(remoto|remota|remote)\\b', ' ', 'g'), '\\s+', ' ', 'g'), '^[\\s,;/|-]+|[\\s,;/|-]+$', '', 'g')), '') AS normal, {_NAMED_SQL} AS countries, regexp_matches(f, '(^|[^a-z0-9])peru') AS peru FROM (SELECT *, {_FOLDED} AS f FROM {_values(_PLACES, 'id, place')})""")
+@query(f"""SELECT id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(place)), '\\([^()\\[\\]]*\\)', ' ', 'g'), '\\[[^\\[\\]]*\\]', ' ', 'g'), '\\b(remoto|remota|remote)\\b', ' ', 'g'), '\\s+', ' ', 'g'), '^[\\s,;/|-]+|[\\s,;/|-]+$', '', 'g')), '') AS normal, {_NAMED_SQL} AS countries, regexp_matches(f, '(^|[^a-z0-9])peru') AS peru FROM (SELECT *, {_FOLDED} AS f FROM {_PLACES_SQL})""")
 def location_names(t):
-    rows = _frame(t, _PLACES, "id long, place string")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    more = F.when(nation % 3 == 0, F.concat(F.lit(", "), F.lower("c_mktsegment"))).when(nation % 3 == 1, F.concat(F.lit(" | "), _pick(_SOMEWHERE, nation))).otherwise("")
+    rows = t.customer.select(key.alias("id"), F.when(key % 37 > 0, F.concat(_pick(_SOMEWHERE, key), more)).alias("place"))
     named = places.countries_mentioned(F.col("place"), _NAMES, _OUT, {"mexico": "(?<!new )"})
     return rows.select("id", places.normal_location(F.col("place")).alias("normal"), named.alias("countries"), places.mentions_country(F.col("place"), F.lit("pe"), _NAMES, whole=False).alias("peru"))
 
 
-_COMPANIES = [(1, "Globant S.A."), (2, "Foo → Acme Inc"), (3, "Acme, Inc."), (4, "ACME  Corp. vía LinkedIn"), (5, "Inc"), (6, "Pérez & Hijos SRL"), (7, "S.A."), (8, "Bar -> Baz => Qux GmbH"), (9, "Mercado (Argentina) [AR] Ltda"), (10, ""), (11, None), (12, "Peña y Co LLC")]
-_COMPANY_NAMES = [(1, "globant"), (2, "acme"), (3, "acme"), (4, "acme"), (5, "inc"), (6, "perez hijos"), (7, "sa"), (8, "qux"), (9, "mercado ltda"), (10, ""), (11, None), (12, "pena y")]
+_LEADS, _FORMS = ["", "Foo → ", "Bar -> Baz => ", "Old » "], [" S.A.", " Inc", ", Inc.", " & Hijos SRL", " GmbH", " (Argentina) [AR] Ltda", " Corp. vía LinkedIn", " y Co LLC", "", " S.R.L."]
 
 
-@query(f"SELECT id, CAST(company AS VARCHAR) AS company FROM {_values(_COMPANY_NAMES, 'id, company')}")
+@query(f"""WITH c AS (SELECT s_suppkey AS id, {_pick_sql(_LEADS, 's_suppkey')} || s_name || {_pick_sql(_FORMS, 's_suppkey // 3')} AS raw FROM supplier),
+  f AS (SELECT id, lower(strip_accents(regexp_replace(regexp_extract(raw, '([^→»>]*)$', 1), '\\([^()]*\\)|\\[[^\\[\\]]*\\]', ' ', 'g'))) AS x FROM c),
+  w AS (SELECT id, trim(regexp_replace(regexp_replace(x, '\\s+via\\s.*$', ' '), '[^a-z0-9]+', ' ', 'g')) AS x FROM f)
+  SELECT id, regexp_replace(regexp_replace(regexp_replace(x, ' s a$', ' sa'), ' s r l$', ' srl'), '( (sa|srl|inc|gmbh|ltda|corp|llc|co))+$', '') AS company FROM w""")
 def company_cases(t):
-    return _frame(t, _COMPANIES, "id long, raw string").select("id", text.company_name(F.col("raw")).alias("company"))
+    """Every supplier with something before and behind its name."""
+    key = F.col("s_suppkey")
+    raw = F.concat(_pick(_LEADS, key), F.col("s_name"), _pick(_FORMS, F.floor(key / 3)))
+    return t.supplier.select(key.alias("id"), text.company_name(raw).alias("company"))
 
 
-_LINKS = [(1, "https://www.Example.com/a/?utm_source=x&b=2&a=1#f"), (2, "http://linkedin.com/jobs/view/senior-dev-123?trk=z"), (3, "https://ar.indeed.com/viewjob?jk=ab&from=x"), (4, "ftp://x.org/a"), (5, "https://www.linkedin.com/jobs/search?currentJobId=77"), (6, None), (7, "https://x.org"), (8, "https://x.org/?ref=a&gclid=b")]
-_CANONICAL = [(1, "https://example.com/a?a=1&b=2"), (2, "https://linkedin.com/jobs/view/123"), (3, "https://ar.indeed.com/viewjob?jk=ab"), (4, None), (5, "https://linkedin.com/jobs/view/77"), (6, None), (7, "https://x.org"), (8, "https://x.org")]
-
-
-@query(f"SELECT id, CAST(url AS VARCHAR) AS canonical FROM {_values(_CANONICAL, 'id, url')}")
+@query(r"""WITH p AS (SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'HTTPS://WWW.Shop' || page_id || '.com/a//?utm_source=x&b=' || page_id || '&a=1#f' WHEN 2 THEN 'http://linkedin.com/jobs/view/dev-' || page_id || '?trk=z' WHEN 3 THEN 'https://ar.indeed.com/viewjob?jk=k' || page_id || '&from=x' ELSE 'ftp://x.org/' || page_id END AS url FROM pages),
+  q AS (SELECT id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT list_contains(['trk', 'ref', 'src', 'source', 'fbclid', 'gclid'], lower(split_part(x, '=', 1)))) AS kept FROM p)
+  SELECT id, CASE WHEN id % 5 = 4 THEN NULL WHEN id % 5 = 2 THEN 'https://linkedin.com/jobs/view/' || id WHEN id % 5 = 3 THEN 'https://ar.indeed.com/viewjob?jk=k' || id WHEN url IS NOT NULL AND url LIKE '%://%' THEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END END AS canonical FROM q""")
 def url_cases(t):
-    return _frame(t, _LINKS, "id long, url string").select("id", urls.canonical_url(F.col("url")).alias("canonical"))
-
-
-_RULES = prefilter.Rules(
-    accepted=("remoto",), languages=("es", "en"), adjacent=("ml engineer", "ai evaluator"), pools=(("base de talentos", r"\b(?:base|banco) de talentos\b"), ("talent pool", r"\btalent pool\b")),
-    phrases=(("multinivel", r"\bmultinivel\b", True), ("network marketing", r"\bnetwork marketing\b", True), ("oportunidad de negocio", r"\boportunidad de negocio\b", False), ("ingresos extra", r"\bingresos? extras?\b", False)),
-    other_trades=(("vendedor", r"(?<![a-z0-9])vendedor(?:es|as?)?(?![a-z0-9])", ("ventas_b2b",)), ("chofer", r"\bchofer\b", ())), domains=("growth", "seo", "sales"), own_domains={"ventas_b2b": ("sales",)},
-    own_phrases={"project_manager": ("project manager",)}, allowlist=("individual contributor",), blocklist=("manager", "director", "vp "), roles=("project_manager",), country="AR", city="Buenos Aires",
-    countries={"AR": ["argentina"], "MX": ["mexico"], "BR": ["brasil", "brazil"]}, outside={"ES": ["spain"], "CA": ["canada"]}, license_terms={"US": ("series 7", "bar admission"), "AR": ("matricula nacional",)},
-)
-_CASES = [  # title, location, modality, badges, candidates, countries, text, language
-    ("Backend Engineer", "Remoto, Argentina", "remoto", [], 3, None, "We build.", "en"),
-    ("Backend Engineer", "Madrid", "presencial", None, None, None, None, None),
-    ("Backend Engineer (Hybrid)", None, "remoto", [], None, None, None, None),
-    ("Hybrid Cloud Engineer", None, "remoto", [], None, None, None, None),
-    ("Backend Engineer - Presencial o remoto opcional", None, "remoto", [], None, None, None, None),
-    ("Backend", "On-site in Lima", "desconocida", [], None, None, None, None),
-    ("Desenvolvedor", None, "remoto", [], None, None, None, "pt"),
-    ("Senior ML Engineer", None, "remoto", [], None, None, None, "en"),
-    ("Banco de Talentos IT", None, "remoto", [], None, None, None, "es"),
-    ("Emprendé en MULTINIVEL", None, "remoto", [], None, None, None, None),
-    ("Asesor", None, "remoto", [], None, None, "Red de network marketing: ingresos extra desde casa", "es"),
-    ("Asesor", None, "remoto", [], None, None, "Oportunidad de negocio con ingresos extras", "es"),
-    ("Software Engineer", None, "remoto", [], None, None, "Red de network marketing: ingresos extra desde casa", "es"),
-    ("Vendedora de salón", None, "remoto", [], None, None, None, "es"),
-    ("Vendedor de software", None, "remoto", [], None, None, None, "es"),
-    ("Analyst", None, "remoto", [], None, None, "Series 7 required", "en"),
-    ("Analyst", None, "remoto", [], None, None, "Series 7 or Matrícula Nacional", "en"),
-    ("Growth Hacker", None, "remoto", [], None, None, None, "en"),
-    ("AI Engineer, Growth", None, "remoto", [], None, None, None, "en"),
-    ("Backend", None, "remoto", ["x", "1 de 4 aptitudes"], None, None, None, None),
-    ("Backend", None, "remoto", ["3 of 4 skills"], 250, None, None, None),
-    ("Engineering Manager", None, "remoto", [], 50, None, None, None),
-    ("AI Engineering Manager", None, "remoto", [], 5, None, None, None),
-    ("Project Manager", None, "remoto", [], None, None, None, None),
-    ("Manager (individual contributor)", None, "remoto", [], None, None, None, None),
-    ("Backend", "LATAM", "remoto", [], None, None, None, None),
-    ("Backend", "US-based", "remoto", [], None, None, None, None),
-    ("Backend", "Worldwide", "remoto", [], None, None, None, None),
-    ("Backend", None, "remoto", [], None, ["MX", "BR"], None, None),
-    ("Backend", None, "remoto", [], None, ["*"], None, None),
-    ("Backend", "Spain", "remoto", [], None, None, None, None),
-    ("Backend", "Anywhere", "remoto", [], None, None, "You must be based in Canada or Brazil. Thanks", None),
-    ("Backend", "Anywhere", "remoto", [], None, None, "You must be based in Argentina or Brazil.", None),
-    (None, None, None, None, None, None, None, None),
-]
-_EXPECTED = [  # reason, detail, cap, flags
-    (None, None, None, []), ("modalidad_no_remota", "modalidad presencial", None, []), ("modalidad_no_remota", "título: Backend Engineer (Hybrid)", None, []), (None, None, None, []),
-    ("modalidad_no_remota", "título: Backend Engineer - Presencial o remoto opcional", None, []), ("modalidad_no_remota", "ubicación: On-site in Lima", None, []), ("idioma_no_aceptado", "aviso en pt", None, []),
-    ("disciplina_distinta", "keyword 'ml engineer'", None, []), ("disciplina_distinta", "base 'base de talentos'", None, []), ("disciplina_distinta", "venta multinivel 'multinivel'", None, []),
-    ("disciplina_distinta", "venta multinivel 'network marketing'", None, []), (None, None, None, []), (None, None, None, []), ("disciplina_distinta", "oficio 'vendedor'", None, []), (None, None, None, []),
-    ("licencia_profesional", "'series 7'", None, []), (None, None, None, []), ("disciplina_distinta", "keyword 'growth'", None, []), (None, None, None, ["domain_keyword:growth"]), ("badge_aptitudes", "aptitudes 25 %", None, []),
-    (None, None, None, ["skills_match_high", "many_candidates"]), ("titulo_blocklist", "'manager'", None, []), (None, None, 6.0, ["title_cap"]), (None, None, None, []), (None, None, None, []), (None, None, None, ["location_risk"]),
-    (None, None, None, ["location_risk"]), (None, None, None, []), (None, None, None, ["location_risk"]), (None, None, None, []), (None, None, None, ["location_risk"]), (None, None, None, ["location_risk", "residencia_exigida:BR,CA"]),
-    (None, None, None, []), (None, None, None, []),
-]
-_CASE_SCHEMA = "id long, title string, location string, modality string, badges array<string>, candidates int, countries_allowed array<string>, text string, language string"
-
-
-@query(f"SELECT id, CAST(reason AS VARCHAR) AS reason, CAST(detail AS VARCHAR) AS detail, CAST(cap AS DOUBLE) AS cap, flags FROM {_values([(k, *e) for k, e in enumerate(_EXPECTED)], 'id, reason, detail, cap, flags')}")
+    """Every page's own address, or one of a shop, two job sites or a scheme that is none, with its number in it."""
+    n, key = F.col("page_id").cast("string"), F.col("page_id") % 5
+    shop = F.concat(F.lit("HTTPS://WWW.Shop"), n, F.lit(".com/a//?utm_source=x&b="), n, F.lit("&a=1#f"))
+    raw = F.when(key == 0, F.col("url")).when(key == 1, shop).when(key == 2, F.concat(F.lit("http://linkedin.com/jobs/view/dev-"), n, F.lit("?trk=z"))).when(key == 3, F.concat(F.lit("https://ar.indeed.com/viewjob?jk=k"), n, F.lit("&from=x")))
+    return t.pages.select(F.col("page_id").alias("id"), urls.canonical_url(F.coalesce(raw, F.concat(F.lit("ftp://x.org/"), n))).alias("canonical"))
+
+
+_MODES, _TONGUES, _BADGES = ["remoto", "remoto", "remoto", "desconocida", "hibrido", "presencial", "remoto"], ["es", "en", "en", "es", "pt"], ["1 de 4 aptitudes", "3 of 4 skills", "x", "2 de 4 aptitudes", "0 of 0 skills"]
+_OFFERED_SQL = f"""o AS (SELECT p_partkey AS id, title, {_pick_sql(_MODES, 'p_size')} AS modality, CASE WHEN p_size % 9 > 0 THEN {_pick_sql(_TONGUES, 'p_size')} END AS language, CASE WHEN p_size % 4 > 0 THEN {_pick_sql(_BADGES, 'p_partkey')} END AS badge,
+    CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 200 END AS candidates, {_pick_sql(_SOMEWHERE, 'p_size')} AS location, CASE WHEN p_partkey % 8 = 0 THEN ['MX', 'BR'] WHEN p_partkey % 8 = 1 THEN ['*'] WHEN p_partkey % 8 = 2 THEN ['AR'] END AS allowed FROM part JOIN {_TITLE_SQL} AS q ON q.id = p_partkey),
+  p AS (SELECT *, {_PADDED} AS w, lower(strip_accents(location)) AS f, CASE badge WHEN '1 de 4 aptitudes' THEN 0.25 WHEN '3 of 4 skills' THEN 0.75 WHEN '2 de 4 aptitudes' THEN 0.5 END AS ratio FROM o),
+  h AS (SELECT *, CASE WHEN w LIKE '% vp %' THEN 'vp ' WHEN w LIKE '% manager %' THEN 'manager' WHEN w LIKE '% director %' THEN 'director' END AS blocked, CASE WHEN w LIKE '% marketing %' THEN 'marketing' WHEN w LIKE '% people %' THEN 'people' END AS domain FROM p),
+  n AS (SELECT *, CASE WHEN modality IN ('presencial', 'hibrido') OR (modality <> 'remoto' AND regexp_matches(f, '\\b(hybrid)\\b')) THEN 'modalidad_no_remota' WHEN language = 'pt' THEN 'idioma_no_aceptado' WHEN w LIKE '% data engineer %' OR w LIKE '% nurse %' OR domain IS NOT NULL THEN 'disciplina_distinta'
+    WHEN ratio < 0.4 THEN 'badge_aptitudes' WHEN blocked IS NOT NULL THEN 'titulo_blocklist' END AS reason FROM h),
+  v AS (SELECT *, CASE WHEN modality IN ('presencial', 'hibrido') THEN 'modalidad ' || modality WHEN reason = 'modalidad_no_remota' THEN 'ubicación: ' || location WHEN reason = 'idioma_no_aceptado' THEN 'aviso en pt' WHEN w LIKE '% data engineer %' THEN 'keyword ''data engineer''' WHEN w LIKE '% nurse %' THEN 'oficio ''enfermera'''
+    WHEN domain IS NOT NULL THEN 'keyword ''' || domain || '''' WHEN reason = 'badge_aptitudes' THEN 'aptitudes 25 %' WHEN reason = 'titulo_blocklist' THEN '''' || blocked || '''' END AS detail,
+    CASE WHEN reason IS NOT NULL THEN CAST([] AS VARCHAR[]) ELSE list_filter([CASE WHEN ratio >= 0.75 THEN 'skills_match_high' END, CASE WHEN CASE WHEN allowed IS NOT NULL THEN NOT list_contains(allowed, '*') AND NOT list_contains(allowed, 'AR') ELSE NOT regexp_matches(f, '(^|[^a-z0-9])argentina') AND (regexp_matches(f, '\\b(latam|remote|remoto)\\b')
+      OR regexp_matches(f, '\\b(us|usa)([^a-z0-9]|$)') OR len({_NAMED_SQL}) > 0) END THEN 'location_risk' END, CASE WHEN candidates >= 100 THEN 'many_candidates' END], lambda x: x IS NOT NULL) END AS flags FROM n)"""
+_OFFER_RULES = prefilter.Rules(languages=("es", "en"), adjacent=("data engineer",), other_trades=(("enfermera", r"\bnurse\b", ()),), domains=("marketing", "people"), blocklist=("vp ", "manager", "director"), country="AR", countries=_NAMES, outside=_OUT)
+
+
+def _offered(t) -> DataFrame:
+    """Every part as an offer, its columns picked by key and size."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    allowed = F.when(key % 8 == 0, F.array(F.lit("MX"), F.lit("BR"))).when(key % 8 == 1, F.array(F.lit("*"))).when(key % 8 == 2, F.array(F.lit("AR")))
+    rows = t.part.select(
+        key.alias("id"), _pick(_SOMEWHERE, size).alias("location"), _pick(_MODES, size).alias("modality"), F.when(size % 4 > 0, F.array(_pick(_BADGES, key))).alias("badges"), F.when(key % 3 > 0, key % 200).cast("int").alias("candidates"),
+        allowed.alias("countries_allowed"), F.lit(None).cast("string").alias("text"), F.when(size % 9 > 0, _pick(_TONGUES, size)).alias("language"),
+    )
+    return rows.join(_titled(t), "id")
+
+
+@query(f"WITH {_OFFERED_SQL} SELECT id, reason, detail, CAST(NULL AS DOUBLE) AS cap, flags FROM v")
 def prefilter_cases(t):
-    rows = _frame(t, [(k, *c) for k, c in enumerate(_CASES)], _CASE_SCHEMA)
-    return prefilter.prefilter(rows, _RULES).select("id", "reason", "detail", "cap", "flags")
+    return prefilter.prefilter(_offered(t), _OFFER_RULES).select("id", "reason", "detail", "cap", "flags")
 
 
-@query(f"""WITH n AS (SELECT id, reason, flags, CASE WHEN id % 2 = 0 THEN reason ELSE 'titulo_blocklist' END AS old FROM {_values([(k, *e) for k, e in enumerate(_EXPECTED)], 'id, reason, detail, cap, flags')}),
-  c AS (SELECT id, reason, flags, reason IS NULL AND old IS NOT NULL AS passes FROM n WHERE reason IS DISTINCT FROM old) SELECT id, CAST(reason AS VARCHAR) AS reason, flags, passes AND row_number() OVER (PARTITION BY passes ORDER BY id) <= 4 AS enqueue FROM c""")
+@query(f"""WITH {_OFFERED_SQL}, r AS (SELECT id, reason, flags, CASE WHEN id % 3 = 0 THEN reason WHEN id % 3 = 1 THEN 'titulo_blocklist' END AS old FROM v), c AS (SELECT id, reason, flags, reason IS NULL AND old IS NOT NULL AS passes FROM r WHERE reason IS DISTINCT FROM old OR (id % 3 > 0 AND len(flags) > 0))
+  SELECT id, reason, flags, passes AND row_number() OVER (PARTITION BY passes ORDER BY id) <= 40 AS enqueue FROM c""")
 def reprefilter_changes(t):
-    """Stored verdicts of the odd rows are outdated."""
-    rows = _frame(t, [(k, *c, _EXPECTED[k][0] if k % 2 == 0 else "titulo_blocklist", _EXPECTED[k][3]) for k, c in enumerate(_CASES)], _CASE_SCHEMA + ", old_reason string, old_flags array<string>")
-    return prefilter.changed_verdicts(rows, _RULES, "id", enqueue=4)
+    """Stored verdicts of two thirds of the offers are outdated; forty that pass now go to the queue."""
+    now = prefilter.prefilter(_offered(t), _OFFER_RULES).select("id", "reason", "flags")
+    old = F.when(F.col("id") % 3 == 0, F.col("reason")).when(F.col("id") % 3 == 1, "titulo_blocklist")
+    stored = now.select("id", old.alias("old_reason"), F.when(F.col("id") % 3 == 0, F.col("flags")).alias("old_flags"))
+    return prefilter.changed_verdicts(_offered(t).join(stored, "id"), _OFFER_RULES, "id", enqueue=40)
 
 
 _C = decisions.Criteria(disciplines=("ai_engineer", "backend"), accepted=("remoto", "hibrido"), salary_floor=2000, max_hours=44, cloud_penalty=0.5, english_penalty=1.0, years=2, cefr="B1", gap_blocks_from=5)
-_BASE = dict(score=9.5, blockers=[], risks=[], years_required=None, years_discipline=None, discipline="backend", modality="remoto", salary_min=None, salary_max=None, local_currency=None, weekly_hours=None, levels=None, english_required="no_menciona", english_moot=None, cloud_must=None, location_ok="ok", title_cap=None, flags=[], only_places=None)
-_DECISIONS = [  # changes; score, blockers, risks, location, action
-    ({}, (9.5, [], [], "ok", "aplicar_personalizado")),
-    ({"score": 7.2}, (7.2, [], [], "ok", "aplicar")),
-    ({"score": 5.5}, (5.5, [], [], "ok", "guardar")),
-    ({"score": 4.9}, (4.9, [], [], "ok", "descartar")),
-    ({"title_cap": 6.0}, (6.0, [], [], "ok", "guardar")),
-    ({"years_required": 8}, (9.5, ["años requeridos ≥ 8 (8)"], [], "ok", "descartar")),
-    ({"years_required": 5}, (9.0, [], ["pide 5 años, tenés 2"], "ok", "aplicar")),
-    ({"years_required": 7}, (9.0, ["gap de años: pide 7 años, tenés 2"], [], "ok", "descartar")),
-    ({"years_discipline": "ads"}, (9.5, ["años en otro dominio (ads)"], [], "ok", "descartar")),
-    ({"discipline": "sales"}, (3.0, ["disciplina distinta (sales)"], [], "ok", "descartar")),
-    ({"blockers": ["Disciplina distinta (lead)"]}, (9.5, [], [], "ok", "aplicar_personalizado")),
-    ({"blockers": ["híbrido en oficina"], "modality": "hibrido"}, (9.5, [], ["híbrido en oficina"], "ok", "aplicar")),
-    ({"blockers": ["solo presencial"], "modality": "presencial"}, (9.5, ["solo presencial"], [], "ok", "descartar")),
-    ({"salary_min": 1000, "salary_max": 1500}, (9.5, ["salario por debajo del piso (USD 1500/mes < 2000)"], [], "ok", "descartar")),
-    ({"salary_min": 1000, "salary_max": 2500, "blockers": ["sueldo bajo"]}, (9.5, [], ["el rango salarial empieza abajo de tu piso"], "ok", "aplicar_personalizado")),
-    ({"local_currency": True}, (9.5, [], ["salario en USD pagado en moneda local"], "ok", "aplicar_personalizado")),
-    ({"weekly_hours": 48}, (9.5, ["jornada de 48 h (máximo 44)"], [], "ok", "descartar")),
-    ({"levels": ["Senior"]}, (9.5, [], ["el aviso es senior y tenés ~2 años"], "ok", "aplicar_personalizado")),
-    ({"levels": ["Junior"]}, (9.5, [], [], "ok", "aplicar_personalizado")),
-    ({"english_required": "avanzado"}, (8.5, [], ["inglés requerido avanzado, el candidato tiene B1"], "ok", "aplicar")),
-    ({"english_required": "avanzado", "english_moot": True, "blockers": ["Inglés avanzado"], "risks": ["english a mejorar"]}, (9.5, [], ["el aviso no pide inglés, el modelo sí"], "ok", "aplicar")),
-    ({"cloud_must": True}, (9.0, [], [], "ok", "aplicar_personalizado")),
-    ({"flags": ["location_risk", "many_candidates"]}, (9.5, [], ["ubicación sin confirmar", "muchos candidatos"], "ok", "aplicar")),
-    ({"location_ok": "no"}, (9.5, [], ["location_ok = no"], "no", "guardar")),
-    ({"flags": ["residencia_exigida:CA,US"]}, (9.5, ["residencia exigida en CA, US"], [], "no", "descartar")),
-    ({"only_places": "CA"}, (9.5, ["remoto solo desde CA"], [], "no", "descartar")),
-    ({"risks": ["trae instrucciones al lector"]}, (5.0, [], ["el aviso trae instrucciones al evaluador"], "ok", "guardar")),
-    ({"score": 12.0}, (10.0, [], [], "ok", "aplicar_personalizado")),
-    ({"score": -1.0}, (0.0, [], [], "ok", "descartar")),
-]
-_DECISION_SCHEMA = "id long, score double, blockers array<string>, risks array<string>, years_required int, years_discipline string, discipline string, modality string, salary_min int, salary_max int, local_currency boolean, weekly_hours int, levels array<string>, english_required string, english_moot boolean, cloud_must boolean, location_ok string, title_cap double, flags array<string>, only_places string"
-
-
-@query(f"SELECT id, CAST(score AS DOUBLE) AS final_score, blockers, risks, place AS final_location_ok, action FROM {_values([(k, *e) for k, (_, e) in enumerate(_DECISIONS)], 'id, score, blockers, risks, place, action')}")
-def decision_cases(t):
-    rows = _frame(t, [(k, *(_BASE | change).values()) for k, (change, _) in enumerate(_DECISIONS)], _DECISION_SCHEMA)
-    return decisions.decide_posting(rows, _C).select("id", "final_score", "blockers", "risks", "final_location_ok", "action")
 
 
-_TEXT = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
-_OLD = [  # id, user, url, external_keys, hash, company, title_tokens, text, seen, modality, location
-    (1, "u", "x/1", ["a:1"], "h1", "acme", ["data", "engineer", "python"], _TEXT, 10, "remoto", None), (2, "u", "x/2", ["a:2", "b:9"], "h2", "acme", ["backend", "go"], None, 10, "remoto", "lima"),
-    (3, "u", None, [], None, "unknown", ["backend", "go"], None, 12, None, None), (4, "v", "x/1", ["a:1"], "h1", "acme", ["backend"], _TEXT, 10, None, None), (5, "u", None, [], None, "acme", ["backend", "go"], None, 1, None, None),
-]
-_NEW = [  # id, user, url, external_key, hash, company, title_tokens, text, seen, modality, location
-    (11, "u", "x/2", "a:1", None, "z", [], None, 99, None, None), (12, "u", None, "b:9", None, "z", [], None, 99, None, None), (13, "u", None, None, "h2", "z", [], None, 99, None, None),
-    (14, "u", None, None, "q", "z", [], _TEXT + " ", 12, None, None), (15, "u", None, None, "q", "z", [], _TEXT, 99, None, None), (16, "u", None, None, None, "acme", ["backend", "go"], None, 12, "remoto", "lima"),
-    (17, "u", None, None, None, "acme", ["backend", "go"], None, 12, "presencial", None), (18, "u", None, None, None, "acme", ["backend", "go"], None, 12, "desconocida", "quito"), (19, "u", None, None, None, "unknown", ["backend", "go"], None, 12, None, None),
-    (20, "u", None, None, None, "acme", ["data", "engineer"], None, 12, None, None), (21, "w", "x/1", "a:1", "h1", "acme", ["backend"], _TEXT, 10, None, None),
-]
-_MATCHED = [(11, "merge", 1, "external_id", 1.0, []), (12, "merge", 2, "external_id", 1.0, []), (13, "merge", 2, "jd_hash", 1.0, []), (14, "merge", 1, "jd_text", 1.0, ["volume_recruiting"]), (15, "insert", None, None, None, []), (16, "insert", 2, "company_title", 1.0, []),
-            (17, "insert", 5, "company_title", 1.0, []), (18, "insert", 5, "company_title", 1.0, []), (19, "insert", None, None, None, []), (20, "insert", 1, "company_title", 0.6666666666666666, []), (21, "insert", None, None, None, [])]
+@query("""WITH o AS (SELECT o_orderkey AS id, least(round(o_totalprice / 50000, 1), CASE WHEN o_orderkey % 10 = 0 THEN 6.0 ELSE 99 END) AS score, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 11 END AS y, o_orderkey % 6 = 0 AS other, CASE WHEN o_orderkey % 3 = 0 THEN 1000 + o_orderkey % 40 * 100 END AS pay,
+    CASE WHEN o_orderkey % 4 = 0 THEN 40 + o_orderkey % 10 END AS hours, o_orderkey % 5 = 0 AS cloud, o_orderkey % 7 = 0 AS english, o_orderkey % 8 AS f, o_orderkey % 13 = 0 AS away FROM orders),
+  s AS (SELECT *, round(greatest(0.0, least(10.0, CASE WHEN other THEN least(score - 0.5 * coalesce(y BETWEEN 5 AND 7, false)::INT, 3.0) ELSE score - 0.5 * coalesce(y BETWEEN 5 AND 7, false)::INT END - 0.5 * cloud::INT - english::INT)), 2) AS final_score,
+    list_filter([CASE WHEN y >= 8 THEN 'años requeridos ≥ 8 (' || y || ')' END, CASE WHEN y = 7 THEN 'gap de años: pide 7 años, tenés 2' END, CASE WHEN other THEN 'disciplina distinta (sales)' END, CASE WHEN pay < 2000 THEN 'salario por debajo del piso (USD ' || pay || '/mes < 2000)' END,
+      CASE WHEN hours > 44 THEN 'jornada de ' || hours || ' h (máximo 44)' END, CASE WHEN away THEN 'remoto solo desde CA' END], lambda x: x IS NOT NULL) AS blockers,
+    list_filter([CASE WHEN y BETWEEN 4 AND 6 THEN 'pide ' || y || ' años, tenés 2' END, CASE WHEN english THEN 'inglés requerido avanzado, el candidato tiene B1' END, CASE WHEN f = 0 THEN 'ubicación sin confirmar' END, CASE WHEN f = 1 THEN 'muchos candidatos' END], lambda x: x IS NOT NULL) AS risks FROM o)
+  SELECT id, final_score, blockers, risks, CASE WHEN away THEN 'no' ELSE 'ok' END AS final_location_ok, CASE WHEN len(blockers) > 0 OR final_score < 5 THEN 'descartar' WHEN len(risks) > 0 THEN CASE WHEN final_score >= 7 THEN 'aplicar' ELSE 'guardar' END WHEN final_score >= 9 THEN 'aplicar_personalizado' WHEN final_score >= 7 THEN 'aplicar' ELSE 'guardar' END AS action FROM s""")
+def decision_cases(t):
+    """Every order as an evaluated posting; which rules hold for it follows from its key and price."""
+    key, none = F.col("o_orderkey"), F.lit(None)
+    strings = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    rows = t.orders.select(
+        key.alias("id"), F.round(F.col("o_totalprice") / 50000, 1).alias("score"), strings().alias("blockers"), strings().alias("risks"), F.when(key % 2 == 0, key % 11).cast("int").alias("years_required"), none.cast("string").alias("years_discipline"), F.when(key % 6 == 0, "sales").otherwise("backend").alias("discipline"),
+        F.lit("remoto").alias("modality"), none.cast("int").alias("salary_min"), F.when(key % 3 == 0, 1000 + key % 40 * 100).cast("int").alias("salary_max"), none.cast("boolean").alias("local_currency"), F.when(key % 4 == 0, 40 + key % 10).cast("int").alias("weekly_hours"), none.cast("array<string>").alias("levels"),
+        F.when(key % 7 == 0, "avanzado").otherwise("no_menciona").alias("english_required"), none.cast("boolean").alias("english_moot"), (key % 5 == 0).alias("cloud_must"), F.lit("ok").alias("location_ok"), F.when(key % 10 == 0, 6.0).alias("title_cap"),
+        F.when(key % 8 == 0, strings("location_risk")).when(key % 8 == 1, strings("many_candidates")).otherwise(strings()).alias("flags"), F.when(key % 13 == 0, "CA").alias("only_places"),
+    )
+    return decisions.decide_posting(rows, _C).select("id", "final_score", "blockers", "risks", "final_location_ok", "action")
 
 
-@query(f"SELECT id, kind, CAST(job AS BIGINT) AS job, CAST(reason AS VARCHAR) AS reason, CAST(similarity AS DOUBLE) AS similarity, flags FROM {_values(_MATCHED, 'id, kind, job, reason, similarity, flags')}")
+_SENTENCE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+_MINE_SQL = f"""o AS (SELECT o_orderkey AS id, o_custkey AS who, o_orderkey % 2 = 1 AS fresh, CASE WHEN o_orderkey % 5 > 0 THEN 'x/' || (o_orderkey % 400) END AS url, CASE WHEN o_orderkey % 3 > 0 THEN 'k' || (o_orderkey // 2 % 300) END AS ext, CASE WHEN o_orderkey % 7 = 0 THEN 'h' || (o_orderkey % 90) END AS hash,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'acme' WHEN '2-HIGH' THEN 'zeta' WHEN '3-MEDIUM' THEN 'unknown' ELSE 'umbra' END AS company, CASE o_orderstatus WHEN 'F' THEN ['data', 'engineer', 'python'] WHEN 'O' THEN ['data', 'engineer'] ELSE ['backend', 'go'] END AS tokens,
+    CASE WHEN o_orderkey % 4 = 0 THEN '{_SENTENCE}' WHEN o_orderkey % 4 = 1 THEN '{_SENTENCE} ' || CASE WHEN o_orderkey % 3 = 0 THEN 'end' ELSE lower(o_orderpriority) || ' ' || o_orderstatus || ' ' || o_orderpriority END END AS text, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS seen,
+    CASE o_orderkey % 6 WHEN 0 THEN 'remoto' WHEN 1 THEN 'presencial' WHEN 2 THEN 'desconocida' END AS modality, CASE WHEN o_orderkey % 8 = 0 THEN 'lima' WHEN o_orderkey % 8 = 3 THEN 'quito' END AS place FROM orders),
+  w AS (SELECT *, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS l FROM o), s AS MATERIALIZED (SELECT *, CASE WHEN len(l) > 5 THEN list_distinct([array_to_string(l[i:i+4], ' ') FOR i IN range(1, len(l) - 3)]) END AS g FROM w),
+  m AS MATERIALIZED (SELECT a.id, b.id AS job, a.url = b.url AS by_url, a.ext = b.ext AS by_ext, a.hash = b.hash AS by_hash, abs(a.seen - b.seen) <= 400 AS near, len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) AS alike, len(list_intersect(a.tokens, b.tokens)) / CAST(len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) AS close,
+    a.company = b.company AND a.company <> 'unknown' AND NOT (a.text IS NOT NULL AND b.text IS NOT NULL) AND NOT coalesce(nullif(a.modality, 'desconocida') <> nullif(b.modality, 'desconocida'), false) AND NOT coalesce(a.place <> b.place, false) AS fits
+    FROM s a JOIN s b ON a.who = b.who AND a.fresh AND NOT b.fresh),
+  k AS (SELECT id, job, CASE WHEN by_url THEN 'url' WHEN by_ext THEN 'external_id' ELSE 'jd_hash' END AS reason FROM m WHERE by_url OR by_ext OR by_hash QUALIFY row_number() OVER (PARTITION BY id ORDER BY job) = 1),
+  x AS (SELECT id, job, alike FROM m WHERE near AND alike >= 0.9 QUALIFY row_number() OVER (PARTITION BY id ORDER BY alike DESC, job) = 1), c AS (SELECT id, job, close FROM m WHERE near AND fits AND close > 0.6 QUALIFY row_number() OVER (PARTITION BY id ORDER BY close DESC, job) = 1)"""
+
+
+def _postings(t) -> DataFrame:
+    """Orders as postings of their customers; the odd ones are new."""
+    key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    half = F.floor(key / 2).cast("long")
+    tail = F.when(key % 3 == 0, "end").otherwise(F.concat_ws(" ", F.lower(priority), status, priority))
+    tokens = F.when(status == "F", F.array(*map(F.lit, ("data", "engineer", "python")))).when(status == "O", F.array(*map(F.lit, ("data", "engineer")))).otherwise(F.array(*map(F.lit, ("backend", "go"))))
+    return t.orders.select(
+        key.alias("id"), F.col("o_custkey").alias("user"), F.when(key % 5 > 0, F.concat(F.lit("x/"), (key % 400).cast("string"))).alias("url"), F.when(key % 3 > 0, F.concat(F.lit("k"), (half % 300).cast("string"))).alias("external_key"), F.when(key % 7 == 0, F.concat(F.lit("h"), (key % 90).cast("string"))).alias("hash"),
+        F.when(priority == "1-URGENT", "acme").when(priority == "2-HIGH", "zeta").when(priority == "3-MEDIUM", "unknown").otherwise("umbra").alias("company"), tokens.alias("title_tokens"), F.when(key % 4 == 0, _SENTENCE).when(key % 4 == 1, F.concat(F.lit(_SENTENCE + " "), tail)).alias("text"),
+        F.datediff("o_orderdate", F.lit("1995-01-01")).cast("long").alias("seen"), F.when(key % 6 == 0, "remoto").when(key % 6 == 1, "presencial").when(key % 6 == 2, "desconocida").alias("modality"), F.when(key % 8 == 0, "lima").when(key % 8 == 3, "quito").alias("location"),
+    )
+
+
+@query(f"""WITH {_MINE_SQL} SELECT o.id, CASE WHEN k.id IS NOT NULL OR x.id IS NOT NULL THEN 'merge' ELSE 'insert' END AS kind, coalesce(k.job, x.job, c.job) AS job, CASE WHEN k.id IS NOT NULL THEN k.reason WHEN x.id IS NOT NULL THEN 'jd_text' WHEN c.id IS NOT NULL THEN 'company_title' END AS reason,
+  CASE WHEN k.id IS NOT NULL THEN 1.0 ELSE coalesce(x.alike, c.close) END AS similarity, CASE WHEN k.id IS NULL AND x.id IS NOT NULL THEN ['volume_recruiting'] ELSE CAST([] AS VARCHAR[]) END AS flags FROM o LEFT JOIN k USING (id) LEFT JOIN x USING (id) LEFT JOIN c USING (id) WHERE o.fresh""")
 def user_dedup_cases(t):
-    shape = "id long, user string, url string, {}, hash string, company string, title_tokens array<string>, text string, seen long, modality string, location string"
-    return user_duplicates(_frame(t, _NEW, shape.format("external_key string")), _frame(t, _OLD, shape.format("external_keys array<string>")), window=14)
+    rows = _postings(t)
+    recent = rows.where("id % 2 = 0").withColumn("external_keys", F.array_compact(F.array("external_key"))).drop("external_key")
+    return user_duplicates(rows.where("id % 2 = 1"), recent, window=400)
 
 
 @query("SELECT name_normalized, min(name) AS name FROM (SELECT lower(trim(s_name)) AS name_normalized, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'customer', c_mktsegment FROM customer) GROUP BY 1")
