@@ -1,4 +1,4 @@
-"""Terms in texts: taxonomy mentions, location scopes, signals of prompt injection."""
+"""Terms in texts: taxonomy mentions and location scopes."""
 
 from __future__ import annotations
 
@@ -93,49 +93,3 @@ def location_scope(raw: Column, allowed: Column, phrases: dict[str, list[str]])
 def allows_country(scope: Column, country: Column) -> Column:
     """True unless the scope names places without the country."""
     return F.when((scope["kind"] == "places") & country.isNotNull(), F.array_contains(scope["countries"], country)).otherwise(True)
-
-
-#: Signals of a text that addresses its evaluator; name and pattern over folded text.
-INJECTION = (
-    ("ignore_instructions", r"\b(?:ignore|disregard|forget|override|skip)\b.{0,30}\b(?:instructions|rules|guidelines|directions|prompts?)\b"),
-    ("ignorar_instrucciones", r"\b(?:ignor(?:a|e|ar|en)|omit(?:e|ir)|desestim(?:a|e|ar)|olvid(?:a|e))\b.{0,30}\b(?:instrucciones|reglas|indicaciones|anterior)\b"),
-    ("new_instructions", r"\b(?:new instructions|nuevas instrucciones)\b"),
-    ("assume_role", r"\b(?:you are now an?|act as an? (?:ai|assistant|language model)|pretend to be)\b"),
-    ("give_score", r"\b(?:score|rate|rank|grade|puntua|califica|asigna|dale)\b.{0,20}\b(?:10|ten|diez|highest|maximum|maxim[ao])\b"),
-    ("score_as_ratio", r"\bscore:?\s?(?:9|10)\s?/\s?10\b"),
-    ("perfect_candidate", r"\b(?:this (?:candidate|applicant) is (?:an? |the )?(?:perfect|ideal|best)|este (?:candidato|postulante) es (?:el |un )?(?:ideal|perfecto|mejor))\b"),
-    ("do_not_evaluate", r"\b(?:do not evaluate|no evalues?)\b"),
-    ("respond_only_with", r"\brespond(?:e)? (?:only|solo|unicamente) (?:with|con)\b"),
-    ("system_prompt", r"\bsystem\s+prompt\b|\bsystem\s*:"),
-    ("template_marker", r"<\|[a-z_]+\|>|\[/?inst\]|###\s*(?:system|instruction|assistant)\b|```\s*json"),
-    ("reveal_prompt", r"\b(?:reveal|print|repeat|show|output|leak)\b.{0,20}\b(?:prompt|instructions)\b"),
-    ("result_field", r"\b(?:accion_sugerida|bloqueadores_duros|match_fuerte|aplicar_personalizado)\b"),
-)
-#: Letters of other alphabets that look like Latin ones.
-_LOOKALIKE, _LATIN = "аеорсхуіјѕкмтһαοντρικυχ", "aeopcxyijskmthaovtpikyx"
-_HIDDEN = "[\U000e0000-\U000e007f\u200b-\u200f\u2060\ufeff]"
-
-
-def injection_signals(text: Column, signals=INJECTION) -> Column:
-    """Names of the signals in a whole text, in order: over its folded form without invisible characters, with words put together that were spelled
-    letter by letter, and with digits and symbols read as letters; ``hidden_characters`` if it has any.
-
-    The forms are found once, as a lambda's variable, and a text without any signal is searched by one pattern."""
-
-    def forms(t: Column) -> Column:
-        low = F.translate(fold(F.regexp_replace(t, _HIDDEN, "")), _LOOKALIKE, _LATIN)
-        dotted = F.regexp_replace(F.regexp_replace(low, r"(?<=\b[a-z])[-_.*·|/\\](?=[a-z]\b)", ""), r"[-_.*·|/\\]+", " ")
-        spaced = F.regexp_replace(dotted, r"(?<=\b[a-z]) (?=[a-z]\b)", "")
-        unleet = lambda x: F.translate(x, "013457@$", "oieastas")
-        return F.array(low, dotted, spaced, unleet(dotted), unleet(spaced))
-
-    every = "|".join(f"(?:{p})" for _, p in signals)
-
-    def search(v: Column) -> Column:
-        has = lambda pattern: F.exists(v, lambda x: x.rlike(pattern))
-        named = F.array_compact(F.array(*[F.when(has(p), n) for n, p in signals]))
-        return F.when(has(every), named).otherwise(F.array().cast("array<string>"))
-
-    whole = F.coalesce(text, F.lit(""))
-    found = F.element_at(F.transform(F.transform(F.array(whole), forms), search), 1)
-    return F.concat(found, F.when(whole.rlike(_HIDDEN), F.array(F.lit("hidden_characters"))).otherwise(F.array().cast("array<string>")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievelake.functions import injection
 from sievelake.operators import decisions, matching
 from sievelake.operators.core import micros
 from sievelake.plans.registry import query
@@ -68,4 +69,4 @@ def skill_mentions(t):
 
 @query()
 def injection_signals(t):
-    return t.documents.select("doc_id", matching.injection_signals(F.col("text")).alias("signals"))
+    return t.documents.select("doc_id", injection.injection_signals(F.col("text")).alias("signals"))
