@@ -207,13 +207,18 @@ def detector() -> Detector:
     return Detector()
 
 
-def injection_signals(text: Column) -> Column:
-    """Names of the signals in a whole text, in order, ``texto_oculto`` last; none for null or empty texts. An Arrow-batched function: steps over words have no built-in form."""
-    ship(SparkSession.getActiveSession())
+def signals_udf(spark: SparkSession):
+    """The signals as an Arrow-batched function: steps over words have no built-in form."""
+    ship(spark)
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
+    def injection_signals(texts: pd.Series) -> pd.Series:
         own = detector()
         return pd.Series([own.signals(t) if t else [] for t in texts], dtype=object)
 
-    return run(text)
+    return injection_signals
+
+
+def injection_signals(text: Column) -> Column:
+    """Names of the signals in a whole text, in order, ``texto_oculto`` last; none for null or empty texts."""
+    return signals_udf(SparkSession.getActiveSession())(text)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from sievelake.functions.injection import signals_udf
 from sievelake.functions.text import ACCENTED, PLAIN
 from sievelake.operators.matching import term_finder
 
@@ -23,7 +24,7 @@ _SCALAR = {
 
 
 def register_sql(spark: SparkSession, taxonomy: list[tuple[str, list[str]]] = ()) -> list[str]:
-    """Registers the functions above for the session, and ``skill_mentions(text)``, a table of (slug, position, must), to be used with LATERAL. Their names."""
+    """Registers the functions above for the session, and ``skill_mentions(text)``, a table of (slug, position, must), to be used with LATERAL; and ``injection_signals(text)``. Their names."""
     for head, body in _SCALAR.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     find = term_finder(taxonomy)
@@ -34,4 +35,5 @@ def register_sql(spark: SparkSession, taxonomy: list[tuple[str, list[str]]] = ()
                 yield slug, at, must
 
     spark.udtf.register("skill_mentions", udtf(Mentions, returnType="slug string, position long, must boolean"))
-    return [*(head.split("(")[0] for head in _SCALAR), "skill_mentions"]
+    spark.udf.register("injection_signals", signals_udf(spark))
+    return [*(head.split("(")[0] for head in _SCALAR), "skill_mentions", "injection_signals"]

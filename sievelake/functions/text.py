@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +50,24 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def strip_brackets(text: Column, depth: int = 8) -> Column:
-    """Without (...) and [...], each kind nested up to ``depth``."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\([^()]*\)|\[[^\[\]]*\]", " ")
-    return text
+def strip_brackets(text: Column) -> Column:
+    """Without (...) and [...], however deep they are nested: pairs without a bracket inside go until none is left. There are no more rounds than opening brackets; texts without any have none."""
+    opening = F.regexp_count(text, F.lit(r"[(\[]"))
+    inner = lambda t: F.regexp_replace(t, r"\([^()]*\)|\[[^\[\]]*\]", " ")
+    return F.when(opening > 0, F.aggregate(F.sequence(F.lit(1), opening), text, lambda t, _: inner(t))).otherwise(text)
+
+
+def fold_whole(text: Column) -> Column:
+    """As ``fold``, but by compatibility forms (NFKD) for all of Unicode: ligatures, full-width forms and marks on any letter. Only texts with characters that ``fold`` leaves as they are
+    go through Python; all others stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def nfkd(texts: pd.Series) -> pd.Series:
+        plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+        return texts.map(plain, na_action="ignore")
+
+    rest = F.translate(text, ACCENTED, PLAIN)
+    return F.coalesce(nfkd(F.when(rest.rlike(r"[^\x00-\x7F]"), text)), F.lower(rest))
 
 
 def words(text: Column) -> Column:

@@ -53,6 +53,8 @@ def test_canonical_url(spark, raw, expected):
 def test_small_text_functions(spark):
     assert one(spark, text.fold, "Ñandú ÉL") == "nandu el"
     assert one(spark, text.strip_brackets, "a (b [c] d) e").split() == ["a", "e"]
+    deep = "a " + "(x [" * 40 + "y" + "] z)" * 40 + " b ) c ["
+    assert one(spark, text.strip_brackets, deep).split() == ["a", "b", ")", "c", "["] and one(spark, text.strip_brackets, "") == "" and one(spark, text.strip_brackets, "a)") == "a)"
     assert one(spark, text.mask_phones, "call +54 11 4444-5555 or 2019-2023, 2024-01-31, 10.0.0.12") == "call [phone] or 2019-2023, 2024-01-31, 10.0.0.12"
     assert one(spark, text.mask_shape, "Ab1") == "Xx9"
     assert [one(spark, text.seniority_bucket, None, t) for t in ("Semi Senior Dev", "Sr. Dev", "Junior / Senior", "Staff Engineer", "Dev")] == ["semi", "senior", "junior", "lead", "unknown"]
@@ -179,3 +181,13 @@ def test_streams(spark, tmp_path):
     assert sum(r["hits"] for r in run(hours, "complete")) == 100
     assert len(run(once, "append")) == 50
     assert jobs.visits(rows, "user").count() == 2 and jobs.daily_quota(rows, "user", 10).where("over").count() > 0
+
+
+def test_fold_of_all_code_points(spark):
+    import sys
+    import unicodedata
+
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    rows = ["x".join(chars[k : k + 400]) for k in range(0, len(chars), 400)] + ["ﬁn Ａ Łódź ő", "plain", "É ñ", "", None]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "id long, t string").select("id", text.fold_whole(F.col("t")).alias("f")).orderBy("id").select("f").collect()]
+    assert got == [None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower() for t in rows]
