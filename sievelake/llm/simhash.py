@@ -34,8 +34,8 @@ _EDGES = 1 << 20
 #: Texts in expectation of which the frequent shingles are counted, and how many of these are told to the tasks.
 SAMPLE_TEXTS = 20_000
 MOST_FREQUENT = 100_000
-#: Rows of shared shingles that a task compares on average.
-PREFIX_ROWS = 200_000
+#: Rows of prefix shingles that a task looks through on average, and rows of shingles that different components share that one compares.
+PREFIX_ROWS, MIXED_ROWS = 200_000, 50_000
 #: Pairs between two components that are verified first; eight times as many in each further round.
 PAIRS_AT_ONCE = 8
 #: Bits of the parity map of a shingle set.
@@ -448,55 +448,66 @@ def shingle_prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, keys array<long>, parity binary")
 
 
-def prefix_pairs(key, node, root, n, at, similarity: float) -> np.ndarray:
-    """(2 x pairs) nodes with different roots that share a key and whose sizes and places of the key allow the similarity."""
+def prefix_pairs(key, node, root, n, at, parity, similarity: float) -> np.ndarray:
+    """(2 x pairs) nodes with different roots that share a key, whose sizes and places of the key allow the similarity, and whose parity maps (rows x 64-bit words) do.
+
+    A shingle in one of two sets flips one bit, so they differ in as many shingles as their maps do in bits, or in more. Pairs are looked at here and only those that pass leave.
+    """
     order = np.lexsort((n, key))
-    key, node, root, n, at = (x[order] for x in (key, node, root, n, at))
+    key, node, root, n, at, parity = (x[order] for x in (key, node, root, n, at, parity))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
     mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
     rows = np.flatnonzero(np.repeat(mixed, size))
     left = np.repeat(start + size, size)[rows] - rows - 1
     found = np.zeros((2, 0), dtype=np.int64)
-    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(left) >> 21)) + 1):
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(left) >> 19)) + 1):
         i = np.repeat(rows[part], left[part])
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left[part]) - left[part], left[part])
         most = 1 + np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
         near = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-9) & (most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-9)
+        i, j = i[near], j[near]
+        apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+        near = apart * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-9
         i, j = node[i[near]], node[j[near]]
         found = np.unique(np.concatenate([found, [np.minimum(i, j), np.maximum(i, j)]], axis=1), axis=1)
     return found
 
 
 def _shared_prefixes(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) of ``nodes`` (id, root, least) with different roots, among them all whose shingle sets are so similar."""
+    """Pairs (u, v) of ``nodes`` (id, root, least) with different roots, among them all whose shingle sets are so similar.
+
+    Only keys that texts of different roots share go further, and only to their rows parity maps are joined, so that pairs that can't be similar are never written.
+    """
     prefixes = shingle_prefixes(docs, frequent, k, similarity)
     wanted = nodes.select("id", "root", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
     same = prefixes["doc_id"].eqNullSafe(wanted["doc_id"]) & (prefixes["text_hash"] == wanted["text_hash"])
     own = checkpoint(prefixes.join(wanted, same).select("id", "root", "n", "keys", "parity"))
-    total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
     rows = own.select("id", "root", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("at", "key"))
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // PREFIX_ROWS)))).cast("int"))
+    total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
+    task = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // PREFIX_ROWS)))).cast("int")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = prefix_pairs(*(pdf[c].to_numpy() for c in ("key", "id", "root", "n", "at")), similarity)
-        return pd.DataFrame({"u": u, "v": v})
+    def of_mixed_keys(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, root = pdf["key"].to_numpy(), pdf["root"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        several = np.minimum.reduceat(root[order], start) != np.maximum.reduceat(root[order], start)
+        return pdf.iloc[order[np.repeat(several, np.diff(np.append(start, len(key))))]]
 
-    pairs = checkpoint(rows.groupBy("task").applyInPandas(join, "u long, v long").distinct())
+    rows = rows.withColumn("task", task).groupBy("task").applyInPandas(of_mixed_keys, "id long, root long, n int, at int, key long, task int")
+    rows = checkpoint(rows)
     release(docs.sparkSession)
-    # repeated rows of one text give it more than once
-    maps = own.groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    of = lambda end: maps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"p_{end}"))
+    tasks = max(1, -(-rows.count() // MIXED_ROWS))
+    # repeated rows of one text give its map more than once
+    maps = own.groupBy("id").agg(F.first("parity").alias("parity"))
+    dealt = rows.drop("task").join(maps, "id").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, _PARITY // 64) for c in ("p_u", "p_v"))
-            n = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
-            # a shingle in one of the sets flips one bit: they differ in as many shingles as their maps do in bits, or in more
-            apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
-            yield batch.select(["u", "v"]).filter(pa.array(apart * (1 + similarity) <= n * (1 - similarity) + 1e-9, pa.bool_()))
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        parity = np.frombuffer(b"".join(pdf["parity"]), dtype=np.uint64).reshape(-1, _PARITY // 64)
+        u, v = prefix_pairs(*(pdf[c].to_numpy() for c in ("key", "id", "root", "n", "at")), parity, similarity)
+        return pd.DataFrame({"u": u, "v": v})
 
-    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u long, v long")
+    return dealt.groupBy("task").applyInPandas(join, "u long, v long").distinct()
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
