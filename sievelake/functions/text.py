@@ -131,7 +131,8 @@ def html_to_text(html: Column) -> Column:
 
 
 def mask_emails(text: Column, marker: str = "[email]") -> Column:
-    return F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", marker)
+    # the pattern begins anew at every word: texts without an at need not be searched
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", marker)).otherwise(text)
 
 
 def mask_phones(text: Column, marker: str = "[phone]") -> Column:

@@ -1,6 +1,6 @@
 """Named queries on the driver tables, each beside its DuckDB statement."""
 
-from sievelake.plans import activity, decisions, live, market, more, reports, rules, selection, texts, weekly  # noqa: F401
+from sievelake.plans import activity, decisions, live, market, more, outcomes, reports, rules, selection, texts, weekly  # noqa: F401
 from sievelake.plans.registry import ORACLE, QUERIES
 
 
