@@ -109,7 +109,7 @@ _LEADS, _FORMS = ["", "Foo → ", "Bar -> Baz => ", "Old » "], [" S.A.", " Inc"
 @query(f"""WITH c AS (SELECT s_suppkey AS id, {_pick_sql(_LEADS, 's_suppkey')} || s_name || {_pick_sql(_FORMS, 's_suppkey // 3')} AS raw FROM supplier),
   f AS (SELECT id, lower(strip_accents(regexp_replace(regexp_extract(raw, '([^→»>]*)$', 1), '\\([^()]*\\)|\\[[^\\[\\]]*\\]', ' ', 'g'))) AS x FROM c),
   w AS (SELECT id, trim(regexp_replace(regexp_replace(x, '\\s+via\\s.*$', ' '), '[^a-z0-9]+', ' ', 'g')) AS x FROM f)
-  SELECT id, regexp_replace(regexp_replace(regexp_replace(x, ' s a$', ' sa'), ' s r l$', ' srl'), '( (sa|srl|inc|gmbh|ltda|corp|llc|co))+$', '') AS company FROM w""")
+  SELECT id, regexp_replace(regexp_replace(regexp_replace(x, ' s a$', ' sa'), ' s r l$', ' srl'), '( (sa|srl|inc|gmbh|corp|llc|co))+$', '') AS company FROM w""")
 def company_cases(t):
     """Every supplier with something before and behind its name."""
     key = F.col("s_suppkey")

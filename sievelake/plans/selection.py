@@ -21,15 +21,15 @@ def _pool(t):
     alive = selection.in_windows(F.lit(_NOW).cast("timestamp"), F.lit(_NOW).cast("timestamp") - F.make_dt_interval(days=(F.col("o_orderkey") % 20).cast("int")), F.col("o_orderdate"), F.col("o_orderstatus"), _BOARDS, 14, 1800)
     posted = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate"))
     return o.where(alive & (F.col("o_orderkey") % 17 != 0)).select(
-        F.col("o_orderkey").alias("id"), "o_orderpriority", hints.alias("hints"), posted.alias("posted"), F.concat(F.lit("u"), (F.col("o_orderkey") % 5000).cast("string")).alias("url"), F.when(month > 3, F.col("o_totalprice").cast("string")).alias("hash"), "o_totalprice"
+        F.col("o_orderkey").alias("id"), "o_orderpriority", hints.alias("hints"), posted.alias("posted"), F.concat(F.lit("u"), F.floor(F.col("o_orderkey") / 3).cast("string")).alias("url"), F.when(month > 3, F.col("o_totalprice").cast("string")).alias("hash"), "o_totalprice"
     )
 
 
 _POOL_SQL = f"""p AS (SELECT o_orderkey AS id, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN CAST([] AS VARCHAR[]) WHEN o_orderkey % 3 = 0 THEN [lower(c_mktsegment), 'q' || quarter(o_orderdate)] ELSE [lower(c_mktsegment)] END AS hints,
-  CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS posted, 'u' || (o_orderkey % 5000) AS url, CASE WHEN month(o_orderdate) > 3 THEN CAST(o_totalprice AS VARCHAR) END AS hash, o_totalprice
+  CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS posted, 'u' || (o_orderkey // 3) AS url, CASE WHEN month(o_orderdate) > 3 THEN CAST(o_totalprice AS VARCHAR) END AS hash, o_totalprice
   FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 20 <= 14 AND o_orderkey % 17 <> 0 AND (o_orderstatus = 'P' OR o_orderdate >= TIMESTAMP '{_NOW}' - INTERVAL 1800 DAY)),
 u AS (SELECT c_custkey AS "user", CASE WHEN c_custkey % 11 = 0 THEN CAST([] AS VARCHAR[]) WHEN c_custkey % 2 = 0 THEN [lower(c_mktsegment)] ELSE [lower(c_mktsegment), 'q' || (1 + c_custkey % 4)] END AS roles FROM customer),
-w AS (SELECT user_id AS "user", event_id AS pool_id, 'u' || (event_id % 5000) AS url FROM events WHERE event_type = 'click'),
+w AS (SELECT user_id AS "user", event_id AS pool_id, 'u' || (event_id // 3) AS url FROM events WHERE event_type = 'click'),
 m AS (SELECT u."user", u.roles, p.*, len(list_intersect(hints, roles)) > 0 AS exact, (list_contains(roles, 'building') AND o_orderpriority LIKE '1%') OR (list_contains(roles, 'q2') AND o_orderpriority LIKE '%HIGH%') AS strong
   FROM u JOIN p ON len(hints) = 0 OR len(list_intersect(hints, roles)) > 0
   WHERE NOT EXISTS (SELECT 1 FROM w WHERE w."user" = u."user" AND w.pool_id = p.id) AND NOT EXISTS (SELECT 1 FROM w WHERE w."user" = u."user" AND w.url = p.url)
@@ -45,7 +45,7 @@ def _people(t):
 
 def _owned(t, pool):
     """People own what they clicked on: by id, by url, and by the content of what they own by id."""
-    own = t.events.where("event_type = 'click'").select(F.col("user_id").alias("user"), F.col("event_id").alias("pool_id"), F.concat(F.lit("u"), (F.col("event_id") % 5000).cast("string")).alias("url"))
+    own = t.events.where("event_type = 'click'").select(F.col("user_id").alias("user"), F.col("event_id").alias("pool_id"), F.concat(F.lit("u"), F.floor(F.col("event_id") / 3).cast("string")).alias("url"))
     return own.join(pool.select(F.col("id").alias("pool_id"), "hash"), "pool_id", "left")
 
 
