@@ -35,7 +35,7 @@ _EDGES = 1 << 20
 SAMPLE_TEXTS = 20_000
 MOST_FREQUENT = 100_000
 #: Rows of prefix shingles that a task looks through on average, and rows of shingles that different components share that one compares.
-PREFIX_ROWS, MIXED_ROWS = 200_000, 50_000
+PREFIX_ROWS, MIXED_ROWS = 200_000, 400_000
 #: Pairs between two components that are verified first; eight times as many in each further round.
 PAIRS_AT_ONCE = 8
 #: Bits of the parity map of a shingle set.
@@ -448,13 +448,13 @@ def shingle_prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, keys array<long>, parity binary")
 
 
-def prefix_pairs(key, node, root, n, at, parity, similarity: float) -> np.ndarray:
-    """(2 x pairs) nodes with different roots that share a key, whose sizes and places of the key allow the similarity, and whose parity maps (rows x 64-bit words) do.
+def prefix_pairs(key, node, root, n, at, own_map, parity, similarity: float) -> np.ndarray:
+    """(2 x pairs) nodes with different roots that share a key, whose sizes and places of the key allow the similarity, and whose parity maps (``own_map``-th rows of ``parity``) do.
 
     A shingle in one of two sets flips one bit, so they differ in as many shingles as their maps do in bits, or in more. Pairs are looked at here and only those that pass leave.
     """
     order = np.lexsort((n, key))
-    key, node, root, n, at, parity = (x[order] for x in (key, node, root, n, at, parity))
+    key, node, root, n, at, own_map = (x[order] for x in (key, node, root, n, at, own_map))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
     mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
@@ -467,7 +467,7 @@ def prefix_pairs(key, node, root, n, at, parity, similarity: float) -> np.ndarra
         most = 1 + np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
         near = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-9) & (most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-9)
         i, j = i[near], j[near]
-        apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(parity[own_map[i]] ^ parity[own_map[j]]).sum(axis=1, dtype=np.int64)
         near = apart * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-9
         i, j = node[i[near]], node[j[near]]
         found = np.unique(np.concatenate([found, [np.minimum(i, j), np.maximum(i, j)]], axis=1), axis=1)
@@ -498,16 +498,19 @@ def _shared_prefixes(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarr
     rows = checkpoint(rows)
     release(docs.sparkSession)
     tasks = max(1, -(-rows.count() // MIXED_ROWS))
-    # repeated rows of one text give its map more than once
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
+    # a text's map goes once to each task that has rows of it; repeated rows of one text give its map more than once
     maps = own.groupBy("id").agg(F.first("parity").alias("parity"))
-    dealt = rows.drop("task").join(maps, "id").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
+    sent = rows.select(F.col("task").alias("to"), F.col("id").alias("node")).distinct().join(maps.withColumnRenamed("id", "node"), "node")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        parity = np.frombuffer(b"".join(pdf["parity"]), dtype=np.uint64).reshape(-1, _PARITY // 64)
-        u, v = prefix_pairs(*(pdf[c].to_numpy() for c in ("key", "id", "root", "n", "at")), parity, similarity)
+    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("node")
+        parity = np.frombuffer(b"".join(right["parity"]), dtype=np.uint64).reshape(-1, _PARITY // 64)
+        own_map = np.searchsorted(right["node"].to_numpy(), left["id"].to_numpy())
+        u, v = prefix_pairs(*(left[c].to_numpy() for c in ("key", "id", "root", "n", "at")), own_map, parity, similarity)
         return pd.DataFrame({"u": u, "v": v})
 
-    return dealt.groupBy("task").applyInPandas(join, "u long, v long").distinct()
+    return rows.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(join, "u long, v long").distinct()
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
