@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +32,14 @@ STEP = 6
 _LEAF = 1024
 #: Edges that a task holds before it keeps their spanning forest only.
 _EDGES = 1 << 20
-#: Texts in expectation of which the frequent shingles are counted, and how many of these are told to the tasks.
-SAMPLE_TEXTS = 20_000
-MOST_FREQUENT = 100_000
+#: Bytes of text whose shingles one task counts on average.
+COUNTED_BYTES = 24 << 20
 #: Rows of prefix shingles that a task looks through on average, and rows of shingles that different components share that one compares.
 PREFIX_ROWS, MIXED_ROWS = 200_000, 400_000
 #: Pairs between two components that are verified first; eight times as many in each further round.
 PAIRS_AT_ONCE = 8
 #: Bits of the parity map of a shingle set.
-_PARITY = 512
+_PARITY = 1024
 #: Bits of the bitmap that tells which texts a verification needs (4 MB), and bytes of one of Spark's bitmap buckets.
 _WANTED_BITS, _BUCKET_BYTES = 1 << 25, 4096
 
@@ -389,63 +389,98 @@ def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simil
     return pairs.mapInArrow(compare, "u long, v long")
 
 
-def frequent_shingles(docs: DataFrame, k: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of the shingles that stand in several texts of a sample, the most frequent ones."""
-    python_stage(docs.sparkSession)
-    parts = max(1, n_docs // SAMPLE_TEXTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            for lo, hi in chunks(offsets):
-                own, _ = distinct(*Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k))
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
-
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(parts)) == 0)
-    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
-    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()
-    value, count = found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy()
-    order = np.argsort(value)
-    return value[order], count[order]
+def shared_shingles(docs: DataFrame, k: int, similarity: float, counted_bytes: int = COUNTED_BYTES) -> DataFrame:
+    """(text_hash, n int, at int, key long): of each text's prefix the ``k``-word shingles that stand in other texts too; n is its number of distinct ones.
 
-
-def shingle_prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, n, keys, parity) for each text: its number of distinct ``k``-word shingles, the prefix of them of which two
-    sets of that similarity must share one, and ``_PARITY`` bits each of which is flipped by the shingles that fall on it.
-
-    The prefix is the first n - ceil(similarity x n) + 1 shingles in one order for all texts. Any order serves; ``frequent`` ones come
-    last, so that few texts share a key.
+    Two sets of that similarity must share one of their first n - ceil(similarity x n) + 1 shingles, in any one order for all texts. Here the
+    rarest come first, by counts over all of ``docs``: a shingle that stands in one text only is at the front and never shared, so a text
+    most of whose shingles are its own has no row. Each task counts a part of the hashes, sent as 4 bytes beside the text's number in its batch; two
+    shingles that agree in the part and these bytes count as one, which can only add rows.
     """
     python_stage(docs.sparkSession)
-    value, count = frequent
+    parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // counted_bytes))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = 0
+        for whole in batches:
+            for start in range(0, len(whole), 1 << 16):
+                batch = whole.slice(start, 1 << 16)
+                data, offsets = flat(batch.column("text"))
+                values, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+                for lo, hi in chunks(offsets):
+                    own, first = distinct(*Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k))
+                    values.append(own)
+                    sizes.append(np.diff(first))
+                own, n = np.concatenate(values), np.concatenate(sizes)
+                part = ((own >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                low, text = own.astype(np.uint32)[order], np.repeat(np.arange(len(n), dtype=np.uint16), n)[order]
+                bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                sent = np.flatnonzero(np.diff(bounds))
+                # the texts' sizes and hashes go with one of the rows
+                heads = [n.astype(np.int32).tobytes()] + [b""] * (len(sent) - 1), [batch.column("text_hash").to_numpy().tobytes()] + [b""] * (len(sent) - 1)
+                if len(sent):
+                    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[sent], bounds[sent + 1], strict=True)], pa.binary())  # noqa: E731, B023
+                    ids = [pa.array(np.full(len(sent), x, dtype=np.int64)) for x in ((context.partitionId() << 32) + number, len(sent))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sent.astype(np.int32)), *ids, cut(low), cut(text), *(pa.array(x, pa.binary()) for x in heads)], ["part", "batch", "rows", "low", "text", "sizes", "hashes"]
+                    )
+                number += 1
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint32)
+        values = np.sort(low)
+        often = np.unique(values[1:][values[1:] == values[:-1]])
+        times = (np.searchsorted(values, often, side="right") - np.searchsorted(values, often)).astype(np.int64)
+        columns: dict[str, list] = {"low": [], "text": [], "times": []}
+        for own, text in zip(pdf["low"], pdf["text"], strict=True):
+            own, text = np.frombuffer(own, dtype=np.uint32), np.frombuffer(text, dtype=np.uint16)
+            at = np.minimum(np.searchsorted(often, own), max(len(often) - 1, 0))
+            shared = often[at] == own if len(often) else np.zeros(len(own), dtype=bool)
+            for name, x in (("low", own), ("text", text), ("times", times[at] if len(often) else own)):
+                columns[name].append(x[shared].tobytes())
+        return pdf[["part", "batch", "rows", "sizes", "hashes"]].assign(**columns)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf["sizes"].str.len() > 0
+        if len(pdf) != pdf["rows"].iloc[0] or head.sum() != 1:
+            raise RuntimeError("rows of a batch are missing: the scan gave other batches when it was repeated")
+        n, hashes = (np.frombuffer(pdf[c][head].iloc[0], dtype=kind) for c, kind in (("sizes", np.int32), ("hashes", np.int64)))
+        low, text, times = (np.frombuffer(b"".join(pdf[c]), dtype=kind) for c, kind in (("low", np.uint32), ("text", np.uint16), ("times", np.int64)))
+        part = np.repeat(pdf["part"].to_numpy(), pdf["low"].str.len() // 4)
+        key, text = (part.astype(np.int64) << 32) | low.astype(np.int64), text.astype(np.int64)
+        order = np.lexsort((key, times, text))
+        key, text = key[order], text[order]
+        first = np.searchsorted(text, np.arange(len(n) + 1))
+        at = n[text] - np.diff(first)[text] + np.arange(len(text)) - first[text]
+        keep = at < n[text] - np.ceil(similarity * n[text] - 1e-9).astype(np.int64) + 1
+        text = text[keep]
+        return pd.DataFrame({"text_hash": hashes[text], "n": n[text], "at": at[keep].astype(np.int32), "key": key[keep]})
+
+    dealt = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(deal, "part int, batch long, rows long, low binary, text binary, sizes binary, hashes binary")
+    counted = dealt.groupBy("part").applyInPandas(count, "part int, batch long, rows long, sizes binary, hashes binary, low binary, text binary, times binary")
+    return counted.groupBy("batch").applyInPandas(choose, "text_hash long, n int, at int, key long")
+
+
+def parity_maps(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(text_hash, parity binary) for the texts whose bit is set in ``wanted``: ``_PARITY`` bits, each of which is flipped by the ``k``-word shingles that fall on it."""
+    python_stage(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = (batch.column("text_hash").to_numpy().astype(np.int64)) % _WANTED_BITS
+            batch = batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             data, offsets = flat(batch.column("text"))
-            keys, sizes, lengths, parity = [], [], [], []
+            parity = []
             for lo, hi in chunks(offsets):
                 own, first = distinct(*Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k))
-                n = np.diff(first)
-                text = np.repeat(np.arange(hi - lo), n)
-                often = np.zeros(len(own), dtype=np.int64)
-                if len(value):
-                    at = np.minimum(np.searchsorted(value, own), len(value) - 1)
-                    often = np.where(value[at] == own, count[at], 0)
-                order = np.lexsort((own, often, text))
-                most = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-                keys.append(own[order[np.arange(len(own)) - first[text] < most[text]]])
-                flips = np.zeros((hi - lo, _PARITY), dtype=np.uint8)
-                np.bitwise_xor.at(flips, (text, (mix(own) % np.uint64(_PARITY)).astype(np.int64)), 1)
-                parity += [x.tobytes() for x in np.packbits(flips, axis=1)]
-                sizes.append(n)
-                lengths.append(most)
-            ends = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int32)
-            every = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
-            columns = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.array(parity, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", "n", "keys", "parity"])
+                text = np.repeat(np.arange(hi - lo), np.diff(first))
+                flips = np.bincount(text * _PARITY + (mix(own) % np.uint64(_PARITY)).astype(np.int64), minlength=(hi - lo) * _PARITY).reshape(-1, _PARITY)
+                parity += [x.tobytes() for x in np.packbits((flips & 1).astype(np.uint8), axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(parity, pa.binary())], ["text_hash", "parity"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, keys array<long>, parity binary")
+    return docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "text_hash long, parity binary")
 
 
 def prefix_pairs(key, node, root, n, at, own_map, parity, similarity: float) -> np.ndarray:
@@ -474,18 +509,17 @@ def prefix_pairs(key, node, root, n, at, own_map, parity, similarity: float) ->
     return found
 
 
-def _shared_prefixes(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, similarity: float) -> DataFrame:
+def _shared_prefixes(docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of ``nodes`` (id, root, least) with different roots, among them all whose shingle sets are so similar.
 
     Only keys that texts of different roots share go further, and only to their rows parity maps are joined, so that pairs that can't be similar are never written.
     """
-    prefixes = shingle_prefixes(docs, frequent, k, similarity)
-    wanted = nodes.select("id", "root", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
-    same = prefixes["doc_id"].eqNullSafe(wanted["doc_id"]) & (prefixes["text_hash"] == wanted["text_hash"])
-    own = checkpoint(prefixes.join(wanted, same).select("id", "root", "n", "keys", "parity"))
-    rows = own.select("id", "root", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("at", "key"))
-    total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
-    task = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // PREFIX_ROWS)))).cast("int")
+    wanted = nodes.select("id", "root", F.col("least.text_hash").alias("text_hash"))
+    # copies of a text give its rows more than once
+    keys = shared_shingles(docs, k, similarity).groupBy("text_hash", "key").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    rows = checkpoint(keys.join(wanted, "text_hash").select("id", "root", "n", "at", "key"))
+    release(docs.sparkSession)
+    task = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows.count() // PREFIX_ROWS)))).cast("int")
 
     def of_mixed_keys(pdf: pd.DataFrame) -> pd.DataFrame:
         key, root = pdf["key"].to_numpy(), pdf["root"].to_numpy()
@@ -499,8 +533,9 @@ def _shared_prefixes(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarr
     release(docs.sparkSession)
     tasks = max(1, -(-rows.count() // MIXED_ROWS))
     rows = rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
-    # a text's map goes once to each task that has rows of it; repeated rows of one text give its map more than once
-    maps = own.groupBy("id").agg(F.first("parity").alias("parity"))
+    # a text's map goes once to each task that has rows of it; copies of one text give its map more than once
+    needed = checkpoint(wanted.join(rows.select("id").distinct(), "id", "left_semi").select("id", "text_hash"))
+    maps = parity_maps(docs, k, _bits_of(needed)).join(needed, "text_hash").groupBy("id").agg(F.first("parity").alias("parity"))
     sent = rows.select(F.col("task").alias("to"), F.col("id").alias("node")).distinct().join(maps.withColumnRenamed("id", "node"), "node")
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -544,7 +579,7 @@ def near_duplicates(docs: DataFrame, budget: int = 7, max_bits: int = 54, k: int
     linked = components(_verified(edges, nodes, docs, k, similarity))
     known = rooted(linked)
     release(docs.sparkSession)
-    pairs, most = checkpoint(_shared_prefixes(docs, known, frequent_shingles(docs, k, own.count()), k, similarity)), PAIRS_AT_ONCE
+    pairs, most = checkpoint(_shared_prefixes(docs, known, k, similarity)), PAIRS_AT_ONCE
     release(docs.sparkSession)
     while not (apart := _apart(pairs, known)).isEmpty():
         release(docs.sparkSession)

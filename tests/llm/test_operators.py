@@ -1,8 +1,9 @@
 """The operators on small tables, against brute force: nulls, empty and long texts, ties, repeated rows, extra columns."""
 
 import hashlib
+import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -159,6 +160,41 @@ def test_near_duplicates_past_a_forest_edge_that_fails(spark, monkeypatch):
     assert [len({part[3 * g + k] for k in range(3)}) for g in range(60)] == [1] * 60
 
 
+def test_long_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    # a sample that misses the passage: this was what its order by frequency came from
+    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 1, raising=False)
+    rng, seen, apart = random.Random(11), [], simhash._apart
+    monkeypatch.setattr(simhash, "_apart", lambda pairs, known: seen.append(pairs.count()) or apart(pairs, known))
+    shared = " ".join(f"passage{j}" for j in range(60))
+    texts = [" ".join(f"t{i}w{j}" for j in range(700)) + f" {shared} " + " ".join(f"t{i}v{j}" for j in range(rng.randrange(700, 800))) for i in range(30)]
+    assert simhash.deduplicate(frame(spark, list(enumerate(texts)))).count() == 30
+    assert seen == [0]
+
+
+@pytest.mark.parametrize("counted_bytes", [1 << 30, 2000])
+def test_shared_shingles_equal_plain_prefixes(spark, odd, counted_bytes):
+    rng, texts = random.Random(12), [t for _, t in odd]
+    for i in range(60):
+        words = [f"b{i}w{j}" for j in range(rng.randrange(1, 60))]
+        edited = list(words)
+        edited[rng.randrange(len(words))] = "edited"
+        texts += [" ".join(words), " ".join(edited), " ".join(words + ["more", f"m{i}"])]
+    rows = list(enumerate([*texts, *texts[:20]]))
+    table = frame(spark, rows)
+    got = defaultdict(dict)
+    for r in simhash.shared_shingles(table, 5, 0.8, counted_bytes).collect():
+        got[r["text_hash"]][r["key"]] = (r["n"], r["at"])
+    hashes = {r["doc_id"]: r["h"] for r in table.selectExpr("doc_id", "xxhash64(text) h").collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for i, t in rows}
+    times = Counter(x for s in sets.values() for x in s)
+    for i, s in sets.items():
+        own = sum(times[x] == 1 for x in s)
+        most = len(s) - math.ceil(0.8 * len(s) - 1e-9) + 1
+        assert sorted(got[hashes[i]].values()) == [(len(s), at) for at in range(own, most if s else 0)]
+    near = [(i, j) for i in sets for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 60 and all(got[hashes[i]].keys() & got[hashes[j]].keys() for i, j in near)
+
+
 def removed(texts, length):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
