@@ -26,7 +26,7 @@ from sievelake.llm.components import components
 
 #: Fingerprints that one task joins at most; larger nodes are split first.
 NODE_ROWS = 200_000
-#: Levels of the trie by which a node that is too large is expanded at once.
+#: Levels of the trie by which a node that is too large is expanded at once, at most.
 STEP = 6
 #: Pairs of leaves that are compared outright instead of being expanded further.
 _LEAF = 1024
@@ -227,12 +227,14 @@ def trie_links(nodes: DataFrame, budget: int, max_bits: int | None = None, node_
     key = ["block", "depth", "a", "b"]
     done: list[DataFrame] = []
     while True:
-        large = checkpoint(rows.groupBy(*key).count().where(F.col("count") > node_rows).where("depth < 64").drop("count"))
+        # no more levels than halve a node often enough: each level doubles its rows
+        levels = F.least(F.lit(STEP), F.ceil(F.log2(F.col("count") * 2 / node_rows))).cast("int")
+        large = checkpoint(rows.groupBy(*key).count().where(F.col("count") > node_rows).where("depth < 64").select(*key, levels.alias("levels")))
         if large.isEmpty():
             done.append(rows)
             break
         done.append(rows.join(large, key, "left_anti"))
-        deep = rows.join(large, key, "left_semi").withColumn("deeper", F.least(F.col("depth") + STEP, F.lit(64)))
+        deep = rows.join(large, key).withColumn("deeper", F.least(F.col("depth") + F.col("levels"), F.lit(64)))
         cut = "shiftleft(shiftrightunsigned({0}, 64 - {1}), 64 - {1})"
         deep = deep.withColumn("own", F.expr(cut.format("value", "deeper")))
         deep = deep.withColumn("other", F.when(F.expr(cut.format("value", "depth")) == F.col("a"), F.col("b")).otherwise(F.col("a")))

@@ -195,6 +195,24 @@ def test_shared_shingles_equal_plain_prefixes(spark, odd, counted_bytes):
     assert len(near) > 60 and all(got[hashes[i]].keys() & got[hashes[j]].keys() for i, j in near)
 
 
+def test_a_large_trie_node_is_expanded_no_deeper_than_needed(spark, monkeypatch):
+    rng, sizes, write = random.Random(13), [], simhash.checkpoint
+
+    def watched(df):
+        out = write(df)
+        sizes.append(out.count() if "value" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "checkpoint", watched)
+    prints = [(7 << 56) | rng.getrandbits(56) for _ in range(600)]
+    prints += [x ^ (1 << rng.randrange(56)) for x in prints[:100]]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "id long, fp long")
+    links = {frozenset((r["u"], r["v"])) for r in simhash.trie_links(nodes, 7, node_rows=500).collect()}
+    assert {frozenset((i, 600 + i)) for i in range(100)} <= links
+    # 700 rows take two levels first, 4 rows for each; six levels gave 64
+    assert 0 < max(sizes) <= 8 * len(prints)
+
+
 def removed(texts, length):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
