@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def decide(score: Column, caps: list[tuple[Column, float]], penalties: list[tuple[Column, float]], blockers: Column, thresholds: dict[str, float]) -> Column:
     """struct<score, action>: the score less the penalties that hold, under the caps that hold, within 0 and 10. Blockers discard;
-    else the action with the highest threshold that is reached, or discard."""
+    else the action with the highest threshold that is reached, or discard. The score is not rounded."""
     for holds, amount in penalties:
         score = score - F.when(holds, amount).otherwise(0.0)
     for holds, cap in caps:
@@ -20,7 +20,7 @@ def decide(score: Column, caps: list[tuple[Column, float]], penalties: list[tupl
     action = F.lit("discard")
     for name, least in sorted(thresholds.items(), key=lambda x: x[1]):
         action = F.when(score >= least, name).otherwise(action)
-    return F.struct(F.round(score, 2).alias("score"), F.when(F.size(blockers) > 0, "discard").otherwise(action).alias("action"))
+    return F.struct(score.alias("score"), F.when(F.size(blockers) > 0, "discard").otherwise(action).alias("action"))
 
 
 def checklist(items: list[tuple[str, Column, bool]]) -> Column:
