@@ -3,23 +3,26 @@
 A person's candidates are ordered by whether the title names one of their roles, whether a role of the posting is one of theirs, then newest first. Those flags
 depend on the roles alone, so lists are made for roles, not for people: one for each (role that the title names or none, role of the posting or none),
 by date alone. The best ``k`` of a set of roles stand among the best ``k`` of its lists: who stands before a posting in the list that has both its flags has
-the same flags at least, and is newer. People with one set of roles share its list, and go through it past what they own.
+the same flags at least, and is newer. People with one set of roles share its list. What a person owns leaves runs of free positions in it, and only these runs
+are dealt out: a person who owns nothing of the list is one row until the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.session import checkpoint, ship
 
-#: People who own more candidates than this are searched for apart: else all lists would have to be as long.
+#: People who own more than this of the first postings of their list are searched for apart: else all lists would have to be as long.
 MOST_OWNED = 1000
+#: People of one set of roles that read one copy of its list; more are dealt over several.
+_SHARING = 1024
 #: Rows that a task gathers before it cuts them down to the best of each key.
 _GATHERED = 1 << 18
 
@@ -82,7 +85,7 @@ def in_windows(now: Column, last_seen: Column, posted: Column, source: Column, b
 
 def owned_ids(owned: DataFrame, pool: DataFrame) -> DataFrame:
     """(user, id) of the pool's postings that people own, by pool id, by url or by content hash; nulls match nothing. One join for each key."""
-    by = lambda theirs, ours: owned.select("user", theirs).where(F.col(theirs).isNotNull()).distinct().join(pool.select("id", F.col(ours).alias(theirs)).where(F.col(theirs).isNotNull()), theirs).select("user", "id")
+    by = lambda theirs, ours: owned.select("user", theirs).where(F.col(theirs).isNotNull()).join(pool.select("id", F.col(ours).alias(theirs)).where(F.col(theirs).isNotNull()), theirs).select("user", "id")
     return by("url", "url").union(by("hash", "hash")).union(by("pool_id", "id_key")).distinct()
 
 
@@ -109,37 +112,79 @@ def _flagged(entries: DataFrame, *keys: str) -> DataFrame:
     return entries.groupBy(*keys, "id", "posted").agg(F.max(F.col("strong").isNotNull().cast("int")).alias("strong"), F.max((F.col("hint") != "*").cast("int")).alias("exact"))
 
 
-def candidates(people: DataFrame, pool: DataFrame, owned: DataFrame, named: Column, k: int = 300, most_owned: int = MOST_OWNED) -> DataFrame:
-    """(user, id, strong, exact, posted, position): the first ``k`` postings that each of ``people`` (user, roles) doesn't own.
+def _ranked(profiles: DataFrame, index: DataFrame, deep: int) -> DataFrame:
+    """(profile, id, posted, strong, exact, position): the first ``deep`` postings of each of ``profiles`` (profile, roles)."""
+    lists = top_k(index, ["strong", "hint"], [("posted", "descending"), ("id", "ascending")], deep).drop("position")
+    wanted = _wanted(profiles, "profile")
+    met = wanted.join(lists, _same(wanted, lists)).select("profile", lists["strong"], lists["hint"], "id", "posted")
+    # a profile has no more than ``deep`` rows from each of its lists
+    place = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("strong"), F.desc("exact"), F.desc_nulls_last("posted"), "id"))
+    return _flagged(met, "profile").withColumn("position", place.cast("long")).where(F.col("position") <= deep)
+
+
+def _runs(people: DataFrame, taken: DataFrame, deep: int, k: int) -> DataFrame:
+    """(user, profile, lo, hi, owns): the runs of positions that hold a person's first ``k`` free ones, and how many owned ones stand before. ``taken``: (user, profile, position)."""
+    each = Window.partitionBy("user").orderBy("position")
+    places = people.select("user", "profile", F.lit(0).cast("long").alias("position")).unionByName(taken)
+    runs = places.select("user", "profile", (F.col("position") + 1).alias("lo"), F.lead("position").over(each).alias("next"), (F.row_number().over(each) - 1).cast("long").alias("owns"))
+    return runs.select("user", "profile", "lo", F.least(F.coalesce(F.col("next") - 1, F.lit(deep)), F.col("owns") + k).alias("hi"), "owns").where(F.col("lo") <= F.col("hi"))
+
+
+def _dealt(runs: DataFrame, ranked: DataFrame, people: DataFrame) -> DataFrame:
+    """``runs`` with the postings in them. The list of a set of roles that many people share is copied, a copy for each ``_SHARING`` of them, so that no task gets them all."""
+    # a row for each ``_SHARING`` people at most
+    shared = F.broadcast(people.groupBy("profile").agg(F.ceil(F.count("*") / _SHARING).cast("int").alias("copies")).where(F.col("copies") > 1))
+    copies = F.coalesce("copies", F.lit(1))
+    runs = runs.join(shared, "profile", "left").withColumn("copy", F.pmod(F.hash("user"), copies)).drop("copies")
+    ranked = ranked.join(shared, "profile", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return runs.join(ranked, ["profile", "copy"]).where(F.col("position").between(F.col("lo"), F.col("hi"))).withColumn("position", F.col("position") - F.col("owns"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["strong"].eqNullSafe(b["strong"]) & (a["hint"] == b["hint"])
+
+
+def candidates(people: DataFrame, pool: DataFrame, owned: DataFrame, named: Column, k: int = 300, most_owned: int = MOST_OWNED, columns: Iterable[str] = ()) -> DataFrame:
+    """(user, id, posted, strong, exact, position, columns): the first ``k`` postings that each of ``people`` (user, roles) doesn't own.
 
     ``pool`` (id, hints, posted, url, hash, and what ``named``, the roles that a title names, needs) holds what is alive and no copy. A posting is a candidate if one of
     its hints is one of the roles, or it has none. Order: title names a role, a hint is a role, newest (unknown last), id. Null users and people without roles get
-    postings without hints only; a user with several rows has the roles of all. ``owned``: (user, pool_id, url, hash).
+    postings without hints only; a user with several rows has the roles of all. ``owned``: (user, pool_id, url, hash). Wide ``columns`` of the pool are read for
+    the winners only, each once, before they are dealt out.
+
+    Lists are as long as most people need, then longer for those who own too much of them; whoever owns more than ``most_owned`` of the longer ones goes through
+    the index alone.
     """
     people = people.where(F.col("user").isNotNull()).groupBy("user").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("roles", F.array().cast("array<string>")))))).alias("roles"))
-    people = checkpoint(people.withColumn("roles", F.array_compact("roles")))
-    index = checkpoint(role_index(pool, named))
-    mine = checkpoint(owned_ids(owned, pool.withColumn("id_key", F.col("id"))).join(people.select("user"), "user", "left_semi"))
-    counts = checkpoint(mine.groupBy("user").agg(F.count("*").alias("n_owned")))
-    heavy = counts.where(F.col("n_owned") > most_owned).select("user")
-    light = people.join(counts, "user", "left").where(F.coalesce("n_owned", F.lit(0)) <= most_owned)
-    # lists that are long enough for whoever owns most of them
-    deep = k + (light.agg(F.max(F.coalesce("n_owned", F.lit(0)))).first()[0] or 0)
-    lists = checkpoint(top_k(index, ["strong", "hint"], [("posted", "descending"), ("id", "ascending")], deep).drop("position"))
-    light = light.withColumn("profile", F.array_join("roles", "\u0001"))
-    profiles = light.select("profile", "roles").distinct()
-    same = lambda a, b: a["strong"].eqNullSafe(b["strong"]) & (a["hint"] == b["hint"])
-    wanted = _wanted(profiles, "profile")
-    met = wanted.join(lists, same(wanted, lists)).select("profile", lists["strong"], lists["hint"], "id", "posted")
-    ranked = checkpoint(top_k(_flagged(met, "profile"), ["profile"], _RANK, deep).drop("position"))
-    shared = light.select("user", "profile").join(ranked, "profile").drop("profile")
-    # those who own so much go through the index themselves, past what they own
-    few = people.join(heavy, "user", "left_semi")
-    own = _wanted(few, "user")
-    direct = _flagged(own.join(index, same(own, index)).select("user", index["strong"], index["hint"], "id", "posted"), "user")
-    columns = ["user", "id", "posted", "strong", "exact"]
-    left = shared.select(columns).unionByName(direct.select(columns)).join(mine, ["user", "id"], "left_anti")
-    return top_k(left, ["user"], _RANK, k)
+    rest = checkpoint(people.withColumn("roles", F.array_compact("roles")).withColumn("profile", F.to_json("roles")))
+    index, found = role_index(pool, named), []
+    given = ["user", "id", "posted", "strong", "exact", "position", *columns]
+    for deep in sorted({min(2 * k, k + most_owned), k + most_owned}):
+        ranked = checkpoint(_ranked(rest.select("profile", "roles").distinct(), index, deep))
+        listed = checkpoint(pool.join(ranked.select("id").distinct(), "id", "left_semi").select("id", "url", "hash", F.col("id").alias("id_key")))
+        taken = checkpoint(owned_ids(owned, listed).join(rest.select("user", "profile"), "user").join(ranked.select("profile", "id", "position"), ["profile", "id"]).select("user", "profile", "position"))
+        # a list that is shorter than ``deep`` is whole
+        cut = ranked.where(F.col("position") == deep).select("profile")
+        short = checkpoint(taken.groupBy("user", "profile").agg(F.count("*").alias("n")).where(F.col("n") > deep - k).join(cut, "profile", "left_semi").select("user"))
+        runs = checkpoint(_runs(rest, taken, deep, k).join(short, "user", "left_anti"))
+        if columns:
+            won = ranked.join(runs.select("profile", "lo", "hi").distinct(), "profile").where(F.col("position").between(F.col("lo"), F.col("hi")))
+            ranked = checkpoint(hydrated(ranked.join(won.select("id").distinct(), "id", "left_semi"), pool, [*columns]))
+        found.append(_dealt(runs, ranked, rest).select(given))
+        rest = checkpoint(rest.join(short, "user", "left_semi"))
+        if rest.isEmpty():
+            break
+    else:
+        # those who own so much go through the index themselves, past what they own
+        own = _wanted(rest, "user")
+        direct = _flagged(own.join(index, _same(own, index)).select("user", index["strong"], index["hint"], "id", "posted"), "user")
+        mine = owned_ids(owned.join(rest.select("user"), "user", "left_semi"), pool.withColumn("id_key", F.col("id")))
+        left = checkpoint(top_k(direct.select("user", "id", "posted", "strong", "exact").join(mine, ["user", "id"], "left_anti"), ["user"], _RANK, k))
+        found.append((hydrated(left, pool, [*columns]) if columns else left).select(given))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def hydrated(picked: DataFrame, pool: DataFrame, columns: list[str]) -> DataFrame:

@@ -54,5 +54,4 @@ def pool_candidates(t):
     """All customers at once; the price stands for the wide columns, read for winners only."""
     pool = _pool(t)
     named = F.array_compact(F.array(F.when(F.col("o_orderpriority").startswith("1"), "building"), F.when(F.col("o_orderpriority").contains("HIGH"), "q2")))
-    picked = selection.candidates(_people(t), pool, _owned(t, pool), named, k=KEPT)
-    return selection.hydrated(picked, pool, ["o_totalprice"]).select("user", "id", "strong", "exact", "position", "o_totalprice")
+    return selection.candidates(_people(t), pool, _owned(t, pool), named, k=KEPT, columns=["o_totalprice"]).select("user", "id", "strong", "exact", "position", "o_totalprice")

@@ -74,3 +74,35 @@ def test_windows(spark):
     df = spark.createDataFrame(rows, "id long, seen string, posted string, source string")
     alive = selection.in_windows(F.lit("2024-06-01").cast("timestamp"), F.col("seen").cast("timestamp"), F.col("posted").cast("timestamp"), F.col("source"), ("board",))
     assert {x["id"] for x in df.where(alive).collect()} == {4, 5, 7}
+
+
+def frames(spark, people, pool, owned):
+    return spark.createDataFrame(people, "user string, roles array<string>"), spark.createDataFrame(pool, "id long, hints array<string>, posted long, url string, hash string, title string"), spark.createDataFrame(owned, "user string, pool_id long, url string, hash string")
+
+
+def titled():
+    return F.filter(F.split("title", " "), lambda x: x != "")
+
+
+def test_people_are_dealt_from_shared_lists(spark, monkeypatch):
+    """Wide columns are read before the lists are dealt out. Some own the start of their list, some more than any list may be long."""
+    monkeypatch.setattr(selection, "_SHARING", 3)
+    people = [(f"p{k}", ["data"] if k < 20 else ["data", "web"]) for k in range(30)]
+    pool = [(k, ["data"] if k % 3 else [], 200 - k, f"u{k // 2}", None, "web" if k % 5 == 0 else "") for k in range(120)]
+    owned = [("p1", k, None, None) for k in range(14)] + [("p2", k, None, None) for k in range(1, 60) if k % 3] + [("p25", None, f"u{k}", None) for k in range(40)] + [("p26", k, None, None) for k in range(118)] + [("p3", 1, "u0", None), ("p3", 1, "u5", None)]
+    got = selection.candidates(*frames(spark, people, pool, owned), titled(), k=5, most_owned=20, columns=["title"])
+    assert {(x["user"], x["id"], x["position"]) for x in got.collect()} == plain(people, pool, owned, 5)
+    assert all(x["title"] == pool[x["id"]][5] for x in got.collect())
+
+
+def test_people_are_no_python_groups(spark):
+    people, pool, owned = [(f"p{k}", ["data"]) for k in range(20)], [(k, ["data"], k, None, None, "") for k in range(20)], [("p1", 19, None, None)]
+    got = selection.candidates(*frames(spark, people, pool, owned), titled(), k=5)
+    assert {(x["user"], x["id"], x["position"]) for x in got.collect()} == plain(people, pool, owned, 5)
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_empty_role_is_a_role(spark):
+    people, pool = [("a", []), ("b", [""]), ("c", ["x,y"]), ("d", ["x", "y"])], [(1, [""], 1, None, None, ""), (2, [], 2, None, None, ""), (3, ["x,y"], 3, None, None, ""), (4, ["y"], 4, None, None, "")]
+    got = selection.candidates(*frames(spark, people, pool, []), titled(), k=3)
+    assert {(x["user"], x["id"], x["position"]) for x in got.collect()} == plain(people, pool, [], 3)
